@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,51 @@ def text_or_empty(name: str) -> Column:
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+class WordHashes(dict):
+    """Word -> 64-bit hash, remembered; forgets all when it holds too many."""
+
+    def __init__(self, seed: int = 0, most: int = 500_000) -> None:
+        super().__init__()
+        self.seed, self.most = seed, most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads each bit over all."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
+def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Rabin-Karp: the polynomial hash, modulo 2 to the 64, of each ``width`` consecutive words.
+
+    Built from the hashes of windows of 1, 2, 4, ... words.
+    """
+    n = len(words) - width + 1
+    if n < 1:
+        return words[:0]
+    with np.errstate(over="ignore"):
+        out, done, power, span = None, 0, words, 1
+        rest = width
+        while rest:
+            if rest & 1:
+                piece = power[done : done + n]
+                out = piece if out is None else out * np.uint64(pow(base, span, 1 << 64)) + piece
+                done += span
+            rest >>= 1
+            if rest:
+                power = power[:-span] * np.uint64(pow(base, span, 1 << 64)) + power[span:]
+                span *= 2
+        return out
