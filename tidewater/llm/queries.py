@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, packing, secret_scan, substring_dedup
+from . import exact_dedup, fingerprints, line_dedup, minhash, packing, quality, secret_scan, substring_dedup
 from .common import table
 
 
@@ -42,6 +42,14 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("version")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.drop_repeated(table(spark, sf_dir, "documents"), width=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -53,6 +61,8 @@ QUERIES = {
     "op3_secret_scans": op3_secret_scans,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
