@@ -60,16 +60,17 @@ def in_order(keyed: DataFrame) -> DataFrame:
 
 
 def sampled(texts: DataFrame, samples: int) -> DataFrame:
-    """From (k1, k2, which, words) clustered by key: (k1, k2, which, fingerprint, word).
+    """From (k1, k2, which, words) clustered by key: (k1, k2, which, fingerprint).
 
-    ``word`` is the largest word; ``fingerprint`` an array of ``samples`` 32-bit numbers.
+    ``fingerprint`` is an array of ``samples`` 32-bit numbers. All that is aggregated has a fixed
+    size, so that both aggregations are hash aggregations.
     """
     words = texts.select(*_KEY, "which", F.explode("words").alias("word")).where("word <> ''")
     counted = words.groupBy(*_KEY, "which", "word").agg(F.count(F.lit(1)).alias("n"))
-    terms = counted.select(*_KEY, "which", "word", F.xxhash64("word").alias("term"), F.log(F.col("n").cast("double")).alias("log_weight"))
-    least = terms.groupBy(*_KEY, "which").agg(*(F.min(sample_value(k)).alias(f"s{k}") for k in range(samples)), F.max("word").alias("word"))
+    terms = counted.select(*_KEY, "which", F.xxhash64("word").alias("term"), F.log(F.col("n").cast("double")).alias("log_weight"))
+    least = terms.groupBy(*_KEY, "which").agg(*(F.min(sample_value(k)).alias(f"s{k}") for k in range(samples)))
     bits = F.array(*(F.xxhash64(f"s{k}").bitwiseAND(F.lit(4294967295)) for k in range(samples)))
-    return least.select(*_KEY, "which", bits.alias("fingerprint"), "word")
+    return least.select(*_KEY, "which", bits.alias("fingerprint"))
 
 
 def hexed(fingerprint: Column) -> Column:
@@ -95,13 +96,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = order.select(F.col("next_k1").alias("k1"), F.col("next_k2").alias("k2"), F.col("k1").alias("for_k1"), F.col("k2").alias("for_k2"), F.col("n_chars").alias("of_chars"))
     heads = texts.join(wanted.hint("shuffle_hash"), _KEY).select(F.col("for_k1").alias("k1"), F.col("for_k2").alias("k2"), "of_chars", F.expr("left(text, cast(of_chars div 2 AS int))").alias("head"))
     edited = F.expr("concat(left(text, cast(of_chars - of_chars div 2 AS int)), head)")
-    both = texts.join(heads, _KEY).select(*_KEY, "text", edited.alias("edited"))
+    both = texts.join(heads.hint("shuffle_hash"), _KEY).select(*_KEY, "text", edited.alias("edited"))
     split = lambda c: F.split(c, "[\\x20\\x09-\\x0D]+")
-    # the edited text's digest travels along as the one word of a third text
-    kinds = F.array(F.struct(F.lit(0).alias("which"), split("text").alias("words")), F.struct(F.lit(1).alias("which"), split("edited").alias("words")), F.struct(F.lit(2).alias("which"), F.array(F.sha2("edited", 256)).alias("words")))
+    kinds = F.array(F.struct(F.lit(True).alias("which"), split("text").alias("words")), F.struct(F.lit(False).alias("which"), split("edited").alias("words")))
     found = sampled(both.select(*_KEY, F.inline(kinds)), samples)
-    pick = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
-    marks = stage(found.groupBy(*_KEY).agg(pick(0, "fingerprint").alias("own"), pick(1, "fingerprint").alias("edit"), pick(2, "word").alias("edited_sha256")), "fingerprints")
+    pick = lambda which, name: F.max(F.when(F.col("which") == which, F.col("fingerprint"))).alias(name)
+    marks = both.select(*_KEY, F.sha2("edited", 256).alias("edited_sha256")).join(found.groupBy(*_KEY).agg(pick(True, "own"), pick(False, "edit")), _KEY, "left")
+    marks = stage(marks, "fingerprints")
     following = marks.select(F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2"), F.col("own").alias("next_own"))
     joined = order.join(marks, _KEY).join(following, ["next_k1", "next_k2"])
     out = joined.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
