@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, line_dedup, minhash, packing, quality, secret_scan, substring_dedup
+from . import exact_dedup, fingerprints, line_dedup, minhash, packing, quality, secret_scan, sentencepieces, substring_dedup
 from .common import table
 
 
@@ -55,6 +55,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ids of every document, decoded again."""
+    model = tokenizer("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    out = sentencepieces.decode_documents(sentencepieces.encode_documents(docs, model), model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "ids_crc32", F.col("text_sha256").alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -64,6 +72,7 @@ QUERIES = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
