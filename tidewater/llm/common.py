@@ -96,3 +96,15 @@ def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
                 power = power[:-span] * np.uint64(pow(base, span, 1 << 64)) + power[span:]
                 span *= 2
         return out
+
+
+def version_of(text_col: str) -> Column:
+    """A hash of the text, which tells rows apart that share an id."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, version) is in ``chosen``, with all their columns."""
+    wanted = chosen.select(F.col("doc_id").alias("_of"), F.col("version").alias("_version")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_of")) & (version_of(text_col) == F.col("_version"))
+    return docs.join(wanted.hint("shuffle_hash"), same, "left_semi")

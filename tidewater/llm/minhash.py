@@ -198,10 +198,10 @@ def linked(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row for each row: ``doc_id, version, uid, n_shingles, component_id, kept``.
+    """A row for each row: ``doc_id, version, n_shingles, component_id, group_id``.
 
-    ``version`` is a hash of the text. ``kept`` is true in one row of each component, that of the
-    least id; ``component_id`` is that id.
+    ``version`` is a hash of the text, ``component_id`` the least id of the group. ``group_id`` tells
+    groups apart also where rows share an id or have none.
     """
     clean = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(clean).alias("version"), clean.alias("text"))
@@ -220,8 +220,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = classes if roots is None else classes.join(roots, "node", "left")
     found = found.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
     least = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = found.join(least, "root").select("digest", "component_id")
+    labels = found.join(least, "root").select("digest", "root", "component_id")
     rows_out = signed.select("uid", "doc_id", "version", "n_shingles", "digest").join(labels, "digest", "left")
-    return rows_out.select("doc_id", "version", "uid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
+    return rows_out.select("doc_id", "version", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "uid").alias("group_id"))

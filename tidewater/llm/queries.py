@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, line_dedup, minhash, packing, quality, secret_scan, sentencepieces, substring_dedup
+from . import exact_dedup, fingerprints, html_extract, line_dedup, minhash, packing, quality, secret_scan, sentencepieces, substring_dedup
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -68,6 +72,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_quality_classifier": op8_quality_classifier,
