@@ -6,11 +6,13 @@
    similarity 0.8 is missed with a probability of 6e-7, one of 0.85 with 1e-10.
 2. Documents of equal sets are one class, found by the digest of the set with partial aggregation;
    only the class goes on. So exact copies make no pairs.
-3. In each bucket, members are compared with a centre, not with each other. Buckets whose members
-   are all connected by then are done. In the others twice as many centres are taken as in the
-   round before, and each member is compared with those of other components, until nothing is left
-   to compare. No pair of one bucket that could join two components is left out, and a group of
-   many near copies needs about as many comparisons as it has members.
+3. In each bucket, members are compared with a centre, the one with most neighbours, not with each
+   other. Buckets whose members are all connected by then are done. In the others twice as many
+   centres are taken as in the round before, and each member is compared with those of other
+   components, until nothing is left to compare. No pair of one bucket that could join two
+   components is left out, and a group of many near copies needs about as many comparisons as it has
+   members. Pairs are passed over only where they can't be linked: their sizes differ too much, or
+   too many of their shingles are in no other document that is still compared.
 4. A compared pair must agree in its signatures to within about five standard deviations of the
    threshold, and is then confirmed on the full sets. A centre's set is sent once for each
    few hundred of its partners.
@@ -164,39 +166,73 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def linked(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        for at in range(0, len(sets), 500):
+            part = sets[at : at + 500]
+            owners = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[at : at + 500], [len(x) for x in part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(owners)], names=["token", "node"])
+
+
+def unshared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``live`` with ``shared``: how many shingles of a node any other live node has.
+
+    Nodes that share too few of theirs to be linked with anything are left out.
+    """
+    held = sets.join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_tokens, "token long, node long")
+    own = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("private"))
+    out = live.drop("shared").join(own, "node", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("private", F.lit(0))).drop("private")
+    return out.where(100 * F.col("shared") >= percent * F.col("n_shingles"))
+
+
+def linked(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame | None:
     """``node, root`` of all nodes that are linked with another.
 
     ``buckets`` has (bucket, node) of buckets of two or more. See 3. above.
     """
-    links, roots, live, centres = None, None, buckets, 1
-    tried = None
-    while True:
-        if roots is not None:
-            live = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            live = live.withColumn("root", F.col("node"))
-        spread = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        live = stage(live.join(spread, "bucket"), "live")
-        if live.isEmpty():
-            break
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    weights = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    live = stage(buckets.join(weights.join(nodes.select("node", "n_shingles"), "node"), "node").withColumn("shared", F.col("n_shingles")), "live")
+    links = tried = roots = None
+    centres, last = 1, False
+    while not last:
+        rooted = live.drop("root").join(roots, "node", "left") if roots is not None else live.withColumn("root", F.lit(None).cast("long"))
+        rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+        if centres == 2:
+            rooted = unshared(stage(_spread(rooted), "live"), sets, percent)
+        live = stage(_spread(rooted), "live")
         sizes = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+        cross = sizes.groupBy("bucket").agg((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))).alias("n")).agg(F.sum("n")).first()[0]
+        if cross is None:
+            break
+        # few pairs are left: compare them all. Else some of each bucket with the rest
+        last = cross <= 8 * live.count()
         slot = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)).alias("slot")
-        # a slot's centre comes from its smallest component, so that odd members go first
-        chosen = stage(live.join(sizes, ["bucket", "root"]).groupBy("bucket", slot).agg(F.min(F.struct("size", "node", "root")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")), "centres")
-        pairs = live.join(chosen, "bucket").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+        # a centre comes from its slot's smallest component, so that odd members go first; of equals, the one with most neighbours
+        best = F.min(F.struct("size", (-F.col("weight")).alias("weight"), "node", "root", "n_shingles", "shared")).alias("c")
+        chosen = live if last else stage(live.join(sizes, ["bucket", "root"]).groupBy("bucket", slot).agg(best).select("bucket", "c.*"), "centres")
+        other = chosen.select("bucket", F.col("node").alias("o"), F.col("root").alias("o_root"), F.col("n_shingles").alias("o_n"), F.col("shared").alias("o_shared"))
+        # the common shingles are at most those that either shares with any
+        possible = (100 + percent) * F.least("shared", "o_shared") >= percent * (F.col("n_shingles") + F.col("o_n"))
+        met = live.join(other, (live["bucket"] == other["bucket"]) & (F.col("root") != F.col("o_root")) & possible & ((F.col("node") < F.col("o")) if last else F.lit(True)))
+        pairs = met.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = stage(confirmed(pairs, nodes, sets, percent, n_minima), "links")
         links = new if links is None else links.union(new)
         roots = stage(components(links), "roots")
-        live = live.drop("root").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
+        live = live.drop("root").join(other.select("bucket", F.col("o").alias("node")), ["bucket", "node"], "left_anti")
         centres *= 2
     return roots
 
 
+def _spread(live: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    spread = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return live.join(spread, "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each row: ``doc_id, version, n_shingles, component_id, group_id``.
 
@@ -213,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = stage(nodes.select(F.explode("buckets").alias("bucket"), "node"), "buckets")
     full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = stage(dealt.join(full, "bucket"), "buckets")
-    wanted = stage(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version", "signature"), "nodes")
+    wanted = stage(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version", "n_shingles", "signature"), "nodes")
     texts = base.withColumnsRenamed({"doc_id": "_d", "version": "_v"}).join(wanted.select("node", "doc_id", "version").hint("shuffle_hash"), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_v") == F.col("version")))
     sets = stage(texts.select("node", "text").mapInArrow(lambda it: _full_sets(it, shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets")
     roots = linked(wanted, buckets, sets, percent, bands * rows)

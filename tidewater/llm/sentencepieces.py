@@ -20,11 +20,9 @@ columns are not read. Decoding gives the text back, with U+2581 as space as the
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +31,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words whose ids a worker remembers since it last set older ones aside; of those, used ones stay.
-MEMO = 250_000
+MEMO = 200_000
 #: Documents and characters of new words in one index, at most.
-DOCS, CHARS = 1000, 2_000_000
+DOCS, CHARS = 500, 400_000
 _CACHE = 1 << 21
 
 
@@ -135,83 +133,95 @@ def suffix_index(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     return order, table.view(f"S{codes.itemsize * depth}").ravel()[order]
 
 
-def edges(codes: np.ndarray, patterns: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pattern, place) of every occurrence of every pattern."""
+def edges(codes: np.ndarray, spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern, place) of every occurrence of the patterns, which are spelled one after the other."""
+    depth = int(sizes.max())
     order, suffixes = suffix_index(codes, depth)
-    width = suffixes.dtype.itemsize
-    raw = [p.astype(codes.dtype.newbyteorder(">")).tobytes() for p in patterns]
-    low = np.searchsorted(suffixes, np.array(raw, suffixes.dtype))
-    high = np.searchsorted(suffixes, np.array([r + b"\xff" * (width - len(r)) for r in raw], suffixes.dtype), "right")
+    depth = suffixes.dtype.itemsize // codes.itemsize
+    row, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    column = np.arange(len(spelled)) - first[row]
+    bounds = []
+    for fill in (0, np.iinfo(codes.dtype).max):
+        table = np.full((len(sizes), depth), fill, codes.dtype.newbyteorder(">"))
+        table[row, column] = spelled
+        bounds.append(table.view(suffixes.dtype).ravel())
+    low, high = np.searchsorted(suffixes, bounds[0]), np.searchsorted(suffixes, bounds[1], "right")
     n = high - low
-    which = np.repeat(np.arange(len(patterns)), n)
-    return which, order[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+    which = np.repeat(np.arange(len(sizes), dtype=np.int32), n)
+    return which, order[np.arange(len(which)) - np.repeat(np.cumsum(n) - n - low, n)].astype(np.int32)
 
 
-def encode_words(words: list[str], model: Pieces) -> list[list[int]]:
-    """The ids of each word, a space before it included."""
-    text = "".join(f"{SPACE}{w}\x00" for w in words)  # a zero ends a word; those in a word are masked below
+def encode_words(words: list[str], model: Pieces) -> list[bytes]:
+    """The ids of each word as 32-bit numbers, a space before it included."""
+    text = "".join(f"{SPACE}{w}\x00" for w in words)  # the zero at a word's end gets a code of its own
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    starts = np.cumsum(lengths) - lengths
-    owner = np.repeat(starts, lengths)
+    lengths = np.fromiter(map(len, words), np.int32, len(words)) + 2
+    ends = np.cumsum(lengths, dtype=np.int32)
+    starts = ends - lengths
     alphabet, codes = np.unique(points, return_inverse=True)
     if len(alphabet) > 0xFF00:
         half = len(words) // 2
         return encode_words(words[:half], model) + encode_words(words[half:], model)
-    codes = codes + 2
-    codes[starts + lengths - 1] = 1
     kind = np.uint8 if len(alphabet) < 250 else np.uint16
-    place = np.minimum(np.searchsorted(alphabet, model.points), len(alphabet) - 1)
-    usable = np.flatnonzero(np.minimum.reduceat(alphabet[place] == model.points, model.offsets[:-1]))
-    ids, sizes, spelled = model.ids[usable], model.sizes[usable], (place + 2).astype(kind)
-    which, start = edges(codes.astype(kind), [spelled[model.offsets[i] : model.offsets[i + 1]] for i in usable.tolist()], int(sizes.max()))
+    codes = (codes + 2).astype(kind)
+    codes[ends - 1] = 1
+    near = np.minimum(np.searchsorted(alphabet, model.points), len(alphabet) - 1)
+    fits = np.minimum.reduceat(alphabet[near] == model.points, model.offsets[:-1])
+    ids, sizes = model.ids[fits].astype(np.int32), model.sizes[fits].astype(np.int32)
+    which, start = edges(codes, (near + 2).astype(kind)[np.repeat(fits, model.sizes)], sizes)
     piece, end = ids[which], start + sizes[which]
     # characters without a piece of one character: edges that nothing merges with
-    single = np.zeros(len(codes), bool)
-    single[start[end == start + 1]] = True
-    bare = np.flatnonzero(~single & (codes != 1))
     n = len(model.text)
-    piece, start, end = np.r_[piece, np.full(len(bare), n)], np.r_[start, bare], np.r_[end, bare + 1]
-    at = end - owner[start]
+    bare = codes != 1
+    bare[start[end == start + 1]] = False
+    bare = np.flatnonzero(bare).astype(np.int32)
+    piece, start, end = np.r_[piece, np.full(len(bare), n, np.int32)], np.r_[start, bare], np.r_[end, bare + 1]
+    owner = np.repeat(starts, lengths)
+    begin = owner[start]
+    at = np.minimum(end - begin, 0xFFFF).astype(np.uint16) if lengths.max() <= 0xFFFF else end - begin
     order = np.argsort(at, kind="stable")
-    piece, start, end, at = piece[order], start[order], end[order], at[order]
-    last, back = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
+    piece, start, end, begin, at = piece[order], start[order], end[order], begin[order], at[order]
+    last, back = np.full(len(codes) + 1, -1, np.int32), np.zeros(len(codes) + 1, np.int32)
     bounds = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]).tolist()
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         p, s, e = piece[lo:hi], start[lo:hi], end[lo:hi]
-        before = np.where(s == owner[s], n, last[s])  # a word's start is a border like one of a bare character
+        before = np.where(s == begin[lo:hi], n, last[s])  # a word's start is a border like one of a bare character
         holds = before >= 0
-        ask = np.flatnonzero((before >= 0) & (before < n) & (p < n))
-        holds[ask] = model.all_may_follow(before[ask], p[ask])
+        ask = np.flatnonzero(holds & (before < n) & (p < n))
+        holds[ask] = model.all_may_follow(before[ask].astype(np.int64), p[ask])
         last[e[holds]], back[e[holds]] = p[holds], s[holds]
     # walk back from the words' ends, all at once
-    current, word = starts + lengths - 1, np.arange(len(words))
+    current, word = ends - 1, np.arange(len(words), dtype=np.int32)
     tokens, owners = [], []
     while len(current):
-        tokens.append(np.where(last[current] < n, last[current], -1 - points[current - 1].astype(np.int64)))
+        tokens.append(np.where(last[current] < n, last[current], -1 - points[current - 1].astype(np.int64)).astype(np.int32))
         owners.append(word)
         current = back[current]
         more = current > starts[word]
         current, word = current[more], word[more]
     token, owned = np.concatenate(tokens)[::-1], np.concatenate(owners)[::-1]
-    token = token[np.argsort(owned, kind="stable")].tolist()
-    ends = np.cumsum(np.bincount(owned, minlength=len(words))).tolist()
-    out = [token[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
-    return [w if min(w) >= 0 else [x for t in w for x in ([t] if t >= 0 else [model.byte_ids[b] for b in chr(-1 - t).encode()])] for w in out]
+    token = token[np.argsort(owned, kind="stable")]
+    stops = np.cumsum(np.bincount(owned, minlength=len(words)))
+    raw, marks = token.astype("<i4").tobytes(), (4 * np.r_[0, stops]).tolist()
+    out = [raw[lo:hi] for lo, hi in zip(marks, marks[1:], strict=False)]
+    for w in np.unique(np.searchsorted(stops, np.flatnonzero(token < 0), "right")).tolist():  # words with bytes
+        own = np.frombuffer(out[w], "<i4").tolist()
+        out[w] = np.array([x for t in own for x in ([t] if t >= 0 else [model.byte_ids[b] for b in chr(-1 - t).encode()])], "<i4").tobytes()
+    return out
 
 
 class Memo(dict):
     """Word -> ids, in two generations: what is used stays, the rest is forgotten in time."""
 
     def __init__(self) -> None:
-        super().__init__({"": []})
-        self.older: dict[str, list[int]] = {}
+        super().__init__({"": b""})
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str], model: Pieces) -> None:
         if len(self) > MEMO:
             self.older = dict(self)
             self.clear()
-            self[""] = []
+            self[""] = b""
         fresh = words - self.keys()
         held = fresh & self.older.keys()
         self.update((w, self.older[w]) for w in held)
@@ -224,61 +234,73 @@ class Memo(dict):
             at = to
 
 
-def encode(texts: list[str], model: Pieces, memo: Memo) -> list[list[int]]:
+def encode_raw(texts: list[str], model: Pieces, memo: Memo) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit numbers."""
     split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
     memo.learn(set().union(*split), model)
+    space = model.space.to_bytes(4, "little")
+    run = lambda n: np.array(model.run(n), "<i4").tobytes() if n else b""
     out = []
     for words in split:
         if "" not in words:
-            out.append(list(chain.from_iterable(map(memo.__getitem__, words))))
+            out.append(b"".join(map(memo.__getitem__, words)))
             continue
-        ids: list[int] = []
+        parts: list[bytes] = []
         waiting = 0
         for w in words:
             if not w:
                 waiting += 1
                 continue
             own = memo[w]
-            if waiting and own[0] == model.space:
-                ids += model.run(waiting + 1) + own[1:]
-            else:
-                ids += (model.run(waiting) if waiting else []) + own
+            parts += [run(waiting + 1), own[4:]] if waiting and own[:4] == space else [run(waiting), own]
             waiting = 0
-        out.append(ids + (model.run(waiting) if waiting else []))
+        out.append(b"".join([*parts, run(waiting)]))
     return out
 
 
+def encode(texts: list[str], model: Pieces, memo: Memo) -> list[list[int]]:
+    return [np.frombuffer(x, "<i4").tolist() for x in encode_raw(texts, model, memo)]
+
+
 def decode(ids: list[int], model: Pieces) -> str:
     """The text of ids, without the space that encoding puts before all."""
     return b"".join(map(model.bytes_of.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` of each row."""
+def id_lists(raw: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id, ids, ids_crc32`` of each row (the checksum of little-endian 32-bit ids).
+
+    With ``decoded`` also ``text``, which the ids give back, in the same pass.
+    """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = pieces(model_path), Memo()
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS):
                 part = batch.slice(at, DOCS)
-                ids = encode([t or "" for t in part.column(1).to_pylist()], model, memo)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                raw = encode_raw([t or "" for t in part.column(1).to_pylist()], model, memo)
+                columns = {"doc_id": part.column(0), "ids": id_lists(raw), "ids_crc32": pa.array(map(zlib.crc32, raw), pa.int64())}
+                if decoded:
+                    columns["text"] = pa.array([decode(np.frombuffer(x, "<i4").tolist(), model) for x in raw], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(encoded, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(encoded, "doc_id long, ids array<int>, ids_crc32 long" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """All columns, and ``text``, ``ids_crc32`` (of little-endian 32-bit ids) and ``text_sha256``."""
-    names = [c for c in encoded.columns if c not in ("text", "ids_crc32", "text_sha256")]
-    schema = ", ".join(f"`{c}` {t}" for c, t in encoded.select(*names).dtypes) + ", text string, ids_crc32 long, text_sha256 string"
+    """All columns, and ``text``; a null list counts as empty."""
+    names = [c for c in encoded.columns if c != "text"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in encoded.select(*names).dtypes) + ", text string"
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         for batch in batches:
-            lists = [x or [] for x in batch.column(names.index(ids_col)).to_pylist()]
-            texts = [decode(x, model) for x in lists]
-            crcs = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in lists]
-            shas = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(crcs, pa.int64()), pa.array(shas, pa.string())], names=[*names, "text", "ids_crc32", "text_sha256"])
+            texts = [decode(x or [], model) for x in batch.column(names.index(ids_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
     return encoded.select(*names).mapInArrow(decoded, schema)

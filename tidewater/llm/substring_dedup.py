@@ -5,9 +5,9 @@ Earlier means in a document of smaller id, or at an earlier place of the same do
 1. Documents of equal word sequences: all but the first lose every word that a window covers, that
    is all of them, from ``width`` words on. They are found by a digest and take no further part.
 2. A window can only repeat if its minimizer does, the ``GRAM``-word run in it of the least hash.
-   Minimizers are about a seventh of all runs; their hashes are counted in Spark, and windows of
+   Minimizers are about a tenth of all runs; their hashes are counted in Spark, and windows of
    minimizers that occur once are out. This is exact: equal windows have equal minimizers.
-3. The windows left over are hashed (Rabin-Karp, 128 bits) and, by hash and place, all but the
+3. The windows left over are hashed (Rabin-Karp, 96 bits) and, by hash and place, all but the
    first of equal windows are marked. Equal windows within one batch of documents are found before
    the shuffle, and one of them goes on, so that a passage in a third of all documents reaches a
    task once for each batch and not once for each document.
@@ -30,22 +30,34 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, scramble, stage, text_or_empty, utf8, window_hashes
 
-GRAM = 8
+GRAM = 3
+#: Words of the documents that are looked at together.
+CHUNK = 2_000_000
 _BASE_1, _BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _DOC = [("doc_id", pa.int64()), ("version", pa.int64())]
 _DIGESTS = pa.schema([*_DOC, ("n_words", pa.int64()), ("digest", pa.binary())])
-_GRAMS = pa.schema([("gram", pa.int64()), ("where", pa.int64()), ("repeats", pa.bool_()), *_DOC, ("start", pa.int32()), ("end", pa.int32())])
-_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), *_DOC, ("start", pa.int32()), ("repeats", pa.bool_())])
+_GRAMS = pa.schema([("gram", pa.int64()), ("repeats", pa.bool_()), *_DOC, ("start", pa.int32()), ("end", pa.int32())])
+_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), *_DOC, ("start", pa.int32()), ("repeats", pa.bool_())])
 
 
 def digest_of(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def _sorted_rows(batch: pa.RecordBatch) -> list[tuple]:
-    """The batch's rows by (id, version), nulls last; rows that share both come once."""
-    rows = {(d is None, d or 0, v): (d, v, *rest) for d, v, *rest in zip(*(c.to_pylist() for c in batch.columns[:2]), utf8(batch.column(2)), *(c.to_pylist() for c in batch.columns[3:]), strict=True)}
-    return [rows[k] for k in sorted(rows)]
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (id, version, words, ...) of up to ``CHUNK`` words, by id and version, nulls last; rows that share both come once."""
+    rows: dict[tuple, tuple] = {}
+    size = 0
+    for batch in batches:
+        for d, v, text, *rest in zip(*(c.to_pylist() for c in batch.columns[:2]), utf8(batch.column(2)), *(c.to_pylist() for c in batch.columns[3:]), strict=True):
+            words = text.split()
+            rows[d is None, d or 0, v] = (d, v, words, *rest)
+            size += len(words)
+            if size > CHUNK:
+                yield [rows[k] for k in sorted(rows)]
+                rows, size = {}, 0
+    if rows:
+        yield [rows[k] for k in sorted(rows)]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,70 +66,81 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([digest_of(w) for w in words], pa.binary())], schema=_DIGESTS)
 
 
-def minimizers(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, last window + 1) of the windows' minimizers, leftmost on ties."""
+def sliding_least(values: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of each ``span`` consecutive values, leftmost on ties, by doubling."""
+    place, width = np.arange(len(values)), 1
+    while 2 * width <= span:
+        left, right = place[:-width], place[width:]
+        place = np.where(values[right] < values[left], right, left)
+        width *= 2
+    if width < span:
+        left, right = place[: len(values) - span + 1], place[span - width :]
+        place = np.where(values[right] < values[left], right, left)
+    return place
+
+
+def minimizers(words: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share a minimizer, in texts laid end to end: (document, hash, place, first window, last + 1).
+
+    Places and windows count from the document's start.
+    """
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     grams = scramble(window_hashes(words, gram, _BASE_1))
-    span, n = width - gram + 1, len(words) - width + 1
-    place, least = np.zeros(n, np.int64), grams[:n].copy()
-    for shift in range(1, span):
-        ahead = grams[shift : shift + n]
-        better = ahead < least
-        least[better], place[better] = ahead[better], shift
-    place += np.arange(n)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return grams[place[first]], place[first], first, np.r_[first[1:], n]
+    place = sliding_least(grams, width - gram + 1)
+    owner = np.repeat(np.arange(len(lengths)), lengths)[: len(place)]
+    valid = np.arange(len(place)) + width <= ends[owner]
+    first = np.flatnonzero(valid & np.r_[True, ~valid[:-1] | (place[1:] != place[:-1])])
+    count = np.diff(np.r_[np.cumsum(valid)[first] - 1, valid.sum()])
+    doc = owner[first]
+    return doc, grams[place[first]], place[first] - starts[doc], first - starts[doc], first - starts[doc] + count
+
+
+def _joined(hashes: WordHashes, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([hashes.of(r[2]) for r in rows]), np.array([len(r[2]) for r in rows], np.int64)
+
+
+def _keys(rows: list[tuple], doc: np.ndarray) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], pa.int64()).take(pa.array(doc)) for i in (0, 1)]
 
 
 def _grams(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
-        parts, docs, seen = [], [], set()
-        for doc_id, version, text in _sorted_rows(batch):
-            words = text.split()
-            if len(words) < width or (digest := digest_of(words)) in seen:
-                continue
-            seen.add(digest)
-            found = minimizers(hashes.of(words), width, gram)
-            mark = int.from_bytes(digest[:8], "little")
-            parts.append((*found, np.full(len(found[0]), len(docs)), scramble(found[1].astype(np.uint64) + np.uint64(mark))))
-            docs.append((doc_id, version))
-        if not docs:
+    for rows in _chunks(batches):
+        one_each = {digest_of(r[2]): r for r in reversed(rows) if len(r[2]) >= width}
+        rows = list(one_each.values())
+        if not rows:
             continue
-        h, _, first, last, doc, where = map(np.concatenate, zip(*parts, strict=True))
+        doc, h, place, first, end = minimizers(*_joined(hashes, rows), width, gram)
         kinds, at, n = np.unique(h, return_inverse=True, return_counts=True)
         again = n[at] > 1  # found twice here already: candidates, and one bare row tells the others
-        ids = pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.int64())
-        bare = kinds[n > 1]
+        bare = pa.array(kinds[n > 1].view(np.int64))
         none = pa.nulls(len(bare))
-        gram_hash = np.where(again, scramble(where), h)  # candidates already need no meeting: any place will do
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(gram_hash.view(np.int64)), pa.array(where.view(np.int64)), pa.array(again), ids[0].take(pa.array(doc)), ids[1].take(pa.array(doc)), pa.array(first, pa.int32()), pa.array(last, pa.int32())], schema=_GRAMS
-        )
-        yield pa.RecordBatch.from_arrays([pa.array(bare.view(np.int64)), none.cast(pa.int64()), pa.array(np.ones(len(bare), bool)), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32())], schema=_GRAMS)
+        own = np.where(again, scramble(h + place.astype(np.uint64) + np.uint64(1)), h)  # candidates already meet nothing, so that they don't pile up
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(again), *_keys(rows, doc), pa.array(first, pa.int32()), pa.array(end, pa.int32())], schema=_GRAMS)
+        yield pa.RecordBatch.from_arrays([bare, pa.array(np.ones(len(bare), bool)), *(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], schema=_GRAMS)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    one, two = WordHashes(1), WordHashes(2)
-    for batch in batches:
-        parts, docs = [], []
-        for doc_id, version, text, spans in _sorted_rows(batch):
-            words = text.split()
-            starts = np.unique(np.concatenate([np.arange(s["start"], s["end"], dtype=np.int64) for s in spans]))
-            h1 = scramble(window_hashes(one.of(words), width, _BASE_1))[starts]
-            h2 = scramble(window_hashes(two.of(words), width, _BASE_2))[starts]
-            parts.append((h1, h2, starts, np.full(len(starts), len(docs))))
-            docs.append((doc_id, version))
-        if not docs:
-            continue
-        h1, h2, start, doc = map(np.concatenate, zip(*parts, strict=True))
-        order = np.lexsort((start, doc, h2, h1))
-        h1, h2, start, doc = h1[order], h2[order], start[order], doc[order]
-        again = np.r_[False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]
-        ids = pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.int64())
-        # those known to repeat only have to come through: they meet nothing under a hash of their own
-        h2 = np.where(again, scramble(h2 + start.astype(np.uint64)), h2)
-        h1 = np.where(again, scramble(h1 + doc.astype(np.uint64)), h1)
-        yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids[0].take(pa.array(doc)), ids[1].take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(again)], schema=_WINDOWS)
+    one, two = WordHashes(), WordHashes(2)
+    for rows in _chunks(batches):
+        words, lengths = _joined(one, rows)
+        begins = np.cumsum(lengths) - lengths
+        spans = [(d, s["start"], s["end"]) for d, r in enumerate(rows) for s in r[3]]
+        span_doc, start, end = (np.array(c, np.int64) for c in zip(*spans, strict=True))
+        open_ = np.zeros(len(words) + 1, np.int64)
+        np.add.at(open_, begins[span_doc] + start, 1)
+        np.add.at(open_, begins[span_doc] + end, -1)
+        at = np.flatnonzero(np.cumsum(open_) > 0)
+        h1 = scramble(window_hashes(words, width, _BASE_1))[at]
+        h2 = scramble(window_hashes(_joined(two, rows)[0], width, _BASE_2))[at].astype(np.uint32)
+        doc = np.searchsorted(begins, at, "right") - 1
+        order = np.lexsort((at, h2, h1))
+        again = np.zeros(len(at), bool)
+        again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+        # those known to repeat only have to come through: under a hash of their own they meet nothing
+        h1 = np.where(again, scramble(h1 + at.astype(np.uint64)), h1)
+        yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), *_keys(rows, doc), pa.array(at - begins[doc], pa.int32()), pa.array(again)], schema=_WINDOWS)
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -158,14 +181,14 @@ def repeated_windows(base: DataFrame, width: int, gram: int = GRAM) -> tuple[Dat
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
     first = digests.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = stage(digests.join(first, "digest").where(place != F.col("first")).select("doc_id", "version").distinct(), "copies")
-    grams = base.mapInArrow(lambda it: _grams(it, width, gram), "gram long, where long, repeats boolean, doc_id long, version long, start int, end int")
+    grams = base.mapInArrow(lambda it: _grams(it, width, gram), "gram long, repeats boolean, doc_id long, version long, start int, end int")
     same = Window.partitionBy("gram")
-    found = grams.withColumn("known", F.max("repeats").over(same)).withColumn("lo", F.min("where").over(same)).withColumn("hi", F.max("where").over(same))
-    spans = found.where("(known OR lo <> hi) AND start IS NOT NULL").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    known = F.max("repeats").over(same) | (F.min("version").over(same) != F.max("version").over(same)) | (F.min("start").over(same) != F.max("start").over(same))
+    spans = grams.withColumn("known", known).where("known AND start IS NOT NULL").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     match = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("version") == F.col("_version"))
     spans = spans.join(copies.withColumnsRenamed({"doc_id": "_of", "version": "_version"}), match, "left_anti")
     wanted = base.join(spans.withColumnsRenamed({"doc_id": "_of", "version": "_version"}).hint("shuffle_hash"), match).select("doc_id", "version", "text", "spans")
-    windows = wanted.mapInArrow(lambda it: _windows(it, width), "h1 long, h2 long, doc_id long, version long, start int, repeats boolean")
+    windows = wanted.mapInArrow(lambda it: _windows(it, width), "h1 long, h2 int, doc_id long, version long, start int, repeats boolean")
     nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(*_order(), "start"))
     marked = windows.withColumn("nth", nth).where("repeats OR nth > 1")
     return copies, marked.groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"))
