@@ -30,8 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share."""
-    out = line_dedup.drop_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
-    return _recounted(out.select(*docs.columns))
+    return _recounted(line_dedup.shortened(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,14 @@ def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
         return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def version_of(text_col: str) -> Column:
     """A hash of the text, which tells rows apart that share an id."""
     return F.xxhash64(text_or_empty(text_col))
@@ -105,6 +113,7 @@ def version_of(text_col: str) -> Column:
 
 def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose (doc_id, version) is in ``chosen``, with all their columns."""
-    wanted = chosen.select(F.col("doc_id").alias("_of"), F.col("version").alias("_version")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_of")) & (version_of(text_col) == F.col("_version"))
+    of, version = unused(docs, "_of"), unused(docs, "_version")
+    wanted = chosen.select(F.col("doc_id").alias(of), F.col("version").alias(version)).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col(of)) & (version_of(text_col) == F.col(version))
     return docs.join(wanted.hint("shuffle_hash"), same, "left_semi")

@@ -13,7 +13,7 @@ those in the largest document id that holds them.
 
 Defined cases: a null or empty text is one empty line. Rows that share an id count as one document,
 and each is judged; a null id is an id of its own, below all others. An empty table gives an empty
-table. Columns of the input other than id and text are kept by ``drop_lines`` as they are.
+table. Columns of the input other than id and text are kept as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, stage, text_or_empty
+from .common import SPACES, stage, text_or_empty, unused
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HASH = ["_h1", "_h2"]
@@ -66,14 +66,28 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return words.groupBy("_doc", "_version").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("drop_words"))
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[DataFrame, Column, Column, Column]:
+    """The rows joined to their bitmaps, and from them the lines, the dropped lines and the shortened text."""
+    of, version, words, bits = (unused(docs, c) for c in ("_of", "_of_version", "_words", "_bits"))
+    bitmaps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs).toDF(of, version, words)
+    clean = text_or_empty(text_col)
+    joined = docs.join(bitmaps.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(of)) & (F.xxhash64(clean) == F.col(version)), "left")
+    joined = joined.withColumn(bits, F.map_from_entries(words))
+    bit = f"shiftright(coalesce(try_element_at({bits}, cast(i div 64 AS int)), 0L), cast(i % 64 AS int)) & 1"
+    kept = F.when(F.col(words).isNull(), clean).otherwise(F.expr(f"array_join(filter(split(cast(`{text_col}` AS string), '\n'), (line, i) -> ({bit}) = 0), '\n')"))
+    dropped = F.expr(f"aggregate(coalesce({words}, array()), 0L, (n, w) -> n + bit_count(w.bits))")
+    n_lines = (F.length(clean) - F.length(F.replace(clean, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return joined, n_lines, dropped, kept
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """All rows and columns, and ``_n_lines``, ``_n_dropped`` and the shortened ``_kept``."""
-    bitmaps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs).withColumnsRenamed({"_doc": "_of", "_version": "_of_version"})
-    base = docs.withColumn("_clean", text_or_empty(text_col))
-    joined = base.join(bitmaps.hint("shuffle_hash"), base[id_col].eqNullSafe(F.col("_of")) & (F.xxhash64("_clean") == F.col("_of_version")), "left")
-    bit = "shiftright(coalesce(try_element_at(_bits, cast(i div 64 AS int)), 0L), cast(i % 64 AS int)) & 1"
-    kept = F.when(F.col("drop_words").isNull(), F.col("_clean")).otherwise(F.expr(f"array_join(filter(split(_clean, '\n'), (line, i) -> ({bit}) = 0), '\n')"))
-    dropped = F.expr("aggregate(coalesce(drop_words, array()), 0L, (n, w) -> n + bit_count(w.bits))")
-    n_lines = (F.length("_clean") - F.length(F.replace("_clean", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    joined = joined.withColumn("_bits", F.map_from_entries("drop_words"))
+    """All rows and columns, and ``_n_lines``, ``_n_dropped`` and the shortened ``_kept`` (in place of columns named so)."""
+    docs = docs.drop("_n_lines", "_n_dropped", "_kept")
+    joined, n_lines, dropped, kept = _judged(docs, id_col, text_col, min_chars, min_docs)
     return joined.select(*docs.columns, n_lines.alias("_n_lines"), dropped.alias("_n_dropped"), kept.alias("_kept"))
+
+
+def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows and columns of ``docs``, each text (but a null) without its dropped lines."""
+    joined, _, _, kept = _judged(docs, id_col, text_col, min_chars, min_docs)
+    return joined.select(*(F.when(F.col(c).isNotNull(), kept).alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import stage, text_or_empty, unused
 
 # The patterns of the base kinds and the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -121,14 +121,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", masks: tuple[str, str] = ("[SECRET]", "[EXAMPLE]"), **options) -> DataFrame:
     """The rows and columns of ``docs`` with each span masked: by ``masks[1]`` where it is widely copied."""
     found = scan_secrets(docs, id_col, text_col, **options).where("findings IS NOT NULL").dropDuplicates(["doc_id", "version"])
-    spans = found.select(F.col("doc_id").alias("_of"), F.col("version").alias("_version"), F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["widespread"].alias("example"))).alias("_spans"))
-    joined = docs.join(spans.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_version")), "left")
+    of, version, marks = (unused(docs, c) for c in ("_of", "_version", "_spans"))
+    spans = found.select(F.col("doc_id").alias(of), F.col("version").alias(version), F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["widespread"].alias("example"))).alias(marks))
+    joined = docs.join(spans.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text_or_empty(text_col)) == F.col(version)), "left")
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else mask(t, s, masks) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return joined.select(*(masked(F.col(c).cast("string"), "_spans").alias(c) if c == text_col else docs[c] for c in docs.columns))
+    return joined.select(*(masked(F.col(c).cast("string"), marks).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def mask(text: str, spans: list[dict], masks: tuple[str, str]) -> str:
