@@ -7,8 +7,9 @@ Earlier means in a document of smaller id, or at an earlier place of the same do
 2. A window can only repeat if its minimizer does, the ``GRAM``-word run in it of the least hash.
    Minimizers are about a tenth of all runs; their hashes are counted in Spark, and windows of
    minimizers that occur once are out. This is exact: equal windows have equal minimizers.
-3. The windows left over are hashed (Rabin-Karp, 96 bits) and, by hash and place, all but the
-   first of equal windows are marked. Equal windows within one batch of documents are found before
+3. The windows left over are hashed (Rabin-Karp, 64 bits, compared under one 64-bit minimizer only)
+   and, by hash and place, all but the first of equal windows are marked. Neighbours that share a
+   minimizer are shuffled as one row. Equal windows within one batch of documents are found before
    the shuffle, and one of them goes on, so that a passage in a third of all documents reaches a
    task once for each batch and not once for each document.
 4. The marked windows of a document merge into maximal intervals, whose words go.
@@ -37,7 +38,7 @@ _BASE_1, _BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _DOC = [("doc_id", pa.int64()), ("version", pa.int64())]
 _DIGESTS = pa.schema([*_DOC, ("n_words", pa.int64()), ("digest", pa.binary())])
 _GRAMS = pa.schema([("gram", pa.int64()), ("repeats", pa.bool_()), *_DOC, ("start", pa.int32()), ("end", pa.int32())])
-_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), *_DOC, ("start", pa.int32()), ("repeats", pa.bool_())])
+_RUNS = pa.schema([("gram", pa.int64()), *_DOC, ("start", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.int64()))])
 
 
 def digest_of(words: list[bytes]) -> bytes:
@@ -121,26 +122,31 @@ def _grams(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator
         yield pa.RecordBatch.from_arrays([bare, pa.array(np.ones(len(bare), bool)), *(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], schema=_GRAMS)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    one, two = WordHashes(), WordHashes(2)
+def _runs(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, version, words, spans) -> runs of neighbouring windows with one minimizer and, unless they repeat here already, their hashes."""
+    hashes = WordHashes()
     for rows in _chunks(batches):
-        words, lengths = _joined(one, rows)
+        words, lengths = _joined(hashes, rows)
         begins = np.cumsum(lengths) - lengths
         spans = [(d, s["start"], s["end"]) for d, r in enumerate(rows) for s in r[3]]
         span_doc, start, end = (np.array(c, np.int64) for c in zip(*spans, strict=True))
-        open_ = np.zeros(len(words) + 1, np.int64)
-        np.add.at(open_, begins[span_doc] + start, 1)
-        np.add.at(open_, begins[span_doc] + end, -1)
-        at = np.flatnonzero(np.cumsum(open_) > 0)
-        h1 = scramble(window_hashes(words, width, _BASE_1))[at]
-        h2 = scramble(window_hashes(_joined(two, rows)[0], width, _BASE_2))[at].astype(np.uint32)
-        doc = np.searchsorted(begins, at, "right") - 1
-        order = np.lexsort((at, h2, h1))
+        start, n = begins[span_doc] + start, end - start
+        grams = np.r_[scramble(window_hashes(words, gram, _BASE_1)), np.uint64(0)]
+        key = np.minimum.reduceat(grams, np.stack([start, start + width - gram + 1], 1).ravel())[::2]
+        span = np.repeat(np.arange(len(n)), n)
+        at = start[span] + np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
+        h = scramble(window_hashes(words, width, _BASE_2))[at]
+        order = np.lexsort((at, h))
         again = np.zeros(len(at), bool)
-        again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-        # those known to repeat only have to come through: under a hash of their own they meet nothing
-        h1 = np.where(again, scramble(h1 + at.astype(np.uint64)), h1)
-        yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), *_keys(rows, doc), pa.array(at - begins[doc], pa.int32()), pa.array(again)], schema=_WINDOWS)
+        again[order[1:]] = h[order[1:]] == h[order[:-1]]
+        first = np.flatnonzero(np.r_[True, (span[1:] != span[:-1]) | (again[1:] != again[:-1])])
+        count = np.diff(np.r_[first, len(at)])
+        known, doc = again[first], span_doc[span[first]]
+        # those known to repeat only have to come through: under a key of their own they meet nothing
+        own = np.where(known, scramble(key[span[first]] + at[first].astype(np.uint64) + np.uint64(1)), key[span[first]])
+        sizes = np.where(known, 0, count)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(h[~again].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *_keys(rows, doc), pa.array(at[first] - begins[doc], pa.int32()), pa.array(count, pa.int32()), lists], schema=_RUNS)
 
 
 def intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -188,9 +194,12 @@ def repeated_windows(base: DataFrame, width: int, gram: int = GRAM) -> tuple[Dat
     match = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("version") == F.col("_version"))
     spans = spans.join(copies.withColumnsRenamed({"doc_id": "_of", "version": "_version"}), match, "left_anti")
     wanted = base.join(spans.withColumnsRenamed({"doc_id": "_of", "version": "_version"}).hint("shuffle_hash"), match).select("doc_id", "version", "text", "spans")
-    windows = wanted.mapInArrow(lambda it: _windows(it, width), "h1 long, h2 int, doc_id long, version long, start int, repeats boolean")
-    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(*_order(), "start"))
-    marked = windows.withColumn("nth", nth).where("repeats OR nth > 1")
+    runs = wanted.mapInArrow(lambda it: _runs(it, width, gram), "gram long, doc_id long, version long, start int, n int, windows array<long>").repartition("gram")
+    # a window's hash is only compared under its minimizer's; where there are no hashes, the run is known to repeat
+    windows = runs.select("gram", "doc_id", "version", "start", F.posexplode(F.when(F.size("windows") > 0, F.col("windows")).otherwise(F.expr("array_repeat(cast(null AS long), n)"))).alias("pos", "h"))
+    windows = windows.select("gram", "h", "doc_id", "version", (F.col("start") + F.col("pos")).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("gram", "h").orderBy(*_order(), "start"))
+    marked = windows.withColumn("nth", nth).where("h IS NULL OR nth > 1")
     return copies, marked.groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"))
 
 
