@@ -12,6 +12,8 @@ from ..functions.windows import history
 
 WINDOW, LEAST = 52, 12
 TINY = 1e-12
+#: A value is above the mean by more than this, so that one equal to it isn't, however sums are rounded.
+TIE = 1e-9
 NAMES = ("mean", "std", "slope", "ac1", "acf_first_zero", "prop_above_mean", "longest_run_above_mean", "n_local_max", "iqr", "skew", "trend_resid_std", "recent_over_old")
 
 
@@ -39,7 +41,7 @@ def _described(name: str) -> dict[str, Column]:
     power = total(F.transform(d, lambda x: x * x)) + TINY
     product = lambda lag: total(F.zip_with(F.slice(d, lag + 1, n - lag), F.slice(d, F.lit(1), n - lag), lambda x, y: x * y))
     zero = F.filter(F.sequence(F.lit(1), n - 1), lambda lag: product(lag) / power <= 0)
-    runs = F.aggregate(w, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, x: F.struct(F.when(x > m, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["most"], F.when(x > m, a["now"] + 1).otherwise(0)).alias("most")))
+    runs = F.aggregate(w, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, x: F.struct(F.when(x - m > TIE, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["most"], F.when(x - m > TIE, a["now"] + 1).otherwise(0)).alias("most")))
     peaks = F.filter(F.sequence(F.lit(2), n - 1), lambda i: (F.element_at(w, i) > F.element_at(w, i - 1)) & (F.element_at(w, i) > F.element_at(w, i + 1)))
     middle = (n - 1) / 2
     residual = F.sqrt(total(F.transform(d, lambda x, i: (x - b * (i - middle)) * (x - b * (i - middle)))) / n)
@@ -47,7 +49,7 @@ def _described(name: str) -> dict[str, Column]:
     mean_of = lambda part: total(part) / half
     values = {
         "mean": m, "std": s, "slope": b, "ac1": product(F.lit(1)) / power, "acf_first_zero": F.coalesce(F.get(zero, F.lit(0)), F.lit(0)).cast("double"),
-        "prop_above_mean": F.size(F.filter(w, lambda x: x > m)) / n, "longest_run_above_mean": runs["most"].cast("double"), "n_local_max": F.size(peaks).cast("double"), "iqr": q[1] - q[0],
+        "prop_above_mean": F.size(F.filter(w, lambda x: x - m > TIE)) / n, "longest_run_above_mean": runs["most"].cast("double"), "n_local_max": F.size(peaks).cast("double"), "iqr": q[1] - q[0],
         "skew": total(F.transform(d, lambda x: x * x * x)) / n / (s * s * s + TINY), "trend_resid_std": residual, "recent_over_old": (mean_of(F.slice(w, n - half + 1, half)) + 1) / (mean_of(F.slice(w, F.lit(1), half)) + 1),
     }
     return {f"c22fb_{k}_{name}": F.when(w.isNotNull(), v) for k, v in values.items()}

@@ -194,8 +194,8 @@ w0 AS (SELECT unit, yr, wn, list({series}) FILTER (WHERE {series} IS NOT NULL) {
 w1 AS (SELECT *, list_transform(w, lambda x: x - m) AS d, list_sum(list_transform(range(1, n + 1), lambda i: w[i] * (i - 1 - (n - 1) / 2.0))) / (n * (n * n - 1) / 12.0) AS b FROM w0 WHERE n >= 12),
 w2 AS (SELECT unit, yr, wn, m AS mean, s AS std, b AS slope, {dot(1)} / (list_sum(list_transform(d, lambda x: x * x)) + 1e-12) AS ac1,
   CAST(coalesce(list_filter(range(1, n), lambda lag: list_sum(list_transform(range(1, n - lag + 1), lambda i: d[i] * d[i + lag])) / (list_sum(list_transform(d, lambda x: x * x)) + 1e-12) <= 0)[1], 0) AS DOUBLE) AS acf_first_zero,
-  len(list_filter(w, lambda x: x > m)) / CAST(n AS DOUBLE) AS prop_above_mean,
-  CAST(coalesce(list_max(list_transform(string_split(array_to_string(list_transform(w, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), ''), '0'), lambda t: len(t))), 0) AS DOUBLE) AS longest_run_above_mean,
+  len(list_filter(w, lambda x: x - m > 1e-9)) / CAST(n AS DOUBLE) AS prop_above_mean,
+  CAST(coalesce(list_max(list_transform(string_split(array_to_string(list_transform(w, lambda x: CASE WHEN x - m > 1e-9 THEN '1' ELSE '0' END), ''), '0'), lambda t: len(t))), 0) AS DOUBLE) AS longest_run_above_mean,
   CAST(len(list_filter(range(2, n), lambda i: w[i] > w[i - 1] AND w[i] > w[i + 1])) AS DOUBLE) AS n_local_max, q AS iqr,
   list_sum(list_transform(d, lambda x: x * x * x)) / n / (s * s * s + 1e-12) AS skew,
   sqrt(list_sum(list_transform(range(1, n + 1), lambda i: pow(d[i] - b * (i - 1 - (n - 1) / 2.0), 2))) / n) AS trend_resid_std,
