@@ -7,15 +7,17 @@
 2. Documents of equal sets are one class, found by the digest of the set with partial aggregation;
    only the class goes on. So exact copies make no pairs.
 3. In each bucket, members are compared with a centre, the one with most neighbours, not with each
-   other. Buckets whose members are all connected by then are done. In the others twice as many
+   other. Buckets whose members are all connected by then are done. In the others four times as many
    centres are taken as in the round before, and each member is compared with those of other
    components, until nothing is left to compare. No pair of one bucket that could join two
    components is left out, and a group of many near copies needs about as many comparisons as it has
-   members. Pairs are passed over only where they can't be linked: their sizes differ too much, or
-   too many of their shingles are in no other document that is still compared.
+   members, and as many again for each member that belongs to another component. After the first
+   round a pair is compared in only one of the buckets it shares. Pairs are passed over only where
+   they can't be linked: their sizes differ too much, or too many of their shingles are in no other
+   document that is still compared.
 4. A compared pair must agree in its signatures to within about five standard deviations of the
-   threshold, and is then confirmed on the full sets. A centre's set is sent once for each
-   few hundred of its partners.
+   threshold, and is then confirmed on the full sets. Sets are sent to tiles of some centres by some
+   members, each once for a tile.
 5. Components come from alternating large-star and small-star steps.
 
 Defined cases: null texts count as empty; a text without words has no shingles and is linked with
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, scramble, stage, text_or_empty, utf8, window_hashes
 
 BANDS, ROWS = 36, 5
-#: Partners of a centre that one group of the confirmation holds, about.
-PARTNERS = 400
+#: Times as many centres in each round as in the one before.
+GROWTH = 4
+#: Centres and members that one tile of the confirmation holds, about.
+TILE = (32, 256)
 _BASE = 0x9E3779B97F4A7C15
 _SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 _SETS_SQL = "uid long, doc_id long, version long, n_shingles long, digest binary, signature binary, buckets array<long>"
@@ -94,44 +98,45 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def _agree(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, signature of a, signature of b) whose signatures are near enough."""
-    for batch in batches:
-        if batch.num_rows:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-            keep = pa.array((left == right).mean(1) >= least)
-            yield batch.select([0, 1]).filter(keep)
-
-
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (a, part, b, shingles) sorted so that a centre's own row (b null) leads each part."""
-    at, centre = None, np.empty(0, np.uint64)
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int, n_minima: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, a, b, signature, shingles), sorted so that the sets of a tile (b null) come before its pairs."""
+    share = percent / 100
+    least = share - 5 * (share * (1 - share) / n_minima) ** 0.5
+    at, held = None, {}
     for batch in batches:
         found = []
-        for a, part, b, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = np.frombuffer(shingles, np.uint64)
+        for tile, a, b, signature, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tile != at:
+                at, held = tile, {}
             if b is None:
-                at, centre = (a, part), own
-            elif at == (a, part):
-                common = len(np.intersect1d(centre, own, assume_unique=True))
-                if 100 * common >= percent * (len(centre) + len(own) - common):
-                    found.append((a, b))
+                held[a] = np.frombuffer(signature, np.uint8), np.frombuffer(shingles, np.uint64)
+                continue
+            (left_minima, left), (right_minima, right) = held[a], held[b]
+            if (left_minima == right_minima).mean() < least:
+                continue
+            common = len(np.intersect1d(left, right, assume_unique=True))
+            if 100 * common >= percent * (len(left) + len(right) - common):
+                found.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least ``percent``: by signature, then on full sets."""
-    share = percent / 100
-    least = share - 5 * (share * (1 - share) / n_minima) ** 0.5
-    signature = nodes.select("node", "signature")
-    signed = pairs.join(signature.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(signature.withColumnsRenamed({"node": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
-    near = stage(signed.mapInArrow(lambda it: _agree(it, least), "a long, b long"), "near")
-    parts = near.groupBy("a").agg((F.count(F.lit(1)) / PARTNERS).cast("long").alias("last"))
-    partners = near.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("last") + 1)).drop("last")
-    centres = partners.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
-    members = partners.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "shingles")
-    dealt = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
+    """The pairs (a, b) whose similarity is at least ``percent``: by signature, then on full sets.
+
+    ``pairs`` has (group, a, b, flipped); ``a``, or ``b`` if flipped, is the centre. The pairs of a group
+    are laid out in tiles of some centres by some members, and a set is sent once for each tile.
+    """
+    pairs = pairs.select("group", "a", "b", F.when(F.col("flipped"), F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(F.col("flipped"), F.col("a")).otherwise(F.col("b")).alias("member"))
+    ends = pairs.select("group", F.col("centre").alias("node"), F.lit(0).alias("side")).union(pairs.select("group", F.col("member").alias("node"), F.lit(1).alias("side"))).distinct()
+    sides = ends.groupBy("group").agg(*(F.ceil(F.sum((F.col("side") == i).cast("long")) / most).alias(f"n_{i}") for i, most in enumerate(TILE)))
+    part = lambda node, n: F.pmod(F.xxhash64(node), F.col(n))
+    tiled = pairs.join(sides, "group").select(F.xxhash64("group", part("centre", "n_0"), part("member", "n_1")).alias("tile"), "a", "b")
+    known = sets.join(nodes.select("node", "signature"), "node")
+    needed = tiled.select("tile", F.col("a").alias("node")).union(tiled.select("tile", F.col("b").alias("node"))).distinct()
+    brought = needed.join(known, "node").select("tile", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "signature", "shingles")
+    rows = brought.union(tiled.select("tile", "a", "b", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+    dealt = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(lambda it: _confirm(it, percent, n_minima), "a long, b long")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -199,31 +204,40 @@ def linked(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int,
     while not last:
         rooted = live.drop("root").join(roots, "node", "left") if roots is not None else live.withColumn("root", F.lit(None).cast("long"))
         rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-        if centres == 2:
+        first = tried is None
+        if centres == GROWTH:
             rooted = unshared(stage(_spread(rooted), "live"), sets, percent)
+            # from here on a pair is compared in the least of the buckets it shares
+            rooted = rooted.join(rooted.groupBy("node").agg(F.collect_list("bucket").alias("among")), "node")
         live = stage(_spread(rooted), "live")
         sizes = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
         cross = sizes.groupBy("bucket").agg((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))).alias("n")).agg(F.sum("n")).first()[0]
         if cross is None:
             break
         # few pairs are left: compare them all. Else some of each bucket with the rest
-        last = cross <= 8 * live.count()
+        last = not first and cross <= 32 * live.count()
         slot = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)).alias("slot")
         # a centre comes from its slot's smallest component, so that odd members go first; of equals, the one with most neighbours
-        best = F.min(F.struct("size", (-F.col("weight")).alias("weight"), "node", "root", "n_shingles", "shared")).alias("c")
+        carried = ["node", "root", "n_shingles", "shared"] + ([] if first else ["among"])
+        best = F.min(F.struct("size", (-F.col("weight")).alias("weight"), *carried)).alias("c")
         chosen = live if last else stage(live.join(sizes, ["bucket", "root"]).groupBy("bucket", slot).agg(best).select("bucket", "c.*"), "centres")
-        other = chosen.select("bucket", F.col("node").alias("o"), F.col("root").alias("o_root"), F.col("n_shingles").alias("o_n"), F.col("shared").alias("o_shared"))
+        other = chosen.select(*(F.col(c).alias(f"o_{c}") for c in ["bucket", *carried]))
         # the common shingles are at most those that either shares with any
-        possible = (100 + percent) * F.least("shared", "o_shared") >= percent * (F.col("n_shingles") + F.col("o_n"))
-        met = live.join(other, (live["bucket"] == other["bucket"]) & (F.col("root") != F.col("o_root")) & possible & ((F.col("node") < F.col("o")) if last else F.lit(True)))
-        pairs = met.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+        possible = (100 + percent) * F.least("shared", "o_shared") >= percent * (F.col("n_shingles") + F.col("o_n_shingles"))
+        if not first:
+            possible &= F.array_min(F.array_intersect("among", "o_among")) == F.col("bucket")
+        met = live.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("root") != F.col("o_root")) & possible & ((F.col("node") < F.col("o_node")) if last else F.lit(True)))
+        group = F.col("o_node" if first else "bucket")
+        pairs = met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), F.struct(group.alias("group"), (F.col("o_node") > F.col("node")).alias("flipped")).alias("at"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("at").alias("at")).select("a", "b", "at.*")
+        pairs = stage(pairs if first else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs.select("a", "b") if first else tried.union(pairs.select("a", "b"))
         new = stage(confirmed(pairs, nodes, sets, percent, n_minima), "links")
-        links = new if links is None else links.union(new)
-        roots = stage(components(links), "roots")
-        live = live.drop("root").join(other.select("bucket", F.col("o").alias("node")), ["bucket", "node"], "left_anti")
-        centres *= 2
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            roots = stage(components(links), "roots")
+        live = live.drop("root").join(other.select(F.col("o_bucket").alias("bucket"), F.col("o_node").alias("node")), ["bucket", "node"], "left_anti")
+        centres *= GROWTH
     return roots
 
 
