@@ -141,10 +141,10 @@ def test_exact(both):
                 assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (min(members), len(members), d == min(members), sha(t))
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near(both, size):
+def near_by_hand(texts, size):
+    """{doc_id: (set size, component)} by comparing all pairs of (doc_id, text)."""
     ids, sets = [], []
-    for d, t in pairs(both):
+    for d, t in texts:
         words = re.findall("[^\x20\x09-\x0d]+", t.translate({c: c + 32 for c in range(65, 91)}))
         ids.append(d)
         sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
@@ -163,8 +163,28 @@ def test_near(both, size):
     least = {}
     for i, d in enumerate(ids):
         least[find(i)] = min(d, least.get(find(i), d))
+    return {d: (len(sets[i]), least[find(i)]) for i, d in enumerate(ids)}
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near(both, size):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(both, shingle=size).collect()}
-    assert got == {d: (len(sets[i]), least[find(i)]) for i, d in enumerate(ids)}
+    assert got == near_by_hand(pairs(both), size)
+
+
+def test_near_at_the_threshold(spark):
+    """One text with edits that others share: most pairs collide, some are linked, and several rounds are needed."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(240):
+        words = [f"w{k}" for k in range(150)]
+        for k in rng.choice(150, rng.integers(6, 15), replace=False):
+            words[k] = f"v{k}.{rng.integers(0, 3)}"
+        texts.append((i, " ".join(words)))
+    wanted = near_by_hand(texts, 2)
+    assert 1 < len({c for _, c in wanted.values()}) < len(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=2).collect()}
+    assert got == wanted
 
 
 def test_fingerprints(both):

@@ -94,8 +94,8 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int)
 def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        sets = [shingle_set(t, hashes, size).tobytes() for t in utf8(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        sets = [shingle_set(t, hashes, size).tobytes() for t in utf8(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["node", "signature", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int, n_minima: int) -> Iterator[pa.RecordBatch]:
@@ -120,20 +120,18 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, n_minima: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame:
     """The pairs (a, b) whose similarity is at least ``percent``: by signature, then on full sets.
 
     ``pairs`` has (group, a, b, flipped); ``a``, or ``b`` if flipped, is the centre. The pairs of a group
     are laid out in tiles of some centres by some members, and a set is sent once for each tile.
     """
     pairs = pairs.select("group", "a", "b", F.when(F.col("flipped"), F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(F.col("flipped"), F.col("a")).otherwise(F.col("b")).alias("member"))
-    ends = pairs.select("group", F.col("centre").alias("node"), F.lit(0).alias("side")).union(pairs.select("group", F.col("member").alias("node"), F.lit(1).alias("side"))).distinct()
-    sides = ends.groupBy("group").agg(*(F.ceil(F.sum((F.col("side") == i).cast("long")) / most).alias(f"n_{i}") for i, most in enumerate(TILE)))
+    sides = pairs.groupBy("group").agg(*(F.ceil(F.approx_count_distinct(c) / most).alias(f"n_{i}") for i, (c, most) in enumerate(zip(("centre", "member"), TILE, strict=True))))
     part = lambda node, n: F.pmod(F.xxhash64(node), F.col(n))
     tiled = pairs.join(sides, "group").select(F.xxhash64("group", part("centre", "n_0"), part("member", "n_1")).alias("tile"), "a", "b")
-    known = sets.join(nodes.select("node", "signature"), "node")
     needed = tiled.select("tile", F.col("a").alias("node")).union(tiled.select("tile", F.col("b").alias("node"))).distinct()
-    brought = needed.join(known, "node").select("tile", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "signature", "shingles")
+    brought = needed.join(sets, "node").select("tile", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "signature", "shingles")
     rows = brought.union(tiled.select("tile", "a", "b", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
     dealt = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(lambda it: _confirm(it, percent, n_minima), "a long, b long")
@@ -185,7 +183,7 @@ def unshared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Nodes that share too few of theirs to be linked with anything are left out.
     """
-    held = sets.join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_tokens, "token long, node long")
+    held = sets.select("node", "shingles").join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_tokens, "token long, node long")
     own = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("private"))
     out = live.drop("shared").join(own, "node", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("private", F.lit(0))).drop("private")
     return out.where(100 * F.col("shared") >= percent * F.col("n_shingles"))
@@ -232,7 +230,7 @@ def linked(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int,
         pairs = pairs.groupBy("a", "b").agg(F.min("at").alias("at")).select("a", "b", "at.*")
         pairs = stage(pairs if first else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs.select("a", "b") if first else tried.union(pairs.select("a", "b"))
-        new = stage(confirmed(pairs, nodes, sets, percent, n_minima), "links")
+        new = stage(confirmed(pairs, sets, percent, n_minima), "links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             roots = stage(components(links), "roots")
@@ -264,8 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = stage(dealt.join(full, "bucket"), "buckets")
     wanted = stage(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version", "n_shingles", "signature"), "nodes")
-    texts = base.withColumnsRenamed({"doc_id": "_d", "version": "_v"}).join(wanted.select("node", "doc_id", "version").hint("shuffle_hash"), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_v") == F.col("version")))
-    sets = stage(texts.select("node", "text").mapInArrow(lambda it: _full_sets(it, shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    texts = base.withColumnsRenamed({"doc_id": "_d", "version": "_v"}).join(wanted.select("node", "signature", "doc_id", "version").hint("shuffle_hash"), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_v") == F.col("version")))
+    sets = stage(texts.select("node", "signature", "text").mapInArrow(lambda it: _full_sets(it, shingle), "node long, signature binary, shingles binary").dropDuplicates(["node"]), "sets")
     roots = linked(wanted, buckets, sets, percent, bands * rows)
     found = classes if roots is None else classes.join(roots, "node", "left")
     found = found.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
