@@ -315,3 +315,35 @@ def test_html_pages(spark, sf):
     assert all(r["n_chars"] == len(r["text"]) for r in out)
     assert np.mean([r["n_chars"] > 100 for r in out]) > 0.7
     assert not any(re.search(r"</?(p|div|li|script)\b", r["text"]) for r in out)
+
+
+def extracted(spark, pages):
+    rows = [(i, url, f"<html><body>{body}</body></html>") for i, (url, body) in enumerate(pages)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r["text"] for r in sorted(out, key=lambda r: r["page_id"])]
+
+
+def test_html_slots_of_the_wrapper_decide(spark):
+    """The slogan and the text have one path; their places in the wrapper tell them apart. A menu is one run of texts."""
+    body = "<div>Slogan</div><h1>Title {0}</h1><div>text {0}</div><ul><li>Home</li><li>News</li></ul>"
+    extra = "<div>Slogan</div><h1>Title {0}</h1><div>text {0}</div><p>more {0}</p><p>still {0}</p><ul><li>Home</li><li>News</li></ul>"
+    got = extracted(spark, [("https://h/x", (body if i % 2 else extra).format(i)) for i in range(8)])
+    assert got == [f"Title {i}\ntext {i}" + (f"\nmore {i}\nstill {i}" if i % 2 == 0 else "") for i in range(8)]
+
+
+def test_wrapper_covers_its_pages():
+    rng = np.random.default_rng(5)
+    parts = ["<p>a</p>", "<ul><li>a</li><li>b</li></ul>", "<h2>h</h2><p>b</p>", "<div><p>x</p><p>y</p></div>", "<table><tr><td>1</td></tr></table>", "text"]
+    for _ in range(20):
+        pages = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(12)]
+        host, other = html_extract.Host(), html_extract.Host()
+        for i, p in enumerate(pages):
+            (host if i % 2 else other).add(p)
+        whole = html_extract.Host.load(host.dump())
+        whole.join(html_extract.Host.load(other.dump()))
+        matcher, paths = html_extract.Matcher(whole.wrapper), [s[1:] for s in html_extract.slots(whole.wrapper)]
+        for p in pages:
+            stream, found = html_extract.blocks(p)
+            assert [paths[i] for i in matcher.slots_of(stream)] == [path for path, _ in found]
+
+

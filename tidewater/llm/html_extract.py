@@ -4,13 +4,16 @@
    fold into repeated groups, innermost first.
 2. The pages of a host are aligned one after the other with the wrapper so far. Where they differ,
    a group that is there several times on one side becomes a repeated group, what only one side has
-   an optional group, and differing texts leave a slot. Pages of one structure are aligned once.
+   an optional group, and differing texts leave a slot. Pages of one structure are aligned once. The
+   wrapper covers each of them.
 3. Tasks first fold the pages they read into one wrapper a host; only these partial wrappers are
    shuffled and aligned again, first in a few parts a host, so that a host with a third of all pages
    is no hot group.
-4. Each slot of the wrapper, that is each path of tags to a text, gets a role from its tags and
-   classes and, where the host's pages have no article element, from whether its text varies from
-   page to page. Pages are read again, and the texts in content slots come out.
+4. Each slot of the wrapper carries what the pages had there: one text (or, in a repeated group, one
+   run of texts) or differing ones. By that and by the tags and classes around it the slot is content
+   or boilerplate.
+5. Pages are read again and matched against their wrapper, which gives the slot of each text; the
+   texts in content slots come out.
 
 Wrappers are joined to the pages by host; Spark broadcasts them if they are small, else it splits hot hosts.
 
@@ -22,13 +25,13 @@ with the page. An empty table gives an empty table. Other columns are not read.
 from __future__ import annotations
 
 import difflib
-import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,9 @@ BLOCK = frozenset(
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("article main section div ul ol dl table tbody thead tr td th body html nav aside header footer form blockquote figure".split())
-OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+OUTSIDE_TAGS = frozenset("nav footer aside menu dialog".split())
+LAYOUT_WORDS = frozenset("with has have no without layout".split())  # with-sidebar: not the sidebar
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption summary".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup login register comment comments reply replies respond disqus share sharing social related recommended recommendations widget pagination pager copyright skip".split()
@@ -56,30 +61,33 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _LONGEST_SQUARE = 16
+#: So many different pages with one text in a slot make it a fixed one.
+LEAST_PAGES = 3
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """An element's class and id words, and whether these, its role or style set it apart."""
-    words, apart = [], False
+def _marks(attributes: str) -> tuple[str, str]:
+    """An element's class and id words, and a mark if its role or style (!) or else such a word (~) sets it apart."""
+    words, apart, named = [], False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             own = re.findall(r"[a-z]+", re.sub(r"\d+", "", value))
             words += own
-            apart |= any(w in OUTSIDE_WORDS for w in own)
+            if not OUTSIDE_WORDS.isdisjoint(own):
+                named |= any(not OUTSIDE_WORDS.isdisjoint(w) and LAYOUT_WORDS.isdisjoint(w) for w in (re.findall(r"[a-z]+", t) for t in value.split()))
         elif name == "role":
             apart |= value in OUTSIDE_ROLES
         elif name == "style":
             apart |= "display:none" in value.replace(" ", "")
         else:
             apart |= value != "false"
-    return ".".join(sorted(set(words))), apart
+    return ".".join(sorted(set(words))), "!" if apart else "~" if named else ""
 
 
 def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     """The stream of block tags and slots, and the (path, text) of each block of text.
 
-    A path is the elements around a text, ``!`` marking one that is set apart.
+    A path is the elements around a text, ``!`` or ``~`` marking one that is set apart. A slot is ``#`` and its path.
     """
     stack: list[tuple[str, str]] = []  # (tag, label)
     stream: list[str] = []
@@ -87,15 +95,16 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     pending: list[str] = []
 
     def path() -> str:
-        return "/".join(label for tag, label in stack if tag in BLOCK or label.endswith("!"))
+        return "/".join(label for tag, label in stack if tag in BLOCK or label[-1] in "!~")
 
     def flush() -> None:
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                stream.append("#")
-                found.append((path(), text))
+                at = path()
+                stream.append(f"#{at}")
+                found.append((at, text))
 
     def close(at: int) -> None:
         for tag, label in reversed(stack[at:]):
@@ -121,11 +130,11 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if at is None:
                 continue
-            if block or any(t in BLOCK or x.endswith("!") for t, x in stack[at:]):
+            if block or any(t in BLOCK or x[-1] in "!~" for t, x in stack[at:]):
                 flush()
             close(at)
             continue
-        words, apart = _marks(attributes) if attributes else ("", False)
+        words, apart = _marks(attributes) if attributes else ("", "")
         if block or apart:
             flush()
         if block:
@@ -136,7 +145,7 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
                     break
                 if stack[i][0] in HOLDS:
                     break
-        label = tag + (f".{words}" if words and block else "") + "!" * apart
+        label = tag + (f".{words}" if words and block else "") + apart
         stack.append((tag, label))
         if block:
             stream.append(f"<{label}>")
@@ -145,7 +154,51 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     return stream, found
 
 
-# A wrapper is a tuple of nodes: a token (str), or (sign, nodes) with sign "+" for repeated and "?" for optional groups.
+# A wrapper is a tuple of nodes: a tag (str), a slot, or (sign, nodes): "+" once or more, "?" at most once, "*" any number.
+
+
+class Slot(str):
+    """A place for text, equal to others of its path, and what pages have there.
+
+    ``text`` is a hash of the one text or run of texts that all pages have, or None where they
+    differ; ``seen`` holds the least hashes of different pages, as many as make evidence.
+    """
+
+    __slots__ = ("seen", "text")
+
+    def __new__(cls, path: str, text: int | None, seen: tuple) -> Slot:
+        self = super().__new__(cls, path)
+        self.text, self.seen = text, seen
+        return self
+
+    def fixed(self) -> bool:
+        return self.text is not None and len(self.seen) >= LEAST_PAGES
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _both(a: Slot, b: Slot, run: bool) -> Slot:
+    """One slot of two: of one page's run of texts, or of different pages."""
+    if run:
+        text = None if a.text is None or b.text is None else _hash(f"{a.text} {b.text}")
+    else:
+        text = a.text if a.text == b.text else None
+    return Slot(a, text, a.seen if a.seen == b.seen else tuple(sorted({*a.seen, *b.seen})[:LEAST_PAGES]))
+
+
+def merged(a: tuple | list, b: tuple | list, run: bool = False) -> tuple:
+    """Equal nodes, with what the slots of both have seen."""
+    return tuple((x[0], merged(x[1], y[1], run)) if isinstance(x, tuple) else _both(x, y, run) if isinstance(x, Slot) else x for x, y in zip(a, b, strict=True))
+
+
+def slots(nodes: tuple) -> Iterator[Slot]:
+    for n in nodes:
+        if isinstance(n, tuple):
+            yield from slots(n[1])
+        elif isinstance(n, Slot):
+            yield n
 
 
 def folded(stream: list) -> tuple:
@@ -159,12 +212,12 @@ def folded(stream: list) -> tuple:
             for width in range(1, min(_LONGEST_SQUARE, len(out) - 1) + 1):
                 tail = out[-width:]
                 before = out[-width - 1]
-                if isinstance(before, tuple) and before[0] == "+" and list(before[1]) == tail:
-                    del out[-width:]
+                if isinstance(before, tuple) and before[0] in "+*" and list(before[1]) == tail:
+                    out[-width - 1 :] = [(before[0], merged(before[1], tail, True))]
                     again = True
                     break
                 if before == tail[-1] and len(out) >= 2 * width and out[-2 * width : -width] == tail and balanced(tail):
-                    out[-2 * width :] = [("+", tuple(tail))]
+                    out[-2 * width :] = [("+", merged(out[-2 * width : -width], tail, True))]
                     again = True
                     break
     return tuple(out)
@@ -174,7 +227,7 @@ def balanced(nodes: list) -> bool:
     """Whether tags open and close within, so that a group is a piece of structure."""
     depth = 0
     for n in nodes:
-        if isinstance(n, str) and n != "#":
+        if isinstance(n, str) and not isinstance(n, Slot):
             depth += -1 if n.startswith("</") else 1
             if depth < 0:
                 return False
@@ -184,12 +237,12 @@ def balanced(nodes: list) -> bool:
 def aligned(a: tuple, b: tuple) -> tuple:
     """The union-free expression that covers both."""
     if a == b:
-        return a
+        return merged(a, b)
     out: list = []
     for op, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         left, right = a[a0:a1], b[b0:b1]
         if op == "equal":
-            out += left
+            out += merged(left, right)
         else:
             out += resolved(left, right)
     return folded(out)
@@ -199,115 +252,238 @@ def resolved(left: tuple, right: tuple) -> list:
     """A mismatch: repeated and optional groups take in what they match; all else becomes optional."""
     if len(left) == len(right) == 1 and isinstance(left[0], tuple) and isinstance(right[0], tuple):
         (s, x), (t, y) = left[0], right[0]
-        return [("+" if "+" in (s, t) else "?", aligned(x, y))]
+        return [(_sign(s, t), aligned(x, y))]
     for one, other in ((left, right), (right, left)):
         if len(one) == 1 and isinstance(one[0], tuple) and other:
             sign, inner = one[0]
-            if other == inner:
-                return [one[0]]
-            if difflib.SequenceMatcher(None, inner, other, autojunk=False).ratio() > 0.6:
+            if other == inner or difflib.SequenceMatcher(None, inner, other, autojunk=False).ratio() > 0.6:
                 return [(sign, aligned(inner, other))]
     return _optional(left) + _optional(right)
 
 
+def _sign(s: str, t: str) -> str:
+    """What allows for both: many if one does, none if one does."""
+    many, none = {s, t} & {"+", "*"}, {s, t} & {"?", "*"}
+    return "*" if many and none else "+" if many else "?"
+
+
 def _optional(nodes: tuple) -> list:
     if not nodes:
         return []
-    return [nodes[0]] if len(nodes) == 1 and isinstance(nodes[0], tuple) and nodes[0][0] == "?" else [("?", nodes)]
+    if len(nodes) == 1 and isinstance(nodes[0], tuple):
+        return [(_sign("?", nodes[0][0]), nodes[0][1])]
+    return [("?", nodes)]
 
 
 def shown(wrapper: tuple) -> str:
     """The wrapper as a regular expression over tags and slots."""
-    return " ".join(n if isinstance(n, str) else f"({shown(n[1])}){n[0]}" for n in wrapper)
+    return " ".join(f"({shown(n[1])}){n[0]}" if isinstance(n, tuple) else "#" if isinstance(n, Slot) else n for n in wrapper)
+
+
+class Matcher:
+    """A wrapper as a machine that reads a page's stream and tells the slot of each text."""
+
+    def __init__(self, wrapper: tuple) -> None:
+        #: (token, number of the slot or None), or (None, the two places to go on at)
+        self.steps: list[tuple] = []
+        self.n_slots = 0
+        self._compile(wrapper)
+
+    def _compile(self, nodes: tuple) -> None:
+        for n in nodes:
+            if not isinstance(n, tuple):
+                self.steps.append((str(n), self.n_slots if isinstance(n, Slot) else None))
+                self.n_slots += isinstance(n, Slot)
+                continue
+            start = len(self.steps)
+            if n[0] in "?*":
+                self.steps.append((None, None))
+            body = len(self.steps)
+            self._compile(n[1])
+            if n[0] in "+*":
+                self.steps.append((None, (body, len(self.steps) + 1)))
+            if n[0] in "?*":
+                self.steps[start] = (None, (body, len(self.steps)))
+
+    def _reached(self, at: int, path: tuple | None, into: dict[int, tuple | None]) -> None:
+        todo = [at]
+        while todo:
+            at = todo.pop()
+            if at in into:
+                continue
+            into[at] = path
+            if at < len(self.steps) and self.steps[at][0] is None:
+                first, second = self.steps[at][1]
+                todo += (second, first)
+
+    def slots_of(self, stream: list[str]) -> list[int] | None:
+        """The slot of each text, or None if the page isn't of this structure. Groups take what they can."""
+        states: dict[int, tuple | None] = {}
+        self._reached(0, None, states)
+        for token in stream:
+            following: dict[int, tuple | None] = {}
+            for at, path in states.items():
+                if at < len(self.steps) and self.steps[at][0] == token:
+                    slot = self.steps[at][1]
+                    self._reached(at + 1, path if slot is None else (slot, path), following)
+            if not following:
+                return None
+            states = following
+        if len(self.steps) not in states:
+            return None
+        path, out = states[len(self.steps)], []
+        while path is not None:
+            out.append(path[0])
+            path = path[1]
+        return out[::-1]
+
+
+def shape(stream: list[str], texts: list[str]) -> tuple:
+    """A page folded, its slots holding its texts."""
+    page, following = (_hash("\n".join(texts)),), iter(texts)
+    return folded([Slot(t, _hash(next(following)), page) if t[0] == "#" else t for t in stream])
 
 
 class Host:
-    """A wrapper and what is known of its slots: path -> [pages, its one text's hash or None]."""
+    """The wrapper of a host's pages; pages of one shape are held together until they are aligned."""
 
-    def __init__(self, wrapper: tuple = (), slots: dict | None = None, pages: int = 0) -> None:
-        self.wrapper, self.slots, self.pages = wrapper, slots or {}, pages
-        self.met: set[tuple] = set()
+    def __init__(self, wrapper: tuple = (), pages: int = 0) -> None:
+        self._wrapper, self.pages, self._fresh = wrapper, pages, pages == 0
+        self.shapes: dict[tuple, tuple] = {}
 
-    def add(self, page: str) -> None:
+    def add(self, page: str) -> int:
+        """How much there is more to hold."""
         stream, found = blocks(page)
-        shape = folded(stream)
-        if shape not in self.met:
-            if len(self.met) < 1000:
-                self.met.add(shape)
-            self.wrapper = aligned(self.wrapper, shape) if self.pages else shape
-        texts: dict[str, str | None] = {}
-        for path, text in found:
-            texts[path] = None if path in texts else hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
-        self._slots({p: [1, t] for p, t in texts.items()})
+        return self.take(shape(stream, [t for _, t in found]))
+
+    def take(self, one: tuple) -> int:
+        held = self.shapes.get(one)
+        self.shapes[one] = one if held is None else merged(held, one)
         self.pages += 1
+        return len(one) if held is None else 0
 
-    def _slots(self, other: dict) -> None:
-        for path, (n, text) in other.items():
-            mine = self.slots.get(path)
-            self.slots[path] = [n, text] if mine is None else [mine[0] + n, text if text == mine[1] else None]
+    @property
+    def wrapper(self) -> tuple:
+        for one in self.shapes.values():
+            self._wrapper = one if self._fresh else aligned(self._wrapper, one)
+            self._fresh = False
+        self.shapes = {}
+        return self._wrapper
 
     def join(self, other: Host) -> None:
-        self.wrapper = aligned(self.wrapper, other.wrapper) if self.pages else other.wrapper
-        self._slots(other.slots)
+        mine = self.wrapper
+        self._wrapper = other.wrapper if self._fresh else aligned(mine, other.wrapper)
+        self._fresh = False
         self.pages += other.pages
 
     def dump(self) -> str:
-        return json.dumps([self.wrapper, self.slots, self.pages])
+        return json.dumps([_plain(self.wrapper), self.pages])
 
     @staticmethod
     def load(text: str) -> Host:
-        wrapper, slots, pages = json.loads(text)
-        again = lambda nodes: tuple(n if isinstance(n, str) else (n[0], again(n[1])) for n in nodes)
-        return Host(again(wrapper), slots, pages)
+        wrapper, pages = json.loads(text)
+        return Host(_again(wrapper), pages)
 
     def content(self) -> list[str]:
         """The paths of content slots."""
-        fit = {p: self.slots[p] for p in self.slots if not outside(p)}
-        within = [p for p in fit if any(x.split(".")[0] in INSIDE_TAGS for x in p.split("/"))]
-        if within:
-            return sorted(within)
-        # no article element: what varies from page to page, or all if there is nothing to compare with
-        return sorted(p for p, (n, text) in fit.items() if text is None or n < 3)
+        return sorted({str(s)[1:] for s, fit in zip(slots(self.wrapper), roles(self.wrapper), strict=True) if fit})
+
+
+def _plain(nodes: tuple) -> list:
+    return [[n[0], _plain(n[1])] if isinstance(n, tuple) else [str(n), n.text, n.seen] if isinstance(n, Slot) else n for n in nodes]
 
 
-def outside(path: str) -> bool:
-    """Whether an element around the text sets it apart; an article's own header is part of it."""
-    inside = False
+def _again(nodes: list) -> tuple:
+    return tuple(n if isinstance(n, str) else (n[0], _again(n[1])) if len(n) == 2 else Slot(n[0], n[1], tuple(n[2])) for n in nodes)
+
+
+# How a text stands, in rising order of what makes it content.
+OUT, NAMED, PLAIN, ODD_ARTICLE, ARTICLE = range(5)
+
+
+def standing(path: str) -> tuple[int, bool]:
+    """How a text stands by the elements around it, and whether a class word sets apart a part of its article.
+
+    Tags and roles that set a text apart outweigh all. Class words only count where no article or
+    main element is around them or within: such words also name layouts. An article's own header
+    is part of it, and an article whose own class sets it apart (a comment) is one if there is no other.
+    """
+    level, within = PLAIN, False
     for label in path.split("/"):
-        tag = label.rstrip("!").split(".")[0]
-        if tag in INSIDE_TAGS and not label.endswith("!"):
-            inside = True
-        elif label.endswith("!") and tag not in ("html", "body") or tag in OUTSIDE_TAGS or (tag == "header" and not inside):
-            return True
-    return False
+        tag, named = label.rstrip("!~").split(".")[0], "~" in label
+        if "!" in label and tag not in ("html", "body"):
+            return OUT, False
+        if tag in INSIDE_TAGS:
+            if level < ODD_ARTICLE or (level == ODD_ARTICLE and tag == "main"):
+                level = ODD_ARTICLE if named and tag != "main" else ARTICLE
+                within = False
+            elif named:
+                within = True
+        elif tag in OUTSIDE_TAGS or (tag == "header" and level < ODD_ARTICLE):
+            return OUT, False
+        elif named or tag in ("form", "fieldset"):
+            if level == PLAIN and tag not in ("html", "body"):
+                level = NAMED
+            elif level >= ODD_ARTICLE and named:
+                within = True
+    return level, within
+
+
+def kind_of(paths: Iterable[str]) -> int:
+    """The structure of a page by its texts: how the best of them stands."""
+    return max((standing(p)[0] for p in paths), default=OUT)
+
+
+def roles(wrapper: tuple) -> list[bool]:
+    """For each slot of the wrapper, whether it is content.
+
+    A slot is where its text stands as the page's best. Of these, one whose text is the same on
+    different pages is boilerplate if it stands outside of articles or a class word sets it apart;
+    a heading of texts that differ is none. Copies of a page are no evidence.
+    """
+    found = list(slots(wrapper))
+    stands = [standing(s[1:]) for s in found]
+    kind = max((level for level, _ in stands), default=OUT)
+    out = []
+    for i, (slot, (level, within)) in enumerate(zip(found, stands, strict=True)):
+        fit = level == kind and level > OUT
+        if fit and slot.fixed() and (within or level < ODD_ARTICLE):
+            heads, _, tag = slot[1:].rpartition("/")
+            after = found[i + 1] if i + 1 < len(found) else None
+            fit = tag.split(".")[0].rstrip("!~") in HEADINGS and not within and after is not None and stands[i + 1][0] == kind and not after.fixed() and f"{after[1:]}/".startswith(f"{heads}/")
+        out.append(fit)
+    return out
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, html) -> partial wrappers."""
-    hosts: dict[str, Host] = {}
+    """Rows (host, html) -> partial wrappers, one for each structure of a host's pages."""
+    hosts: dict[tuple[str, int], Host] = {}
+    held = 0
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            hosts.setdefault(host, Host()).add(page or "")
-        if sum(len(h.slots) + len(h.wrapper) for h in hosts.values()) > 500_000:
+            stream, found = blocks(page or "")
+            key = host, kind_of(p for p, _ in found)
+            held += hosts.setdefault(key, Host()).take(shape(stream, [t for _, t in found]))
+        if held > 500_000:
             yield _dumped(hosts)
-            hosts = {}
+            hosts, held = {}, 0
     if hosts:
         yield _dumped(hosts)
 
 
-def _dumped(hosts: dict[str, Host]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(hosts)), pa.array([h.dump() for h in hosts.values()])], names=["host", "state"])
+def _dumped(hosts: dict[tuple[str, int], Host]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([h for h, _ in hosts]), pa.array([k for _, k in hosts], pa.int32()), pa.array([h.dump() for h in hosts.values()])], names=["host", "kind", "state"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, state) sorted by host -> one row a host."""
+    """Rows (host, kind, state) sorted by host and kind -> one row for each of them."""
     at, state = None, None
     for batch in batches:
-        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if host != at:
+        for host, kind, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (host, kind) != at:
                 if state is not None:
                     yield _dumped({at: state})
-                at, state = host, Host.load(text)
+                at, state = (host, kind), Host.load(text)
             else:
                 state.join(Host.load(text))
     if state is not None:
@@ -316,34 +492,67 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        states = [Host.load(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.pages for s in states], pa.int64()), pa.array([shown(s.wrapper) for s in states]), pa.array([s.content() for s in states], pa.list_(pa.string()))], names=["host", "pages", "wrapper", "content"])
+        states = [Host.load(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.pages for s in states], pa.int64()), pa.array([shown(s.wrapper) for s in states]), pa.array([json.dumps([_plain(s.wrapper), roles(s.wrapper)]) for s in states])], names=["host", "kind", "pages", "wrapper", "rules"])
+
+
+class Rules:
+    """The matchers and roles of one host, by the structure of pages."""
+
+    def __init__(self, texts: list[dict]) -> None:
+        self.by_kind = {}
+        for r in texts:
+            wrapper, fit = json.loads(r["rules"])
+            self.by_kind[r["kind"]] = (Matcher(_again(wrapper)), fit)
+        self.known: dict[tuple, list[bool]] = {}
+
+    def of(self, stream: list[str], found: list[tuple[str, str]]) -> list[bool]:
+        """For each text whether it comes out. A page that no wrapper matches is judged by its own shape."""
+        key = tuple(stream)
+        fits = self.known.get(key)
+        if fits is None:
+            matcher, fit = self.by_kind.get(kind_of(p for p, _ in found), (None, None))
+            at = matcher.slots_of(stream) if matcher else None
+            if at is None:
+                one = shape(stream, [t for _, t in found])
+                at, fit = Matcher(one).slots_of(stream), roles(one)
+            fits = [fit[i] for i in at]
+            if len(self.known) < 1000:
+                self.known[key] = fits
+        return fits
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str | None, Rules] = {}
     for batch in batches:
-        texts, known = [], {}
-        for page, content in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            key = tuple(content or ())
-            paths = known.setdefault(key, frozenset(key))
-            texts.append("\n".join(t for p, t in blocks(page or "")[1] if p in paths))
+        texts = []
+        hosts = batch.column(3)
+        rules = batch.column(4)
+        for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), hosts.to_pylist(), strict=True)):
+            if host not in known:
+                if len(known) >= 1000:
+                    known.clear()
+                known[host] = Rules(rules[i].as_py() or [])
+            stream, found = blocks(page or "")
+            texts.append("\n".join(t for (_, t), fit in zip(found, known[host].of(stream, found), strict=True) if fit))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def wrappers(pages: DataFrame, parts: int = 8) -> DataFrame:
-    """``host, pages, wrapper, content`` from (host, html): the wrapper and the paths of its content slots."""
-    state = "host string, state string"
+    """``host, kind, pages, wrapper, rules`` from (host, html): the wrapper of each structure and which of its slots are content."""
+    state = "host string, kind int, state string"
     partial = pages.mapInArrow(_fold, state).withColumn("part", F.pmod(F.xxhash64("state"), F.lit(parts)))
-    some = partial.repartition("host", "part").sortWithinPartitions("host", "part").select("host", "state").mapInArrow(_merge, state)
-    whole = some.repartition("host").sortWithinPartitions("host", "state").mapInArrow(_merge, state)
-    return whole.mapInArrow(_roles, "host string, pages long, wrapper string, content array<string>")
+    some = partial.repartition("host", "kind", "part").sortWithinPartitions("host", "kind", "part").select("host", "kind", "state").mapInArrow(_merge, state)
+    whole = some.repartition("host", "kind").sortWithinPartitions("host", "kind", "state").mapInArrow(_merge, state)
+    return whole.mapInArrow(_roles, "host string, kind int, pages long, wrapper string, rules string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each page: ``page_id, url, text, n_chars``."""
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    found = stage(wrappers(rows.select("host", "html")), "wrappers").select("host", "content")
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "content")
+    named = F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), F.when(named != "", named).alias("host"))
+    found = stage(wrappers(rows.where("host IS NOT NULL").select("host", "html")), "wrappers")
+    found = found.groupBy("host").agg(F.collect_list(F.struct("kind", "rules")).alias("rules"))
+    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "host", "rules")
     schema = f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long"
     return joined.mapInArrow(_extract, schema)
