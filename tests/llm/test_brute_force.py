@@ -347,3 +347,40 @@ def test_wrapper_covers_its_pages():
             assert [paths[i] for i in matcher.slots_of(stream)] == [path for path, _ in found]
 
 
+
+
+def test_html_each_structure_of_a_host_has_its_rule(spark):
+    """An article on some pages leaves the others as they are."""
+    plain, article = "<div>Slogan</div><h1>P{0}</h1><p>own {0}</p>", "<div>Slogan</div><article><h1>A{0}</h1><p>own {0}</p></article>"
+    got = extracted(spark, [("https://h/x", (article if i % 2 else plain).format(i)) for i in range(8)])
+    assert got == [f"{'A' if i % 2 else 'P'}{i}\nown {i}" for i in range(8)]
+
+
+@pytest.mark.parametrize("url", [None, "odd", "https:///x", "//"])
+def test_html_pages_without_a_host_have_none_in_common(spark, url):
+    bodies = ["<article><p>one</p></article>"] + ["<div><p>same</p></div>", "<h1>x</h1><p>same</p>"] * 3
+    assert extracted(spark, [(url, b) for b in bodies]) == ["one"] + ["same", "x\nsame"] * 3
+
+
+def test_html_copies_are_no_evidence(spark):
+    copy = "<h1>Title</h1><p>whole text</p>"
+    assert extracted(spark, [("https://h/x", copy)] * 6) == ["Title\nwhole text"] * 6
+    # two different pages, one of them often
+    assert extracted(spark, [("https://h/x", copy)] * 6 + [("https://h/y", "<h1>Title</h1><p>other</p>")]) == ["Title\nwhole text"] * 6 + ["Title\nother"]
+
+
+def test_html_constant_subheading_stays(spark):
+    page = "<h1>T{0}</h1><p>a {0}</p><h2>Summary</h2><p>b {0}</p><div>(c) Site</div>"
+    assert extracted(spark, [("https://h/x", page.format(i)) for i in range(5)]) == [f"T{i}\na {i}\nSummary\nb {i}" for i in range(5)]
+
+
+def test_html_class_words_do_not_override_an_article(spark):
+    inner = "<div class='layout with-sidebar'><article><p>text {0}</p></article></div><div class='sidebar'><p>teaser {0}</p></div>"
+    assert extracted(spark, [("https://h/x", inner.format(i)) for i in range(4)]) == [f"text {i}" for i in range(4)]
+    outer = "<article><h1>T{0}</h1><p class='notice'>own {0}</p><div class='share'>Share this</div></article>"
+    assert extracted(spark, [("https://h/x", outer.format(i)) for i in range(4)]) == [f"T{i}\nown {i}" for i in range(4)]
+    comments = "<main><p>text {0}</p></main><article class='comment'><p>me too {0}</p></article>"
+    assert extracted(spark, [("https://h/x", comments.format(i)) for i in range(4)]) == [f"text {i}" for i in range(4)]
+    layout = "<div class='page with-sidebar'><h1>T{0}</h1><p>text {0}</p></div>"
+    assert extracted(spark, [("https://h/x", layout.format(i)) for i in range(4)]) == [f"T{i}\ntext {i}" for i in range(4)]
+    assert extracted(spark, [("https://h/x", (layout + "<p>(c) Site {0}</p>").format(i)) for i in range(4)]) == [f"T{i}\ntext {i}\n(c) Site {i}" for i in range(4)]
