@@ -46,3 +46,59 @@ def test_auroc_is_the_share_of_ordered_pairs(spark):
     for g in "ab":
         up, down = [p for k, y, p in rows if k == g and y], [p for k, y, p in rows if k == g and not y]
         assert got[g] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in up for b in down]))
+
+
+def area(y, p, w):
+    """AUROC of rows that count ``w`` times."""
+    up, down = w * (y == 1), w * (y == 0)
+    total = up.sum() * down.sum()
+    if not total:
+        return math.nan
+    marks, at = np.unique(p, return_inverse=True)
+    u, d = np.bincount(at, up, len(marks)), np.bincount(at, down, len(marks))
+    return float((u * (np.cumsum(d) - d / 2)).sum() / total)
+
+
+@pytest.fixture(scope="module")
+def redrawn(spark, sf):
+    """{rep: (AUROC, AUROC under each of numpy's 2000 draws of clusters)}"""
+    rows = queries.long_scores(spark, sf).select("rep", "cluster", "y", "p").toPandas()
+    names = sorted(set(rows["cluster"]))
+    rng = np.random.default_rng(0)
+    mult = [np.bincount(rng.integers(0, len(names), size=len(names)), minlength=len(names)) for _ in range(2000)]
+    out = {}
+    for rep, g in rows.groupby("rep"):
+        place, y, p = np.searchsorted(names, g["cluster"]), g["y"].to_numpy(), g["p"].to_numpy(float)
+        out[rep] = area(y, p, np.ones(len(g))), np.array([area(y, p, m[place]) for m in mult])
+    return out
+
+
+def test_numpy_draws(spark, sf, redrawn):
+    (got,) = queries.QUERIES["b7_numpy_draws"](spark, sf).collect()
+    point, reps = redrawn["level"]
+    assert (got["auroc"], got["ci_lo"], got["ci_hi"]) == pytest.approx((point, *np.nanpercentile(reps, [2.5, 97.5])), abs=2e-6)
+
+
+def test_drawn_contrasts(spark, sf, redrawn):
+    got = {(r["a"], r["b_rep"]): r for r in queries.QUERIES["b9_drawn_contrasts"](spark, sf).collect()}
+    assert set(got) == {("level", "mean"), ("level", "season"), ("mean", "season")}
+    for (a, b), r in got.items():
+        d = redrawn[a][1] - redrawn[b][1]
+        d = d[~np.isnan(d)]
+        p = min(1, 2 * min((d > 1e-12).mean(), (d < -1e-12).mean()) + 1 / (len(d) + 1))
+        assert len(d) > 1000
+        assert (r["delta"], r["ci_lo"], r["ci_hi"]) == pytest.approx((redrawn[a][0] - redrawn[b][0], *np.percentile(d, [2.5, 97.5])), abs=2e-6)
+        assert r["p_value"] == pytest.approx(p, abs=2e-3)
+        assert r["stars"] == ("***" if r["p_value"] < 0.001 else "**" if r["p_value"] < 0.01 else "*" if r["p_value"] < 0.05 else "")
+    assert got["level", "mean"]["family"] == "confirmatory"
+
+
+def test_replicates_that_set_no_floor(spark):
+    """A clear contrast gets all its stars: 40 replicates can't go below 0.0244."""
+    from tidewater.operators import inference
+
+    rows = [(f"u-{k}", rep, i % 2, float(i % 2 if rep == "a" else -(i % 2))) for k in range(8) for rep in "ab" for i in range(6)]
+    oof = spark.createDataFrame(rows, "cluster string, rep string, y int, p double")
+    reps = inference.replicate_metrics(oof, inference.draws(oof), ["rep"], ("auroc",))
+    (r,) = queries.judged(metrics.auroc(oof, ["rep"]), reps, "a", "b").collect()
+    assert r["p_value"] == pytest.approx(1 / 2001, abs=1e-6) and r["stars"] == "***"

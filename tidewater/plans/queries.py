@@ -300,6 +300,7 @@ def shared_draws(oof: DataFrame, replicates: int) -> DataFrame:
     return b.select("b", "cluster", ((F.col("b") * 31 + F.col("k") * 17 + F.col("b") * F.col("k")) % 3).alias("mult"))
 
 
+#: Replicates of the queries that SQL is held against: they check the arithmetic. The b8 to b11 draw as many as the protocol says.
 REPS = 40
 
 
@@ -326,8 +327,9 @@ def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b3_calibration")
 def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = long_scores(spark, sf_dir)
-    return rounded(inference.calibration(oof, shared_draws(oof, REPS), ["rep"]))
+    """Newton's method has no SQL, so the draws are those of production."""
+    oof = long_scores(spark, sf_dir).persist()
+    return rounded(inference.calibration(oof, inference.draws(oof), ["rep"]))
 
 
 SQL["b4_beats_chance"] = f"""WITH {_DRAWN}, reps AS ({sql.weighted_auroc('drawn', 'b, rep, unit')}), point AS ({sql.weighted_auroc(_ONES, 'rep, unit', 'one')}),
@@ -360,7 +362,42 @@ def b6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production draws: one seeded stream, as many as ``REPLICATES``; tests hold them against numpy."""
     oof = long_scores(spark, sf_dir).where("rep = 'level'")
-    return rounded(inference.beats_chance(oof, inference.draws(oof, 200), ["rep"]))
+    return rounded(inference.beats_chance(oof, inference.draws(oof), ["rep"]))
+
+
+def drawn(spark: SparkSession, sf_dir: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Scores, and their AUROC under each of the ``REPLICATES`` seeded draws of clusters."""
+    oof = long_scores(spark, sf_dir).persist()
+    return oof, inference.replicate_metrics(oof, inference.draws(oof), by, ("auroc",))
+
+
+@query("b8_drawn_multiplicities")
+def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(drawn(spark, sf_dir, ["rep"])[1])
+
+
+@query("b9_drawn_contrasts")
+def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """b2, b5 and g1 on production draws: intervals, p, adjusted p and stars; tests hold it against numpy."""
+    oof, reps = drawn(spark, sf_dir, ["rep"])
+    return judged(metrics.auroc(oof, ["rep"]), reps, "level", "mean")
+
+
+def judged(points: DataFrame, reps: DataFrame, a: str, b: str) -> DataFrame:
+    """Each pair's contrast, the planned one of ``a`` and ``b`` apart from the others."""
+    pairs = rounded(inference.paired_contrasts(points, reps, "rep", "auroc").select("a", "b_rep", "delta", "ci_lo", "ci_hi", "p_value"))
+    return rounded(inference.confirmatory(pairs, a, b)).withColumn("stars", reporting.stars(F.col("p_value")))
+
+
+@query("b10_drawn_beats_chance")
+def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof = long_scores(spark, sf_dir).persist()
+    return rounded(inference.beats_chance(oof, inference.draws(oof), ["rep", "unit"]))
+
+
+@query("b11_drawn_stability")
+def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(inference.stability(drawn(spark, sf_dir, ["rep"])[1], ["rep"], "auroc"))
 
 
 # Comparator
@@ -491,7 +528,7 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = comparator.with_cluster(a.join(d, KEYS))
     reps = F.array(F.struct(F.lit("accumulation").alias("rep"), F.col("pa").alias("p")), F.struct(F.lit("dynamics").alias("rep"), F.col("pd").alias("p")))
     oof = both.select("cluster", "y", F.inline(reps)).persist()
-    out = inference.paired_contrasts(metrics.auroc(oof, ["rep"]), inference.replicate_metrics(oof, inference.draws(oof, 200), ["rep"], ("auroc",)), "rep", "auroc")
+    out = inference.paired_contrasts(metrics.auroc(oof, ["rep"]), inference.replicate_metrics(oof, inference.draws(oof), ["rep"], ("auroc",)), "rep", "auroc")
     return rounded(out.select((-F.col("delta")).alias("dyn_minus_accum"), (-F.col("ci_hi")).alias("ci_lo"), (-F.col("ci_lo")).alias("ci_hi"), "p_value"))
 
 
