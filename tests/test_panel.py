@@ -102,3 +102,23 @@ def test_replicates_that_set_no_floor(spark):
     reps = inference.replicate_metrics(oof, inference.draws(oof), ["rep"], ("auroc",))
     (r,) = queries.judged(metrics.auroc(oof, ["rep"]), reps, "a", "b").collect()
     assert r["p_value"] == pytest.approx(1 / 2001, abs=1e-6) and r["stars"] == "***"
+
+
+def test_attribution_ranks_all_features(spark, sf):
+    panel = queries.weekly(spark, sf)
+    joined = queries.features.enrich(panel).drop("c", "r").join(queries.signatures.add_signatures(panel).drop("c", "r"), queries.KEYS).join(queries.labels.label(panel).select(*queries.KEYS, "y", "labelable"), queries.KEYS)
+    rows = joined.where("labelable = 1").toPandas()
+    columns = [*queries.DOMAIN, *queries.OWN]
+    assert len(set(columns)) == 132
+    want = {}
+    for c in columns:
+        x = rows[c].to_numpy(float)
+        known = ~np.isnan(x)
+        a = area(rows["y"].to_numpy()[known], x[known], np.ones(known.sum()))
+        if not math.isnan(a):
+            want[c] = round(abs(a - 0.5), 9)
+    got = {r["feature"]: r["importance"] for r in queries.QUERIES["g7_attribution_all"](spark, sf).collect()}
+    assert len(got) == 14
+    assert sorted(got.values(), reverse=True) == pytest.approx(sorted(want.values(), reverse=True)[:14], abs=1e-8)
+    assert all(v == pytest.approx(want[c], abs=1e-8) for c, v in got.items())
+    assert not set(got) <= set(queries._ATTRIBUTED)
