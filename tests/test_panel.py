@@ -122,3 +122,46 @@ def test_attribution_ranks_all_features(spark, sf):
     assert sorted(got.values(), reverse=True) == pytest.approx(sorted(want.values(), reverse=True)[:14], abs=1e-8)
     assert all(v == pytest.approx(want[c], abs=1e-8) for c, v in got.items())
     assert not set(got) <= set(queries._ATTRIBUTED)
+
+
+@pytest.fixture(scope="module")
+def out_of_fold(spark, sf):
+    return queries.oof_scores(spark, sf).toPandas()
+
+
+def test_all_representations_and_rungs_are_scored(spark, sf, out_of_fold):
+    from tidewater.operators import catalogue
+
+    sets = catalogue.representations(queries.DOMAIN, queries.OWN), catalogue.ladder(queries.DOMAIN, queries.OWN)
+    assert set(out_of_fold["rep"]) == {*sets[0], *sets[1]} and len(sets[0]) == len(sets[1]) == 5
+    assert out_of_fold["p"].between(0, 1).all()
+    assert out_of_fold.groupby("rep").size().nunique() == 1
+    assert not out_of_fold.duplicated(["rep", *queries.KEYS]).any()
+    wide = out_of_fold.pivot(index=queries.KEYS, columns="rep", values="p")
+    assert np.allclose(wide["raw_2col"], wide["raw 2 cols"]) and np.allclose(wide["enriched"], wide["+ catch22"])
+    assert not np.allclose(wide["enriched"], wide["domain_only"])
+
+
+def test_ladder_dips(spark, sf, out_of_fold):
+    rungs = ["raw 2 cols", "+ case views", "+ climate", "+ transmission biology", "+ catch22"]
+    want = [area(g["y"].to_numpy(), g["p"].to_numpy(), np.ones(len(g))) for g in (out_of_fold[out_of_fold["rep"] == r] for r in rungs)]
+    got = sorted(queries.QUERIES["v10_ladder_dips"](spark, sf).collect(), key=lambda r: r["place"])
+    assert [r["rep"] for r in got] == rungs
+    assert [r["auroc"] for r in got] == pytest.approx(want, abs=2e-6)
+    assert [r["dip"] for r in got] == [False, *(b < a for a, b in zip(want, want[1:]))]
+
+
+def test_main_contrast(spark, sf, out_of_fold):
+    got = {(r["a"], r["b_rep"]): r for r in queries.QUERIES["v9_representation_contrasts"](spark, sf).collect()}
+    assert len(got) == 10
+    names = sorted(set(out_of_fold["cluster"]))
+    rng = np.random.default_rng(0)
+    mult = [np.bincount(rng.integers(0, len(names), size=len(names)), minlength=len(names)) for _ in range(2000)]
+    one = lambda g, m: area(g["y"].to_numpy(), g["p"].to_numpy(), m[np.searchsorted(names, g["cluster"])])
+    e, r = (out_of_fold[out_of_fold["rep"] == k] for k in ("enriched", "raw_2col"))
+    d = np.array([one(e, m) - one(r, m) for m in mult])
+    d, main = d[~np.isnan(d)], got["enriched", "raw_2col"]
+    ones = np.ones(len(names))
+    assert main["family"] == "confirmatory" and main["p_adjusted"] == main["p_value"]
+    assert (main["delta"], main["ci_lo"], main["ci_hi"]) == pytest.approx((one(e, ones) - one(r, ones), *np.percentile(d, [2.5, 97.5])), abs=2e-6)
+    assert sum(x["family"] == "exploratory" for x in got.values()) == 9

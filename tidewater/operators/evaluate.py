@@ -97,8 +97,22 @@ def fit_predict(folded: DataFrame, columns: list[str], by: list[str], ridge: flo
     Medians fill gaps and values are standardised on the train rows. A fold of a representation is
     small by the training cap; each is a group of its own.
     """
-    keys = [*by, "fold"]
-    table = folded.select(*keys, "unit", "yr", "wn", "y", "is_test", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    table = folded.select(*dict.fromkeys([*by, "fold", "unit", "yr", "wn"]), "y", "is_test", _vector(columns).alias("x"))
+    return _fitted(table, [*by, "fold"], ridge)
+
+
+def fit_predict_sets(folded: DataFrame, sets: dict[str, list[str]], by: list[str], ridge: float = 1.0) -> DataFrame:
+    """``fit_predict`` of each set of columns, named in ``rep``: all sets and folds are groups of one job."""
+    cells = F.array(*(F.struct(F.lit(name).alias("rep"), _vector(columns).alias("x")) for name, columns in sets.items()))
+    table = folded.select(*dict.fromkeys([*by, "fold", "unit", "yr", "wn"]), "y", "is_test", F.inline(cells))
+    return _fitted(table, [*by, "rep", "fold"], ridge)
+
+
+def _vector(columns: list[str]) -> Column:
+    return F.array(*(F.col(c).cast("double") for c in columns))
+
+
+def _fitted(table: DataFrame, keys: list[str], ridge: float) -> DataFrame:
     schema = ", ".join(f"`{c}` {t}" for c, t in table.select(*dict.fromkeys([*keys, "unit", "yr", "wn"])).dtypes) + ", y int, p double"
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:

@@ -539,18 +539,23 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = weekly(spark, sf_dir)
-    return labels.label(panel).select(*KEYS, "y", "labelable").join(features.enrich(panel).drop("c", "r"), KEYS)
+    own = signatures.add_signatures(panel).select(*KEYS, *OWN)
+    return labels.label(panel).select(*KEYS, "y", "labelable").join(features.enrich(panel).drop("c", "r"), KEYS).join(own, KEYS)
 
 
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores of three representations; the learner stands in for the original one."""
+    """Out-of-fold scores of the five representations and the five rungs; the learner stands in for the original one."""
     frame = evaluate.cap_training(evaluate.folds(modelled(spark, sf_dir)), []).persist()
-    reps = catalogue.representations([c for cs in FAMILIES.values() for c in cs], [])
-    out = None
-    for name in ("raw_2col", "case_only", "domain_only"):
-        one = evaluate.fit_predict(frame, reps[name], []).withColumn("rep", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return comparator.with_cluster(out)
+    return cut(comparator.with_cluster(evaluate.fit_predict_sets(frame, catalogue.representations(DOMAIN, OWN) | catalogue.ladder(DOMAIN, OWN), [])))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows without the plan that made them, which would be planned anew for each use."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def represented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oof_scores(spark, sf_dir).where(F.col("rep").isin(list(catalogue.representations(DOMAIN, OWN))))
 
 
 @query("v1_out_of_fold_scores")
@@ -558,6 +563,38 @@ def v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(oof_scores(spark, sf_dir))
 
 
+@query("v9_representation_contrasts")
+def v9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main result: raw_2col against enriched, planned, and the other pairs, over seeded draws of unit-years."""
+    oof = represented(spark, sf_dir)
+    return judged(metrics.auroc(oof, ["rep"]), inference.replicate_metrics(oof, inference.draws(oof), ["rep"], ("auroc",)), "raw_2col", "enriched")
+
+
+@query("v10_ladder_dips")
+def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rungs in their order, and where one lies below the one before."""
+    rungs = catalogue.ladder(DOMAIN, OWN)
+    order = spark.createDataFrame([(i, k, len(v)) for i, (k, v) in enumerate(rungs.items())], "place int, rep string, n_features int")
+    oof = oof_scores(spark, sf_dir).where(F.col("rep").isin(list(rungs)))
+    scores = rounded(metrics.auroc(oof, ["rep"]).join(metrics.auprc(oof, ["rep"]), "rep"))
+    return reporting.dips(order.join(scores, "rep", "left"), [], "place", "auroc")
+
+
+@query("v11_delong_raw_enriched")
+def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_2col against enriched by DeLong's test, in each unit, adjusted over units."""
+    oof = represented(spark, sf_dir)
+    one = lambda rep, name: oof.where(F.col("rep") == rep).select(*KEYS, "y", F.col("p").alias(name))
+    found = metrics.delong(one("raw_2col", "p1").join(one("enriched", "p2").drop("y"), KEYS), ["unit"])
+    return rounded(metrics.benjamini_hochberg(found.where("p_value IS NOT NULL").withColumn("test", F.lit("delong")), ["test"], tie="unit").drop("test"))
+
+
+@query("v12_enriched_calibration")
+def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof = represented(spark, sf_dir).where("rep = 'enriched'")
+    return rounded(inference.calibration(oof, inference.draws(oof), ["rep"]))
+
+
 SQL_MEDIAN = f"""WITH {sql.features()}, {sql.placed()}, lab AS (SELECT unit, yr, wn, y, case_lag4, labelable FROM enriched JOIN limb USING (unit, yr, wn)),
 years AS (SELECT yr AS fold FROM (SELECT yr, row_number() OVER (ORDER BY yr) AS n FROM (SELECT DISTINCT yr FROM lab WHERE labelable = 1)) WHERE n > 2),
 m AS (SELECT fold, median(case_lag4) AS m FROM lab JOIN years ON yr < fold WHERE labelable = 1 GROUP BY fold)
@@ -625,10 +662,7 @@ def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g7_attribution_all")
 def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 14 first of all 132 features; tests hold it against numpy."""
-    panel = weekly(spark, sf_dir)
     rows = modelled(spark, sf_dir).where("labelable = 1")
-    if OWN[0] not in rows.columns:
-        rows = rows.join(signatures.add_signatures(panel).select(*KEYS, *OWN), KEYS)
     return reporting.attribution(rows, [*DOMAIN, *OWN])
 
 
