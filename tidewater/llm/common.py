@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +23,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), a temporary folder is set for it.
+    Where the session has none and all runs in one process (tests), a folder of the warehouse is set for it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewater"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: cuts lineage, and survives lost executors."""
+def stage(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it: cuts lineage, and survives lost executors.
+
+    ``within`` is the folder of a ``scratch``, for tables that later steps don't need.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    path = f"{within or shared_dir(spark) + '/stage'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of the shared folder that is deleted at the end, with all that was staged within."""
+    path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds what Spark hands to Python workers at once in bytes, unless the session already does.
+
+    Without it a batch is 10,000 rows, whatever their length.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

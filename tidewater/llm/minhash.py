@@ -2,23 +2,24 @@
 
 1. A pass over the texts takes each document's set of word shingles as 64-bit hashes, and from it
    ``bands * rows`` minima of universal hash functions (multiply-shift), the buckets of the bands,
-   and one byte of each minimum as the signature. With the standard 36 bands of 5 rows a pair of
-   similarity 0.8 is missed with a probability of 6e-7, one of 0.85 with 1e-10.
+   and one byte of each minimum as the signature. With the standard 40 bands of 7 rows a pair of
+   similarity 0.8 is missed with a probability of 8e-5, one of 0.85 with 2e-7; one of 0.5 meets in a
+   bucket with 0.27.
 2. Documents of equal sets are one class, found by the digest of the set with partial aggregation;
    only the class goes on. So exact copies make no pairs.
-3. In each bucket, members are compared with a centre, the one with most neighbours, not with each
-   other. Buckets whose members are all connected by then are done. In the others four times as many
-   centres are taken as in the round before, and each member is compared with those of other
-   components, until nothing is left to compare. No pair of one bucket that could join two
-   components is left out, and a group of many near copies needs about as many comparisons as it has
-   members, and as many again for each member that belongs to another component. After the first
-   round a pair is compared in only one of the buckets it shares. Pairs are passed over only where
-   they can't be linked: their sizes differ too much, or too many of their shingles are in no other
-   document that is still compared.
-4. A compared pair must agree in its signatures to within about five standard deviations of the
-   threshold, and is then confirmed on the full sets. Sets are sent to tiles of some centres by some
-   members, each once for a tile.
-5. Components come from alternating large-star and small-star steps.
+3. In each bucket the member of the least number is the centre. A member is compared with one
+   centre, that of most of its buckets: at most one pair for each class, whatever the size of groups.
+   What is linked by then is put into components.
+4. Buckets that hold more than one component by then are *mixed*. All pairs of their members that can
+   be linked at all are found exactly: shingles are ordered by how many of these members hold them,
+   rare ones first. Two sets that are similar enough must share one of the first fifth of each, and
+   from the first one that they share on, enough must be left in both. So members of a large group of
+   near copies that have edits of their own aren't compared with the group.
+5. A compared pair must agree in its signatures to within about five standard deviations of the
+   threshold; only then full sets are sent and compared.
+6. Components come from alternating large-star and small-star steps.
+
+No pair is dropped by a cap or a sample: what 3. doesn't compare is left to 4.
 
 Defined cases: null texts count as empty; a text without words has no shingles and is linked with
 nothing. One of fewer words than a shingle has is one shingle. Rows that share an id are judged one
@@ -33,16 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, scramble, stage, text_or_empty, utf8, window_hashes
+from .common import WordHashes, bound_batches, scramble, scratch, stage, text_or_empty, utf8, window_hashes
 
-BANDS, ROWS = 36, 5
-#: Times as many centres in each round as in the one before.
-GROWTH = 4
-#: Centres and members that one tile of the confirmation holds, about.
-TILE = (32, 256)
+BANDS, ROWS = 40, 7
 _BASE = 0x9E3779B97F4A7C15
 _SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 _SETS_SQL = "uid long, doc_id long, version long, n_shingles long, digest binary, signature binary, buckets array<long>"
@@ -63,78 +60,80 @@ class Minima:
     def __init__(self, bands: int, rows: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.bands, self.rows, n = bands, rows, bands * rows
-        self.a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+        self.a = rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 2**32, n, dtype=np.uint32)
 
-    def of(self, shingles: np.ndarray) -> tuple[bytes, list[int]]:
+    def of(self, shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
+        upper = (shingles >> np.uint64(32)).astype(np.uint32)
+        least = np.full(self.bands * self.rows, 2**32 - 1, np.uint32)
         with np.errstate(over="ignore"):
-            least = np.min([(shingles[at : at + 512, None] * self.a + self.b).min(0) for at in range(0, len(shingles), 512)], axis=0)
+            for at in range(0, len(upper), 512):
+                hashed = upper[at : at + 512, None] * self.a
+                hashed += self.b
+                np.minimum(least, hashed.min(0), out=least)
             band = np.arange(self.bands, dtype=np.uint64)
             for column in least.reshape(self.bands, self.rows).T:
                 band = scramble(band + column)
-        return (least >> np.uint64(24)).astype(np.uint8).tobytes(), band.view(np.int64).tolist()
+        return (least >> np.uint32(24)).astype(np.uint8).tobytes(), band.view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     hashes, minima = WordHashes(), Minima(bands, rows)
     uid = TaskContext.get().partitionId() << 40
     for batch in batches:
-        out = []
-        for doc_id, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+        sizes, digests, signatures, buckets = [], [], [], []
+        for text in utf8(batch.column(2)):
             shingles = shingle_set(text, hashes, size)
-            row = {"uid": uid, "doc_id": doc_id, "version": version, "n_shingles": len(shingles)}
-            if len(shingles):
-                signature, buckets = minima.of(shingles)
-                row |= {"digest": hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), "signature": signature, "buckets": buckets}
-            out.append(row)
-            uid += 1
-        yield pa.RecordBatch.from_pylist(out, _SETS)
+            signature, found = minima.of(shingles) if len(shingles) else (None, None)
+            sizes.append(len(shingles))
+            digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
+            signatures.append(signature)
+            buckets.append(found)
+        uids = np.arange(uid, uid + batch.num_rows, dtype=np.int64)
+        uid += batch.num_rows
+        columns = [pa.array(uids), batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((sizes, digests, signatures, buckets), list(_SETS)[3:], strict=True))]
+        yield pa.RecordBatch.from_arrays(columns, schema=_SETS)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        sets = [shingle_set(t, hashes, size).tobytes() for t in utf8(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["node", "signature", "shingles"])
+        sets = [shingle_set(t, hashes, size).tobytes() for t in utf8(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int, n_minima: int) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, a, b, signature, shingles), sorted so that the sets of a tile (b null) come before its pairs."""
+def _alike(batches: Iterator[pa.RecordBatch], percent: int, n_minima: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, signature, signature) the pairs whose signatures agree closely enough."""
     share = percent / 100
     least = share - 5 * (share * (1 - share) / n_minima) ** 0.5
-    at, held = None, {}
     for batch in batches:
-        found = []
-        for tile, a, b, signature, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if tile != at:
-                at, held = tile, {}
-            if b is None:
-                held[a] = np.frombuffer(signature, np.uint8), np.frombuffer(shingles, np.uint64)
-                continue
-            (left_minima, left), (right_minima, right) = held[a], held[b]
-            if (left_minima == right_minima).mean() < least:
-                continue
+        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, n_minima) for i in (2, 3))
+        fit = pa.array((left == right).mean(1) >= least)
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(fit) for i in (0, 1)], names=["a", "b"])
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, set, set) the pairs that are similar enough."""
+    for batch in batches:
+        fit = []
+        for i in range(batch.num_rows):
+            left, right = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
             common = len(np.intersect1d(left, right, assume_unique=True))
-            if 100 * common >= percent * (len(left) + len(right) - common):
-                found.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            fit.append(100 * common >= percent * (len(left) + len(right) - common))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(fit, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least ``percent``: by signature, then on full sets.
+def _sides(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """``a, b`` and what ``of`` (node, column) has of each."""
+    for side in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
-    ``pairs`` has (group, a, b, flipped); ``a``, or ``b`` if flipped, is the centre. The pairs of a group
-    are laid out in tiles of some centres by some members, and a set is sent once for each tile.
-    """
-    pairs = pairs.select("group", "a", "b", F.when(F.col("flipped"), F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(F.col("flipped"), F.col("a")).otherwise(F.col("b")).alias("member"))
-    sides = pairs.groupBy("group").agg(*(F.ceil(F.approx_count_distinct(c) / most).alias(f"n_{i}") for i, (c, most) in enumerate(zip(("centre", "member"), TILE, strict=True))))
-    part = lambda node, n: F.pmod(F.xxhash64(node), F.col(n))
-    tiled = pairs.join(sides, "group").select(F.xxhash64("group", part("centre", "n_0"), part("member", "n_1")).alias("tile"), "a", "b")
-    needed = tiled.select("tile", F.col("a").alias("node")).union(tiled.select("tile", F.col("b").alias("node"))).distinct()
-    brought = needed.join(sets, "node").select("tile", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "signature", "shingles")
-    rows = brought.union(tiled.select("tile", "a", "b", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
-    dealt = rows.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(lambda it: _confirm(it, percent, n_minima), "a long, b long")
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame:
+    """The pairs (a, b) whose similarity is at least ``percent``: by signature, then on full sets."""
+    alike = _sides(pairs, nodes, "signature").mapInArrow(lambda it: _alike(it, percent, n_minima), "a long, b long")
+    return _sides(alike, sets, "shingles").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -157,92 +156,73 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps by turns until a turn changes nothing; then all is stars.
     """
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(edges)
-    while before[0]:
-        edges = stage(small_star(large_star(edges)), "edges")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+    with scratch(links.sparkSession, "stars") as folder:
+        edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", folder)
+        before = mark(edges)
+        while before[0]:
+            edges = stage(small_star(large_star(edges)), "edges", folder)
+            after = mark(edges)
+            if after == before:
+                break
+            before = after
+        return stage(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()), "roots")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        nodes = batch.column(0).to_numpy(zero_copy_only=False)
+        sizes = np.array([len(x) for x in sets])
         for at in range(0, len(sets), 500):
-            part = sets[at : at + 500]
-            owners = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[at : at + 500], [len(x) for x in part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(owners)], names=["token", "node"])
+            part = slice(at, at + 500)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets[part])), *(pa.array(np.repeat(x[part], sizes[part])) for x in (nodes, sizes))], names=["token", "node", "size"])
 
 
-def unshared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``live`` with ``shared``: how many shingles of a node any other live node has.
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """``a, b``: each member of ``buckets`` (node, centre) with the centre of most of its buckets."""
+    met = buckets.where("node <> centre").repartition("node").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("node").agg(F.min(F.struct(-F.col("n"), "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
 
-    Nodes that share too few of theirs to be linked with anything are left out.
-    """
-    held = sets.select("node", "shingles").join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_tokens, "token long, node long")
-    own = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("private"))
-    out = live.drop("shared").join(own, "node", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("private", F.lit(0))).drop("private")
-    return out.where(100 * F.col("shared") >= percent * F.col("n_shingles"))
 
+def mixed_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, root`` of the members of buckets that hold more than one component."""
+    rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return rooted.join(mixed, "bucket", "left_semi").select("node", "root").distinct()
 
-def linked(nodes: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int, n_minima: int) -> DataFrame | None:
-    """``node, root`` of all nodes that are linked with another.
 
-    ``buckets`` has (bucket, node) of buckets of two or more. See 3. above.
+def prefixes(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``token, node, root, size, left``: the rarest shingles of each of ``live`` (node, root).
+
+    ``left`` is how many shingles a set has from there on. Shingles that no other has are passed over;
+    of the rest as many are taken as leave ``percent`` of the set.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    weights = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
-    live = stage(buckets.join(weights.join(nodes.select("node", "n_shingles"), "node"), "node").withColumn("shared", F.col("n_shingles")), "live")
-    links = tried = roots = None
-    centres, last = 1, False
-    while not last:
-        rooted = live.drop("root").join(roots, "node", "left") if roots is not None else live.withColumn("root", F.lit(None).cast("long"))
-        rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-        first = tried is None
-        if centres == GROWTH:
-            rooted = unshared(stage(_spread(rooted), "live"), sets, percent)
-            # from here on a pair is compared in the least of the buckets it shares
-            rooted = rooted.join(rooted.groupBy("node").agg(F.collect_list("bucket").alias("among")), "node")
-        live = stage(_spread(rooted), "live")
-        sizes = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-        cross = sizes.groupBy("bucket").agg((F.sum("size") * F.sum("size") - F.sum(F.col("size") * F.col("size"))).alias("n")).agg(F.sum("n")).first()[0]
-        if cross is None:
-            break
-        # few pairs are left: compare them all. Else some of each bucket with the rest
-        last = not first and cross <= 32 * live.count()
-        slot = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres)).alias("slot")
-        # a centre comes from its slot's smallest component, so that odd members go first; of equals, the one with most neighbours
-        carried = ["node", "root", "n_shingles", "shared"] + ([] if first else ["among"])
-        best = F.min(F.struct("size", (-F.col("weight")).alias("weight"), *carried)).alias("c")
-        chosen = live if last else stage(live.join(sizes, ["bucket", "root"]).groupBy("bucket", slot).agg(best).select("bucket", "c.*"), "centres")
-        other = chosen.select(*(F.col(c).alias(f"o_{c}") for c in ["bucket", *carried]))
-        # the common shingles are at most those that either shares with any
-        possible = (100 + percent) * F.least("shared", "o_shared") >= percent * (F.col("n_shingles") + F.col("o_n_shingles"))
-        if not first:
-            possible &= F.array_min(F.array_intersect("among", "o_among")) == F.col("bucket")
-        met = live.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("root") != F.col("o_root")) & possible & ((F.col("node") < F.col("o_node")) if last else F.lit(True)))
-        group = F.col("o_node" if first else "bucket")
-        pairs = met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), F.struct(group.alias("group"), (F.col("o_node") > F.col("node")).alias("flipped")).alias("at"))
-        pairs = pairs.groupBy("a", "b").agg(F.min("at").alias("at")).select("a", "b", "at.*")
-        pairs = stage(pairs if first else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs.select("a", "b") if first else tried.union(pairs.select("a", "b"))
-        new = stage(confirmed(pairs, sets, percent, n_minima), "links")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            roots = stage(components(links), "roots")
-        live = live.drop("root").join(other.select(F.col("o_bucket").alias("bucket"), F.col("o_node").alias("node")), ["bucket", "node"], "left_anti")
-        centres *= GROWTH
-    return roots
-
-
-def _spread(live: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component."""
-    spread = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    return live.join(spread, "bucket", "left_semi")
+    held = sets.join(live.select("node"), "node", "left_semi").select("node", "shingles").mapInArrow(_tokens, "token long, node long, size long")
+    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    whole = Window.partitionBy("node")
+    left = (F.count(F.lit(1)).over(whole) - F.row_number().over(whole.orderBy("n", "token")) + 1).alias("left")
+    placed = held.join(shared, "token").select("token", "node", "size", left)
+    return placed.where(100 * F.col("left") >= percent * F.col("size")).join(live, "node")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the pairs of different components among ``prefixes`` that can be linked."""
+    other = rows.select("token", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "size", "left")))
+    total = F.col("size") + F.col("o_size")
+    enough = (100 + percent) * F.least("left", "o_left") >= percent * total
+    near = 100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")
+    met = rows.join(other, (rows["token"] == other["token"]) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & near & enough)
+    return met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+
+
+def linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, n_minima: int, folder: str) -> DataFrame:
+    """``node, root`` of all nodes that are linked with another; see 3. to 6. above."""
+    first = stage(confirmed(star_pairs(buckets), nodes, sets, percent, n_minima), "links", folder)
+    live = stage(mixed_members(buckets, components(first)), "live", folder)
+    rows = stage(prefixes(live, sets, percent), "prefixes", folder)
+    rest = stage(confirmed(prefix_pairs(rows, percent), nodes, sets, percent, n_minima), "links", folder)
+    return components(first.union(rest))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -251,23 +231,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``version`` is a hash of the text, ``component_id`` the least id of the group. ``group_id`` tells
     groups apart also where rows share an id or have none.
     """
+    spark = docs.sparkSession
+    bound_batches(spark)
     clean = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(clean).alias("version"), clean.alias("text"))
-    signed = stage(base.mapInArrow(lambda it: _signed(it, shingle, bands, rows), _SETS_SQL), "signatures")
-    some = signed.where("n_shingles > 0")
-    # of a class, the row of the least uid stands for it
-    classes = stage(some.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id")), "classes")
-    nodes = some.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "node")
-    dealt = stage(nodes.select(F.explode("buckets").alias("bucket"), "node"), "buckets")
-    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = stage(dealt.join(full, "bucket"), "buckets")
-    wanted = stage(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version", "n_shingles", "signature"), "nodes")
-    texts = base.withColumnsRenamed({"doc_id": "_d", "version": "_v"}).join(wanted.select("node", "signature", "doc_id", "version").hint("shuffle_hash"), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_v") == F.col("version")))
-    sets = stage(texts.select("node", "signature", "text").mapInArrow(lambda it: _full_sets(it, shingle), "node long, signature binary, shingles binary").dropDuplicates(["node"]), "sets")
-    roots = linked(wanted, buckets, sets, percent, bands * rows)
-    found = classes if roots is None else classes.join(roots, "node", "left")
-    found = found.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
-    least = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = found.join(least, "root").select("digest", "root", "component_id")
-    rows_out = signed.select("uid", "doc_id", "version", "n_shingles", "digest").join(labels, "digest", "left")
-    return rows_out.select("doc_id", "version", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "uid").alias("group_id"))
+    with scratch(spark, "near") as folder:
+        whole = stage(base.mapInArrow(lambda it: _signed(it, shingle, bands, rows), _SETS_SQL), "signatures", folder)
+        # of a class, the row of the least uid stands for it
+        stands = F.min(F.struct("uid", "doc_id", "version", "signature", "buckets")).alias("rep")
+        classes = stage(whole.where("n_shingles > 0").groupBy("digest").agg(stands, F.min("doc_id").alias("least_id")).select("digest", F.col("rep.uid").alias("node"), "least_id", "rep.doc_id", "rep.version", "rep.signature", "rep.buckets"), "classes", folder)
+        dealt = classes.select(F.explode("buckets").alias("bucket"), "node")
+        shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
+        buckets = stage(dealt.join(shared, "bucket"), "buckets", folder)
+        nodes = stage(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version", "signature"), "nodes", folder)
+        wanted = nodes.select("node", F.col("doc_id").alias("_d"), F.col("version").alias("_v")).hint("shuffle_hash")
+        texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("version") == F.col("_v"))).select("node", "text")
+        sets = stage(texts.mapInArrow(lambda it: _full_sets(it, shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets", folder)
+        roots = linked(buckets, nodes, sets, percent, bands * rows, folder)
+        found = classes.select("digest", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        labels = found.join(least, "root").select("digest", "root", "component_id")
+        out = whole.select("uid", "doc_id", "version", "n_shingles", "digest").join(labels, "digest", "left")
+        alone = F.col("root").isNull()
+        return stage(out.select("doc_id", "version", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "uid").alias("group_id")), "near")
