@@ -78,7 +78,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered; forgets all when it holds too many."""
 
-    def __init__(self, seed: int = 0, most: int = 500_000) -> None:
+    def __init__(self, seed: int = 0, most: int = 200_000) -> None:
         super().__init__()
         self.seed, self.most = seed, most
 

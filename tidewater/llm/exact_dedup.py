@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import bound_batches, stage, utf8
 
 #: Bytes of distinct contents that a map task's table holds before its records go out.
 COMBINE_BYTES = 16 << 20
@@ -130,6 +130,7 @@ def deal(records: DataFrame, bucket_bytes: int, fanout: int = FANOUT) -> DataFra
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", combine_bytes: int = COMBINE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """A row for each row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     staged = stage(rows.mapInArrow(lambda it: _combine(it, combine_bytes), _ROWS_SQL), "grace-rows")
     members = staged.where("uid IS NOT NULL").select("uid", "rec", "doc_id", F.col("digest").alias("text_sha256"))

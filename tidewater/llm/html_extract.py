@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bound_batches, stage
 
 # HTML's elements by how they nest, and the names by which pages mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -549,6 +549,7 @@ def wrappers(pages: DataFrame, parts: int = 8) -> DataFrame:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each page: ``page_id, url, text, n_chars``."""
+    bound_batches(pages.sparkSession)
     named = F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), F.when(named != "", named).alias("host"))
     found = stage(wrappers(rows.where("host IS NOT NULL").select("host", "html")), "wrappers")

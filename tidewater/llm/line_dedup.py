@@ -61,7 +61,9 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``drop_words`` is an array of (word, bits): bit i of word w is set where line 64 w + i goes.
     """
     candidates = stage(candidate_lines(docs, id_col, text_col, min_chars), "lines")
-    found = candidates.join(frequent_keys(candidates, min_docs), _HASH).where(~F.col("_doc").eqNullSafe(F.col("_keeper")))
+    # written, so that the join has exchanges of its own and Spark can split a line that many documents have
+    frequent = stage(frequent_keys(candidates, min_docs), "frequent")
+    found = candidates.join(frequent, _HASH).where(~F.col("_doc").eqNullSafe(F.col("_keeper")))
     words = found.groupBy("_doc", "_version", F.floor(F.col("_pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, _pos % 64)")).alias("bits"))
     return words.groupBy("_doc", "_version").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("drop_words"))
 

@@ -248,9 +248,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("version") == F.col("_v"))).select("node", "text")
         sets = stage(texts.mapInArrow(lambda it: _full_sets(it, shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets", folder)
         roots = linked(buckets, nodes, sets, percent, bands * rows, folder)
-        found = classes.select("digest", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        labels = found.join(least, "root").select("digest", "root", "component_id")
+        members = classes.select("digest", "node", "least_id").join(roots, "node", "left")
+        least = stage(members.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("component_id")), "least", folder)
+        labels = members.join(least, "root", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"))
         out = whole.select("uid", "doc_id", "version", "n_shingles", "digest").join(labels, "digest", "left")
         alone = F.col("root").isNull()
         return stage(out.select("doc_id", "version", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "uid").alias("group_id")), "near")

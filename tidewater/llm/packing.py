@@ -8,11 +8,13 @@ length that meet bins of the same remaining capacity are placed by one *rule*. T
 ``capacity`` squared rules, which bounds what is broadcast. The plan is that of best-fit decreasing
 over the whole corpus, not over shards of it.
 
-Spark then ranks the pieces of each length (in slices by a hash of their key, so that a frequent
-length is no hot group) and each task looks its pieces' ranks up in the rules.
+Any numbering of the pieces of one length will do for their ranks. So each task that cuts texts
+numbers its pieces of each length, Spark adds up the counts of the tasks before it, and the ranks are
+looked up in the rules. Neither a sort nor a group of all pieces of one length is needed.
 
 Defined cases: a null text counts as empty, and an empty text is one piece of the end token. Equal
-rows are packed each for itself. An empty table gives an empty table.
+rows are packed each for itself, and so are rows without an id. A text of any length and of any
+characters is encoded whole. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,21 +23,21 @@ import base64
 import json
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import bound_batches, stage
 
-#: About so many pieces are ranked together.
-SLICE_ROWS = 200_000
+#: Runs of so many characters of white space go to the slower encoder, as the faster one's stack can't hold longer ones.
+LONG_SPACE = 2_000
 
 
 class OpenBins:
@@ -104,38 +106,41 @@ def plan_rules(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(rules, dtype=np.int64).reshape(-1, 5)
 
 
-def best_fit_pack(pieces: DataFrame, key: list[str], capacity: int, length_col: str = "length") -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` tokens; ``key`` orders them."""
-    sc, total = pieces.sparkSession.sparkContext, pieces.count()
-    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64(*key), F.lit(total // SLICE_ROWS + 16)))
-    per_slice = sliced.groupBy(length_col, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(length_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_slice.select(length_col, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    counts = {r[0]: r[1] for r in pieces.groupBy(length_col).count().collect()}
+def best_fit_pack(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``sequence_id`` and ``offset`` in place of the columns ``part`` and ``nth`` of ``pieces``.
+
+    Pieces have a ``length`` of 1 to ``capacity`` tokens; ``nth`` numbers those of one length in a part from 0.
+    """
+    sc = pieces.sparkSession.sparkContext
+    per_part = stage(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = {r[0]: r[1] for r in per_part.groupBy("length").agg(F.sum("n")).collect()}
     rules = sc.broadcast(plan_rules(counts, capacity))
-    within = Window.partitionBy(length_col, "_slice").orderBy(*key)
-    ranked = sliced.withColumn("_rank", F.row_number().over(within) - 1).join(starts, [length_col, "_slice"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_start")).drop("_slice", "_start")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    names = [c for c in pieces.columns if c not in ("part", "nth")]
+    ranked = pieces.join(starts, ["part", "length"]).select(*names, (F.col("first") + F.col("nth")).alias("rank"))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rules.value
         keys = table[:, 0] << 44 | table[:, 1]
-        for frame in frames:
-            length, rank = frame[length_col].to_numpy("int64"), frame["_rank"].to_numpy("int64")
+        for batch in batches:
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             _, first, sequence, fit, offset = table[np.searchsorted(keys, length << 44 | rank, "right") - 1].T
             nth = rank - first
-            yield frame.drop(columns="_rank").assign(sequence_id=sequence + nth // fit, offset=offset + nth % fit * length)
+            placed = pa.array(sequence + nth // fit), pa.array(offset + nth % fit * length)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *placed], names=[*names, "sequence_id", "offset"])
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*pieces.columns, "_rank").mapInPandas(place, schema)
+    schema = T.StructType([*pieces.select(*names).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(place, schema)
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """text -> ids of a byte-level BPE file of the ``tokenizers`` library.
 
-    ``tiktoken`` gives the same ids three times faster where both split a text alike; texts with
-    letters beyond U+024F, on which their Unicode tables may differ, go to ``tokenizers`` itself.
+    ``tiktoken`` gives the same ids three times faster where both split a text alike. Texts with
+    letters beyond U+024F, on which their Unicode tables may differ, and such with long runs of white
+    space go to ``tokenizers`` itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -158,20 +163,22 @@ def _encoder(path: str):
     assert set(ByteLevel.alphabet()) == set(letters)
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks={bytes(letters[c] for c in p): i for i, p in by_rank}, special_tokens={})
-    odd = re.compile("|".join([r"[^\x00-\u024F]", *map(re.escape, special)])).search
+    odd = re.compile("|".join([r"[^\x00-\u024F]", *map(re.escape, special), rf"\s{{{LONG_SPACE}}}"])).search
     return lambda t: to_ids(t) if odd(t) else fast.encode_ordinary(t)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32[, ids]``: each document's ids and the end id.
+    """``doc_id, piece, start, length, ids_crc32, part, nth[, ids]``: each document's ids and the end id.
 
     Longer ones are cut into pieces of ``max_tokens``; the first piece takes what is left over.
+    ``nth`` numbers the pieces of one length within the task ``part``.
     """
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+    fields = [(c, pa.int32() if c in ("piece", "part") else pa.int64()) for c in names] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path)
+        encode, task, met = _encoder(tokenizer_path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[list] = [[] for _ in fields]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -180,17 +187,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens:
                 while start < len(ids):
                     end = start + ((len(ids) - start - 1) % max_tokens + 1)
                     part = ids[start:end]
-                    row = [doc_id, piece, start, len(part), zlib.crc32(part.tobytes())] + [part.astype(np.int32)] * with_ids
+                    row = [doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), task, met[len(part)]] + [part.astype(np.int32)] * with_ids
+                    met[len(part)] += 1
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     start, piece = end, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(out, fields, strict=True)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """All documents as pieces, each with its ``sequence_id`` and ``offset``."""
+    bound_batches(docs.sparkSession)
     pieces = stage(token_pieces(docs, tokenizer_path, end_id, max_tokens, id_col, text_col, with_ids), "pieces")
-    return best_fit_pack(pieces, ["doc_id", "piece", "start"], max_tokens)
+    return best_fit_pack(pieces, max_tokens)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty, utf8
+from .common import bound_batches, stage, text_or_empty, utf8
 
 #: Rows with labels that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -148,6 +148,7 @@ def learn(features: DataFrame, labels: DataFrame, label_col: str = "quality", sa
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """A row for each row: ``doc_id, version, held_out, score, predicted``; version is a hash of the text."""
+    bound_batches(docs.sparkSession)
     features = stage(measured(docs, id_col, text_col), "features")
     model = docs.sparkSession.sparkContext.broadcast(learn(features, labels, **options))
 

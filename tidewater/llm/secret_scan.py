@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty, unused
+from .common import bound_batches, stage, text_or_empty, unused
 
 # The patterns of the base kinds and the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -104,13 +104,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Findings are structs (start, rank of kind, kind, end, value hash, n_owners, n_repositories,
     widespread), sorted; null where there are none.
     """
+    bound_batches(docs.sparkSession)
     repository = F.to_json(F.struct(*(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(repository_cols))))
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"), F.col(owner_col).cast("string").alias("owner"), repository.alias("repository"))
     scanned = stage(rows.mapInArrow(_scan, _ROW_SQL), "secrets")
     found = scanned.select("uid", "owner", "repository", F.inline("findings"))
     owned = found.select("value", F.coalesce(F.concat(F.lit("="), "owner"), F.lit("")).alias("owner"), "repository").distinct()
-    counts = owned.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories"))
+    # written, so that the join has exchanges of its own and Spark can split a value that many documents have
+    counts = stage(owned.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories")), "owned")
     widespread = F.col("n_owners") >= widespread_owners
     judged = found.join(counts, "value").withColumn("widespread", widespread).where("kind <> 'token' OR NOT widespread")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank")

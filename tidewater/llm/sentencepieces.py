@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 SPACE = "▁"
 #: Words whose ids a worker remembers since it last set older ones aside; of those, used ones stay.
 MEMO = 200_000
@@ -278,6 +280,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     With ``decoded`` also ``text``, which the ids give back, in the same pass.
     """
 
+    bound_batches(docs.sparkSession)
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = pieces(model_path), Memo()
         for batch in batches:
@@ -294,6 +298,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """All columns, and ``text``; a null list counts as empty."""
+    bound_batches(encoded.sparkSession)
     names = [c for c in encoded.columns if c != "text"]
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.select(*names).dtypes) + ", text string"
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, scramble, stage, text_or_empty, utf8, window_hashes
+from .common import WordHashes, bound_batches, scramble, stage, text_or_empty, utf8, window_hashes
 
 GRAM = 3
 #: Words of the documents that are looked at together.
@@ -185,7 +185,8 @@ def repeated_windows(base: DataFrame, width: int, gram: int = GRAM) -> tuple[Dat
     """
     digests = stage(base.mapInArrow(_digests, "doc_id long, version long, n_words long, digest binary"), "digests").where(F.col("n_words") >= width)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
-    first = digests.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join has exchanges of its own and Spark can split a digest that many documents have
+    first = stage(digests.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     copies = stage(digests.join(first, "digest").where(place != F.col("first")).select("doc_id", "version").distinct(), "copies")
     grams = base.mapInArrow(lambda it: _grams(it, width, gram), "gram long, repeats boolean, doc_id long, version long, start int, end int")
     same = Window.partitionBy("gram")
@@ -205,6 +206,7 @@ def repeated_windows(base: DataFrame, width: int, gram: int = GRAM) -> tuple[Dat
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
     """A row for each row: ``doc_id, n_words, n_removed, kept_text``."""
+    bound_batches(docs.sparkSession)
     clean = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(clean).alias("version"), clean.alias("text"))
     copies, starts = repeated_windows(base, width)
