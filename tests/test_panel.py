@@ -9,11 +9,12 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidewater.operators import metrics
+from tidewater.operators import evaluate, inference, metrics, trigger
 from tidewater.plans import queries
+from tidewater.sources import panel as source
 
 #: One query of each family; the slow ones are left to the driver.
-SOME = ["entry_slice", "e21_wet_run", "e25_ac1", "e33_rain_pct_unit", "e37_skew12", "e40_inter_epidemic", "e43_enriched", "c_signatures_rain", "f1_drop_flagged_years", "j1_features_join_labels", "l3_label_limb", "l4_label_prepeak", "m1_auroc", "m2_auprc", "m4_ece", "m9_delong", "m10_fdr", "t2_trend_score", "r3_rain_features", "r6_onset_targets"]
+SOME = ["entry_slice", "e21_wet_run", "e25_ac1", "e33_rain_pct_unit", "e37_skew12", "e40_inter_epidemic", "e43_enriched", "c_signatures_rain", "f1_drop_flagged_years", "j1_features_join_labels", "l3_label_limb", "l4_label_prepeak", "m1_auroc", "m2_auprc", "m4_ece", "m9_delong", "m10_fdr", "t2_trend_score", "r3_rain_features", "r6_onset_targets", "f4_fold_rows", "g5_reliability", "m11_kruskal", "t4_trend_auroc", "v7_summary"]
 
 
 def plain(value):
@@ -165,3 +166,116 @@ def test_main_contrast(spark, sf, out_of_fold):
     assert main["family"] == "confirmatory" and main["p_adjusted"] == main["p_value"]
     assert (main["delta"], main["ci_lo"], main["ci_hi"]) == pytest.approx((one(e, ones) - one(r, ones), *np.percentile(d, [2.5, 97.5])), abs=2e-6)
     assert sum(x["family"] == "exploratory" for x in got.values()) == 9
+
+
+def test_distributions_against_the_library(spark):
+    from statistics import NormalDist
+
+    ps = [1e-7, 1e-4, 0.01, 0.0242, 0.0243, 0.2, 0.5, 0.77, 0.98, 0.999999]
+    got = [r["z"] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(evaluate.probit(queries.F.col("p")).alias("z")).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in ps], abs=1e-7)
+    zs = [0.0, 0.1, -1.0, 1.96, 3.3, -5.0]
+    got = [r["p"] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(metrics.normal_p(queries.F.col("z")).alias("p")).collect()]
+    assert got == pytest.approx([math.erfc(abs(z) / math.sqrt(2)) for z in zs], rel=1e-6, abs=1e-9)
+    # the upper tail of chi squared, by adding up the density
+    for df in (1, 2, 3, 6, 7):
+        x = np.linspace(0, 200, 2_000_001)[1:]
+        density = x ** (df / 2 - 1) * np.exp(-x / 2) / (2 ** (df / 2) * math.gamma(df / 2))
+        for h in (1.0, 4.5, 20.0):
+            tail = np.trapezoid(density[x >= h], x[x >= h])
+            got = spark.range(1).select(metrics.chi_squared_p(queries.F.lit(h), queries.F.lit(df)).alias("p")).first()["p"]
+            assert got == pytest.approx(tail, abs=2e-5)
+
+
+@pytest.mark.parametrize("quantiles", [1000, 11])
+def test_rank_gaussian(spark, quantiles):
+    rng = np.random.default_rng(2)
+    rows = [("u", 1, i, 0, 5, float(v)) for i, v in enumerate(rng.integers(0, 40, 60))] + [("u", 2, i, 1, 5, float(v)) for i, v in enumerate(np.r_[-5.0, 50.0, rng.random(30) * 40])] + [("u", 2, 99, 1, 5, None)]
+    df = spark.createDataFrame(rows, "unit string, yr int, wn int, is_test int, fold int, x double")
+    got = {(r["yr"], r["wn"]): r["x_g"] for r in evaluate.rank_gaussian(df, "x", [], quantiles).collect()}
+    train = np.array([r[5] for r in rows if not r[3]])[:, None]
+    known = [r for r in rows if r[5] is not None]
+    want = evaluate.normal_scores(train, np.array([r[5] for r in known])[:, None], quantiles)[:, 0]
+    assert [got[r[1], r[2]] for r in known] == pytest.approx(want.tolist(), abs=1e-6)
+    assert got[2, 99] is None
+
+
+def test_steps_are_the_nearest_rising_ones():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        p, y = rng.integers(0, 12, 40) / 12, rng.integers(0, 2, 40).astype(float)
+        points, levels = evaluate.steps(p, y)
+        assert (np.diff(levels) >= 0).all()
+        means = [y[p <= points[j]][np.isin(p[p <= points[j]], points[i:])].mean() for i in range(len(points)) for j in range(i, len(points))]
+        table = iter(means)
+        grid = {(i, j): next(table) for i in range(len(points)) for j in range(i, len(points))}
+        n = len(points)
+        want = [max(min(grid[i, j] for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+        assert levels == pytest.approx(want)
+
+
+def test_folds_without_a_positive_of_their_own_stay(spark):
+    rows = [("u", y, w, int(w == 1 and y != 4), 1) for y in range(1, 6) for w in range(3)]
+    got = {(r["fold"], r["is_test"]): r["count"] for r in evaluate.folds(spark.createDataFrame(rows, "unit string, yr int, wn int, y int, labelable int")).groupBy("fold", "is_test").count().collect()}
+    assert got == {(f, t): 3 if t else 3 * (f - 1) for f in (3, 4, 5) for t in (0, 1)}
+
+
+def test_unit_evaluation(spark, sf):
+    out = queries.QUERIES["v8_unit_evaluation"](spark, sf).collect()
+    assert len({r["unit"] for r in out}) == len(out) == 5
+    assert all(r["n_test"] > 0 and 0 <= r["brier"] <= 1 for r in out)
+
+
+def test_cox_against_a_direct_solution(spark):
+    rng = np.random.default_rng(6)
+    p = rng.random(300).clip(0.02, 0.98)
+    y = (rng.random(300) < p**1.5).astype(int)
+    got = inference.cox(spark.createDataFrame([("a", float(a), int(b)) for a, b in zip(p, y, strict=True)], "g string, p double, y int"), ["g"]).first()
+    x = np.stack([np.ones(300), np.log(p / (1 - p))])
+    fit = 1 / (1 + np.exp(-np.array([got["cox_intercept"], got["cox_slope"]]) @ x))
+    assert np.abs(x @ (y - fit)).max() < 1e-6  # the score equations hold
+
+
+def test_latch_against_a_loop(spark):
+    rng = np.random.default_rng(8)
+    rows = [("u", y, w, float(c), 0.0) for y in (1, 2, 3) for w, c in enumerate(np.abs(rng.normal(10, 6, 52) + 12 * np.sin(np.arange(52) / 6)))]
+    got = {(r["yr"], r["wn"]): r["ta"] for r in trigger.constant_latch(spark.createDataFrame(rows, "unit string, yr int, wn int, c double, r double")).collect()}
+    on, base, year = False, None, None
+    for i, (_, y, w, *_) in enumerate(rows):
+        if y != year:
+            on, year = False, y
+        c = [r[3] for r in rows]
+        if i >= 31:
+            short, long = np.mean(c[i - 3 : i + 1]), np.mean(c[i - 31 : i - 5])
+            if not on:
+                base = long
+            on = bool(base > 0 and (short / base >= 0.73 if on else short / base >= 1.33))
+        assert got[y, w] == int(on and i >= 31), (y, w)
+    assert len(set(got.values())) == 2
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv", "json"])
+def test_sources_and_sinks(spark, tmp_path, kind):
+    raw = spark.createDataFrame([("a", 2001, 3, 4.0, float("nan"), 0), ("b", 2001, 4, float("inf"), 2.5, 1)], "REGION string, YR int, WN int, CASE double, RF double, FLAG int")
+    rain = source.first_column(raw.columns, prefix="RF")
+    scale = source.Scale(unit=("REGION",), year="YR", week="WN", count="CASE", rain=rain)
+    panel = source.panel_of(raw, scale)
+    source.write_table(panel, f"{tmp_path}/p", kind)
+    want = [("a", 2001, 3, 4.0, None), ("b", 2001, 4, None, 2.5)]
+    assert sorted(tuple(r[c] for c in ("unit", "yr", "wn", "c", "r")) for r in source.read_panel(spark, f"{tmp_path}/p", kind).collect()) == want
+    assert source.panel_of(raw, source.Scale((), "YR", "WN", "CASE", "RF")).first()["unit"] == "ALL"
+    assert source.first_column(["x", "RF_B", "RF_A"], "RF_A", "RF_B") == "RF_A"
+    # units' metrics, and scores in a folder for each representation
+    scores = spark.createDataFrame([("raw", "a", 0.5), ("all", "a", 0.25)], "rep string, unit string, p double")
+    source.write_table(scores, f"{tmp_path}/s", kind, by=["rep"])
+    back = source.read_table(spark, f"{tmp_path}/s", kind, "unit string, p double, rep string")
+    assert sorted((r["rep"], r["unit"], r["p"]) for r in back.collect()) == [("all", "a", 0.25), ("raw", "a", 0.5)]
+
+
+def test_nested_record(spark, tmp_path):
+    one, two = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "rep string, auroc double"), spark.createDataFrame([(3,)], "n int")
+    source.write_table(source.record({"summary": one, "sizes": two}), f"{tmp_path}/r", "json")
+    back = source.read_table(spark, f"{tmp_path}/r", "json", "summary array<struct<rep: string, auroc: double>>, sizes array<struct<n: int>>").collect()
+    assert [[tuple(x) for x in back[0]["summary"]], back[0]["sizes"][0]["n"]] == [[("a", 1.0), ("b", 2.0)], 3]
+    with pytest.raises(ValueError):
+        source.read_table(spark, f"{tmp_path}/r", "json")

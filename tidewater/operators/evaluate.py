@@ -1,11 +1,14 @@
 """Forward-chaining evaluation: folds, training caps, preparation, a stand-in learner, summaries.
 
-A fold trains on the years before its own. All folds and representations are rows of one table, so
+A fold trains on the years before its own. Values go through medians and normal quantiles of the
+train rows, the learner, and, if asked for, steps fitted to its scores of the train rows. All folds and representations are rows of one table, so
 that one Spark job fits them all, each group in a task of its own.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +18,7 @@ from ..functions.numeric import ratio
 from . import metrics
 
 LEAST_YEARS, MOST_TRAIN, MOST_QUANTILES = 2, 1000, 1000
+_NORMAL = NormalDist()
 
 
 def fold_years(df: DataFrame, by: list[str] | None = None, skip: int = LEAST_YEARS) -> DataFrame:
@@ -26,17 +30,17 @@ def fold_years(df: DataFrame, by: list[str] | None = None, skip: int = LEAST_YEA
 
 
 def folds(df: DataFrame, by: list[str] | None = None, skip: int = LEAST_YEARS) -> DataFrame:
-    """Rows of each fold with ``fold`` and ``is_test``; folds whose train or test rows lack a class of their own are left out.
+    """Rows of each fold with ``fold`` and ``is_test``; folds whose train rows lack a class are left out.
 
-    Train rows need both classes, test rows a positive.
+    A fold whose own year has no positive stays: its rows are scored like all others.
     """
     by = by or []
     rows = df.where("labelable = 1")
     years = F.broadcast(fold_years(df, by, skip))
     joined = rows.join(years, [*[rows[b] == years[b] for b in by], rows["yr"] <= years["fold"]]) if not by else rows.join(years, by).where("yr <= fold")
     joined = joined.withColumn("is_test", (F.col("yr") == F.col("fold")).cast("int"))
-    seen = joined.groupBy(*by, "fold").agg(F.max(F.when(F.col("is_test") == 1, F.col("y"))).alias("test_pos"), F.max(F.when(F.col("is_test") == 0, F.col("y"))).alias("hi"), F.min(F.when(F.col("is_test") == 0, F.col("y"))).alias("lo"))
-    return joined.join(seen.where("test_pos = 1 AND hi = 1 AND lo = 0").select(*by, "fold"), [*by, "fold"], "left_semi")
+    seen = joined.where("is_test = 0").groupBy(*by, "fold").agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
+    return joined.join(seen.where("hi = 1 AND lo = 0").select(*by, "fold"), [*by, "fold"], "left_semi")
 
 
 def cap_training(folded: DataFrame, by: list[str], most: int = MOST_TRAIN, seed: int = 0) -> DataFrame:
@@ -65,73 +69,138 @@ def impute_medians(folded: DataFrame, columns: list[str], by: list[str]) -> Data
 
 
 def probit(p: Column) -> Column:
-    """The normal quantile, by a rational approximation good to 4.5e-4 in the middle and tails."""
-    # A published approximation of the inverse normal distribution.
-    t = F.sqrt(-2 * F.log(F.when(p < 0.5, p).otherwise(1 - p)))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(p < 0.5, -z).otherwise(z)
+    """The normal quantile, by a rational approximation with a relative error of 1.2e-9."""
+    # A published approximation of the inverse normal distribution, for the middle and the tails.
+    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661996416, 1.0)
+
+    def poly(values: tuple[float, ...], x: Column) -> Column:
+        out = F.lit(values[0])
+        for v in values[1:]:
+            out = out * x + v
+        return out
+
+    low = F.least(p, 1 - p)
+    q = p - 0.5
+    t = F.sqrt(-2 * F.log(low))
+    tail = poly(c, t) / poly(d, t)
+    return F.when(low >= 0.02425, q * poly(a, q * q) / poly(b, q * q)).when(q < 0, tail).otherwise(-tail)
 
 
 def rank_gaussian(folded: DataFrame, column: str, by: list[str], quantiles: int = MOST_QUANTILES) -> DataFrame:
     """Adds ``<column>_g``: the value's place among the fold's train values, as a normal quantile.
 
-    Train values are cut at up to ``quantiles`` quantiles; a value between two lies between their ranks.
+    Up to ``quantiles`` train values are marks themselves; of more, their quantiles are. A value between two
+    marks lies between their places, and marks of one value share the middle of theirs. The least and the
+    greatest mark and all beyond are at the ends.
     """
     keys, eps = [*by, "fold"], 1e-7
     train = folded.where(f"is_test = 0 AND {column} IS NOT NULL")
-    known = train.groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    size = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.percentile(column, F.array(*(F.lit(i / (quantiles - 1)) for i in range(quantiles)))).alias("_cuts"))
+    few, many = size.where(F.col("_size") <= quantiles).select(*keys), size.where(F.col("_size") > quantiles)
+    values = train.join(few, keys, "left_semi").select(*keys, F.col(column).cast("double").alias("_v")).unionByName(many.select(*keys, F.explode("_cuts").alias("_v")))
+    known = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
     order = Window.partitionBy(*keys).orderBy("_v")
-    ranks = known.select(*keys, "_v", (F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_k") + 1) / 2).alias("_r"), F.sum("_k").over(Window.partitionBy(*keys)).alias("_n"))
-    marks = ranks.select(*keys, "_v", ratio(F.col("_r"), F.col("_n") - 1).alias("_p"), F.lead("_v").over(order).alias("_v2"), ratio(F.lead("_r").over(order), F.col("_n") - 1).alias("_p2"))
-    lows = folded.select(*keys, F.col(column).alias("_x")).distinct()
-    hit = lows.join(marks, keys).where((F.col("_v") <= F.col("_x")) & (F.col("_v2").isNull() | (F.col("_x") < F.col("_v2"))))
-    place = hit.select(*keys, "_x", F.when(F.col("_v2").isNull() | (F.col("_x") == F.col("_v")), F.col("_p")).otherwise(F.col("_p") + (F.col("_p2") - F.col("_p")) * (F.col("_x") - F.col("_v")) / (F.col("_v2") - F.col("_v"))).alias("_at"))
+    whole = Window.partitionBy(*keys)
+    upto, total = F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("_k").over(whole)
+    ranks = known.select(*keys, "_v", ratio(upto - F.col("_k"), total - 1).alias("_lo"), ratio(upto - 1, total - 1).alias("_hi"), F.min("_v").over(whole).alias("_least"), F.max("_v").over(whole).alias("_most"))
+    marks = ranks.select("*", F.lead("_v").over(order).alias("_v2"), F.lead("_lo").over(order).alias("_lo2"))
+    asked = folded.select(*keys, F.col(column).cast("double").alias("_x")).distinct()
+    hit = asked.join(marks, keys).where((F.col("_v") <= F.col("_x")) & (F.col("_v2").isNull() | (F.col("_x") < F.col("_v2"))))
+    between = F.col("_hi") + (F.col("_lo2") - F.col("_hi")) * (F.col("_x") - F.col("_v")) / (F.col("_v2") - F.col("_v"))
+    at = F.when(F.col("_x") >= F.col("_most"), 1.0).when(F.col("_x") <= F.col("_least"), 0.0).when(F.col("_x") == F.col("_v"), (F.col("_lo") + F.col("_hi")) / 2).otherwise(between)
+    place = hit.select(*keys, "_x", at.alias("_at"))
     joined = folded.withColumn("_x", F.col(column)).join(place, [*keys, "_x"], "left")
     at = F.when(F.col("_x").isNotNull(), F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.coalesce("_at", F.lit(0.0)))))
     return joined.select(*folded.columns, probit(at).alias(f"{column}_g"))
 
 
-def fit_predict(folded: DataFrame, columns: list[str], by: list[str], ridge: float = 1.0) -> DataFrame:
+def fit_predict(folded: DataFrame, columns: list[str], by: list[str], ridge: float = 1.0, calibrate: bool = True) -> DataFrame:
     """Out-of-fold scores ``p`` by the stand-in learner: a ridge logistic regression with balanced classes.
 
-    Medians fill gaps and values are standardised on the train rows. A fold of a representation is
-    small by the training cap; each is a group of its own.
+    Medians fill gaps and values become normal quantiles of the train rows, which the training cap
+    bounds. With ``calibrate`` scores go through steps that are fitted to the train rows' own scores.
+    A fold that can't be fitted has no scores; the others do. Each fold is a group of its own.
     """
     table = folded.select(*dict.fromkeys([*by, "fold", "unit", "yr", "wn"]), "y", "is_test", _vector(columns).alias("x"))
-    return _fitted(table, [*by, "fold"], ridge)
+    return _fitted(table, [*by, "fold"], ridge, calibrate)
 
 
-def fit_predict_sets(folded: DataFrame, sets: dict[str, list[str]], by: list[str], ridge: float = 1.0) -> DataFrame:
+def fit_predict_sets(folded: DataFrame, sets: dict[str, list[str]], by: list[str], ridge: float = 1.0, calibrate: bool = True) -> DataFrame:
     """``fit_predict`` of each set of columns, named in ``rep``: all sets and folds are groups of one job."""
     cells = F.array(*(F.struct(F.lit(name).alias("rep"), _vector(columns).alias("x")) for name, columns in sets.items()))
     table = folded.select(*dict.fromkeys([*by, "fold", "unit", "yr", "wn"]), "y", "is_test", F.inline(cells))
-    return _fitted(table, [*by, "rep", "fold"], ridge)
+    return _fitted(table, [*by, "rep", "fold"], ridge, calibrate)
 
 
 def _vector(columns: list[str]) -> Column:
     return F.array(*(F.col(c).cast("double") for c in columns))
 
 
-def _fitted(table: DataFrame, keys: list[str], ridge: float) -> DataFrame:
-    schema = ", ".join(f"`{c}` {t}" for c, t in table.select(*dict.fromkeys([*keys, "unit", "yr", "wn"])).dtypes) + ", y int, p double"
+def normal_scores(train: np.ndarray, values: np.ndarray, quantiles: int = MOST_QUANTILES) -> np.ndarray:
+    """Each column's values as normal quantiles of its train values, cut at up to ``quantiles`` quantiles.
+
+    Ties of train values share the middle of their places; the least, the greatest and all beyond are at the ends.
+    """
+    places = np.linspace(0, 1, min(quantiles, len(train)))
+    out = np.empty_like(values)
+    for k in range(values.shape[1]):
+        marks = np.quantile(train[:, k], places)
+        up = np.interp(values[:, k], marks, places)
+        down = 1 - np.interp(-values[:, k], -marks[::-1], places)
+        out[:, k] = np.where(values[:, k] >= marks[-1], 1, np.where(values[:, k] <= marks[0], 0, (up + down) / 2))
+    return np.vectorize(_NORMAL.inv_cdf, otypes=[float])(out.clip(1e-7, 1 - 1e-7))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Coefficients, the constant first, of a ridge logistic regression with balanced classes, by Newton's method."""
+    w = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    beta, penalty = np.zeros(x.shape[1]), np.r_[0, np.full(x.shape[1] - 1, ridge)]
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-x @ beta))
+        hessian = (x.T * (w * p * (1 - p))) @ x + np.diag(penalty + 1e-9)
+        beta = beta + np.linalg.solve(hessian, x.T @ (w * (y - p)) - penalty * beta)
+    return beta
+
+
+def steps(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct scores and the rising levels fitted to them."""
+    points, at = np.unique(p, return_inverse=True)
+    return points, pooled(np.bincount(at, y), np.bincount(at))
+
+
+def pooled(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rising levels nearest to the means of neighbouring groups: pools of adjacent violators."""
+    blocks: list[tuple[float, int, int]] = []
+    for total, size in zip(sums.tolist(), sizes.tolist(), strict=True):
+        blocks.append((total, size, 1))
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            one, two = blocks.pop(), blocks.pop()
+            blocks.append((one[0] + two[0], one[1] + two[1], one[2] + two[2]))
+    return np.repeat([t / n for t, n, _ in blocks], [k for _, _, k in blocks])
+
+
+def _fitted(table: DataFrame, keys: list[str], ridge: float, calibrate: bool) -> DataFrame:
+    names = list(dict.fromkeys([*keys, "unit", "yr", "wn"]))
+    schema = ", ".join(f"`{c}` {t}" for c, t in table.select(*names).dtypes) + ", y int, p double"
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["is_test", "unit", "yr", "wn"])
+        frame = frame.sort_values(list(dict.fromkeys(["is_test", "unit", "yr", "wn"])))
         x = np.array([[np.nan if v is None else v for v in r] for r in frame["x"]], float)
         test, y = frame["is_test"].to_numpy() == 1, frame["y"].to_numpy(float)
         train = ~test
-        fit = ~np.isnan(x[train]).all(0)
-        x = np.where(np.isnan(x[:, fit]), np.nanmedian(x[train][:, fit], 0), x[:, fit])
-        mean, sd = x[train].mean(0), x[train].std(0)
-        x = np.c_[np.ones(len(x)), (x - mean) / np.where(sd > 0, sd, 1)].clip(-8, 8)
-        w = np.where(y[train] == 1, 0.5 / max(y[train].mean(), 1e-9), 0.5 / max(1 - y[train].mean(), 1e-9))
-        beta, penalty = np.zeros(x.shape[1]), np.r_[0, np.full(x.shape[1] - 1, ridge)]
-        for _ in range(12):
-            p = 1 / (1 + np.exp(-x[train] @ beta))
-            hessian = (x[train].T * (w * p * (1 - p))) @ x[train] + np.diag(penalty + 1e-9)
-            beta = beta + np.linalg.solve(hessian, x[train].T @ (w * (y[train] - p)) - penalty * beta)
-        out = frame.loc[test, list(dict.fromkeys([*keys, "unit", "yr", "wn"]))].copy()
-        out["y"], out["p"] = frame.loc[test, "y"].astype("int32"), 1 / (1 + np.exp(-x[test] @ beta))
+        known = ~np.isnan(x[train]).all(0)
+        x = np.where(np.isnan(x[:, known]), np.nanmedian(x[train][:, known], 0), x[:, known])
+        x = np.c_[np.ones(len(x)), normal_scores(x[train], x)]
+        out = frame.loc[test, names].assign(y=frame.loc[test, "y"].astype("int32"), p=np.nan)
+        try:
+            beta = logistic(x[train], y[train], ridge)
+        except np.linalg.LinAlgError:  # this fold has no scores
+            return out.iloc[:0]
+        p = 1 / (1 + np.exp(-x @ beta))
+        out["p"] = np.interp(p[test], *steps(p[train], y[train])) if calibrate else p[test]
         return out
 
     return table.groupBy(*keys).applyInPandas(one, schema)
@@ -140,23 +209,19 @@ def _fitted(table: DataFrame, keys: list[str], ridge: float) -> DataFrame:
 def recalibrated(scores: DataFrame, by: list[str]) -> DataFrame:
     """Scores through a monotone step function fitted to (y, p): pools of adjacent violators.
 
-    Gathers the distinct scores of one group, at most the training cap.
+    Spark sums up the distinct scores of a group; only these, to six places, are pooled in a task:
+    a million of them at most, whatever the number of rows.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in scores.dtypes)
+    keys = ", ".join(f"`{c}` {t}" for c, t in scores.select(*by).dtypes)
 
     def pool(frame: pd.DataFrame) -> pd.DataFrame:
-        steps = frame.groupby("p")["y"].agg(["mean", "size"]).reset_index()
-        blocks: list[list[float]] = []
-        for p, mean, size in steps.itertuples(index=False):
-            blocks.append([mean, size, 1])
-            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-                m, n, k = blocks.pop()
-                a, b, c = blocks[-1]
-                blocks[-1] = [(a * b + m * n) / (b + n), b + n, c + k]
-        level = np.repeat([b[0] for b in blocks], [b[2] for b in blocks])
-        return frame.assign(p=frame["p"].map(dict(zip(steps["p"], level, strict=True))).clip(0, 1))
-
-    return scores.groupBy(*by).applyInPandas(pool, schema)
+        frame = frame.sort_values("place")
+        return frame[[*by, "place"]].assign(level=pooled(frame["y"].to_numpy(), frame["n"].to_numpy()))
+
+    place = F.round(F.col("p"), 6)
+    sums = scores.groupBy(*by, place.alias("place")).agg(F.sum("y").cast("double").alias("y"), F.count(F.lit(1)).alias("n"))
+    levels = sums.groupBy(*by).applyInPandas(pool, f"{keys}, place double, level double")
+    return scores.withColumn("place", place).join(levels, [*by, "place"]).select(*(F.col("level").alias("p") if c == "p" else F.col(c) for c in scores.columns))
 
 
 def summarise(oof: DataFrame, by: list[str]) -> DataFrame:

@@ -82,6 +82,20 @@ def normal_p(z: Column) -> Column:
     return t * F.exp(poly - x * x)
 
 
+def chi_squared_p(x: Column, df: Column) -> Column:
+    """The upper tail of chi squared with ``df`` degrees of freedom, by its finite sums.
+
+    Each term is the one before times x / 2 over the next integer, or half-integer where ``df`` is odd.
+    """
+    half, odd = x / 2, (df % 2).cast("double")
+    first = F.when(odd == 1, F.sqrt(half) * (2 / math.sqrt(math.pi))).otherwise(F.lit(1.0))
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
+    step = lambda s, k: F.struct((s["term"] * half / (k + odd / 2)).alias("term"), (s["total"] + s["term"]).alias("total"))
+    terms = F.floor(df / 2).cast("int")
+    total = F.when(terms > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), start, step, lambda s: s["total"])).otherwise(0.0)
+    return F.exp(-half) * total + F.when(odd == 1, normal_p(F.sqrt(x))).otherwise(0.0)
+
+
 def spiegelhalter(df: DataFrame, by: list[str]) -> DataFrame:
     """``z`` and two-sided ``p_value``; null where the denominator is 0."""
     p, y = F.col("p"), F.col("y")
@@ -125,11 +139,17 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p_value", tie: st
 
 
 def kruskal(df: DataFrame, by: list[str], value: str, group: str, least: int = 2) -> DataFrame:
-    """Kruskal-Wallis H with tie correction over groups of at least ``least`` values: ``h, df, n_groups``."""
+    """Kruskal-Wallis H with tie correction over groups of at least ``least`` values: ``h, n_groups, p_value``."""
     known = df.where(F.col(value).isNotNull()).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*by, group))).where(F.col("_size") >= least)
     ranked = known.select(*by, group, F.col(value).alias("_v"), midrank(value, by).alias("_rank"), F.count(F.lit(1)).over(Window.partitionBy(*by, value)).alias("_ties"))
     sums = ranked.groupBy(*by, group).agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum("_rank").alias("s"), F.sum(F.col("_ties") * F.col("_ties") - 1).alias("t"))
     out = sums.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("n_groups"))
     h = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)
     correction = 1 - F.col("t") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))
-    return out.select(*by, F.when(F.col("n_groups") >= 2, ratio(h, correction)).alias("h"), F.col("n_groups"))
+    out = out.select(*by, F.when(F.col("n_groups") >= 2, ratio(h, correction)).alias("h"), "n_groups")
+    return out.withColumn("p_value", chi_squared_p(F.col("h"), F.col("n_groups") - 1))
+
+
+def group_means(df: DataFrame, by: list[str], value: str, group: str, least: int = 2) -> DataFrame:
+    """``mean, n`` of each group that ``kruskal`` compares."""
+    return df.groupBy(*by, group).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).where(F.col("n") >= least)

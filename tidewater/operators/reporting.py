@@ -40,7 +40,7 @@ def reliability(df: DataFrame, by: list[str]) -> DataFrame:
     count = F.least(F.lit(10), F.greatest(F.lit(3), F.col("k"))).cast("int")
     marks = [i / n for n in range(3, 11) for i in range(1, n)]
     points = df.groupBy(*by).agg(F.percentile("p", F.array(*map(F.lit, marks))).alias("points")).join(groups, by).withColumn("bins", count)
-    inner = F.expr("slice(points, cast((bins - 3) * (bins + 2) / 2 AS int) + 1, bins - 1)")
+    inner = F.expr("slice(points, cast((bins - 3) * bins / 2 AS int) + 1, bins - 1)")
     binned = df.join(points.select(*by, inner.alias("inner")), by).withColumn("bin", F.size(F.filter("inner", lambda e: e < F.col("p"))))
     return binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_score"), F.avg("y").alias("rate"))
 

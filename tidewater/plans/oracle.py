@@ -201,3 +201,16 @@ w2 AS (SELECT unit, yr, wn, m AS mean, s AS std, b AS slope, {dot(1)} / (list_su
   sqrt(list_sum(list_transform(range(1, n + 1), lambda i: pow(d[i] - b * (i - 1 - (n - 1) / 2.0), 2))) / n) AS trend_resid_std,
   (list_sum(list_transform(range(n - n // 2 + 1, n + 1), lambda i: w[i])) / (n // 2) + 1) / (list_sum(list_transform(range(1, n // 2 + 1), lambda i: w[i])) / (n // 2) + 1) AS recent_over_old FROM w1)
 SELECT p.unit, p.yr, p.wn, """ + ", ".join(f"round({n}, 6) + 0 AS c22fb_{n}_{suffix}" for n in SIGNATURE_NAMES) + " FROM panel p LEFT JOIN w2 USING (unit, yr, wn)"
+
+
+def average_precision(source: str, by: str) -> str:
+    return f"""SELECT {by}, CASE WHEN sum(wn) > 0 THEN sum(wp * tp / (tp + fp)) / nullif(sum(wp), 0) END AS auprc FROM (
+  SELECT *, sum(wp) OVER w AS tp, sum(wn) OVER w AS fp FROM (SELECT {by}, p, sum(y) AS wp, sum(1 - y) AS wn FROM {source} GROUP BY ALL)
+  WINDOW w AS (PARTITION BY {by} ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY {by}"""
+
+
+def chi_squared_p(x: str, df: str) -> str:
+    """The upper tail of chi squared by its finite sums, for even and for odd degrees of freedom."""
+    even = f"exp(-({x}) / 2) * list_sum(list_transform(range(0, ({df}) // 2), lambda k: pow(({x}) / 2, k) / gamma(k + 1)))"
+    odd = f"{normal_p(f'sqrt({x})')} + exp(-({x}) / 2) * coalesce(list_sum(list_transform(range(0, (({df}) - 1) // 2), lambda k: pow(({x}) / 2, k + 0.5) / gamma(k + 1.5))), 0)"
+    return f"CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END"

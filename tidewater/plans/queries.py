@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rounded
 from ..functions.windows import season
 from ..operators import catalogue, comparator, evaluate, features, inference, labels, metrics, reporting, signatures, trigger
-from ..session import configure
+from ..session import configure, materialised
 from ..sources import panel as source
 from . import oracle as sql
 
@@ -133,7 +133,8 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.plausible(source.with_flags(weekly(spark, sf_dir))).select(*KEYS, "c")
 
 
-@query("f4_fold_rows", f"WITH {sql.panel()}, {sql.placed()}, years AS (SELECT yr AS fold FROM (SELECT yr, row_number() OVER (ORDER BY yr) AS n FROM (SELECT DISTINCT yr FROM limb WHERE labelable = 1)) WHERE n > 2) SELECT fold, CASE WHEN yr = fold THEN 1 ELSE 0 END AS is_test, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM limb JOIN years ON yr <= fold WHERE labelable = 1 GROUP BY ALL")
+@query("f4_fold_rows", f"""WITH {sql.panel()}, {sql.placed()}, later AS (SELECT yr AS fold FROM (SELECT yr, row_number() OVER (ORDER BY yr) AS n FROM (SELECT DISTINCT yr FROM limb WHERE labelable = 1)) WHERE n > 2),
+years AS (SELECT fold FROM limb JOIN later ON yr < fold WHERE labelable = 1 GROUP BY fold HAVING max(y) = 1 AND min(y) = 0) SELECT fold, CASE WHEN yr = fold THEN 1 ELSE 0 END AS is_test, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM limb JOIN years ON yr <= fold WHERE labelable = 1 GROUP BY ALL""")
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.folds(labels.label(weekly(spark, sf_dir))).groupBy("fold", "is_test").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
 
@@ -289,10 +290,14 @@ query("m10_fdr")(lambda spark, sf_dir: rounded(metrics.benjamini_hochberg(long_s
 
 SQL["m11_kruskal"] = f"""WITH {sql.scores()}, r AS (SELECT unit, yr, rank() OVER (PARTITION BY unit ORDER BY p1) + (count(*) OVER (PARTITION BY unit, p1) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY unit, p1) AS t FROM scored),
 g AS (SELECT unit, yr, count(*)::DOUBLE AS k, sum(k) AS s, sum(t * t - 1) AS t FROM r GROUP BY ALL),
-h AS (SELECT unit, sum(k) AS n, sum(s * s / k) AS q, sum(t) AS t, count(*) AS n_groups FROM g GROUP BY unit)
-SELECT unit, round(CASE WHEN n_groups >= 2 THEN (12 / (n * (n + 1)) * q - 3 * (n + 1)) / nullif(1 - t / (n * n * n - n), 0) END, 6) + 0 AS h, n_groups FROM h"""
+h0 AS (SELECT unit, sum(k) AS n, sum(s * s / k) AS q, sum(t) AS t, count(*) AS n_groups FROM g GROUP BY unit),
+h AS (SELECT unit, n_groups, CASE WHEN n_groups >= 2 THEN (12 / (n * (n + 1)) * q - 3 * (n + 1)) / nullif(1 - t / (n * n * n - n), 0) END AS h FROM h0)
+SELECT unit, round(h, 6) + 0 AS h, n_groups, round({sql.chi_squared_p('h', 'n_groups - 1')}, 6) + 0 AS p_value FROM h"""
 query("m11_kruskal")(lambda spark, sf_dir: rounded(metrics.kruskal(scored(spark, sf_dir), ["unit"], "p1", "yr")))
 
+SQL["m11_group_means"] = f"WITH {sql.scores()} SELECT unit, yr, round(avg(p1), 6) + 0 AS mean, count(p1) AS n FROM scored GROUP BY ALL HAVING count(p1) >= 2"
+query("m11_group_means")(lambda spark, sf_dir: rounded(metrics.group_means(scored(spark, sf_dir), ["unit"], "p1", "yr")))
+
 
 # Bootstrap
 
@@ -331,7 +336,7 @@ def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b3_calibration")
 def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newton's method has no SQL, so the draws are those of production."""
-    oof = long_scores(spark, sf_dir).persist()
+    oof = materialised(long_scores(spark, sf_dir), "scores")
     return rounded(inference.calibration(oof, inference.draws(oof), ["rep"]))
 
 
@@ -370,7 +375,7 @@ def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawn(spark: SparkSession, sf_dir: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Scores, and their AUROC under each of the ``REPLICATES`` seeded draws of clusters."""
-    oof = long_scores(spark, sf_dir).persist()
+    oof = materialised(long_scores(spark, sf_dir), "scores")
     return oof, inference.replicate_metrics(oof, inference.draws(oof), by, ("auroc",))
 
 
@@ -394,7 +399,7 @@ def judged(points: DataFrame, reps: DataFrame, a: str, b: str) -> DataFrame:
 
 @query("b10_drawn_beats_chance")
 def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = long_scores(spark, sf_dir).persist()
+    oof = materialised(long_scores(spark, sf_dir), "scores")
     return rounded(inference.beats_chance(oof, inference.draws(oof), ["rep", "unit"]))
 
 
@@ -422,9 +427,10 @@ def comparator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROMISED = "(SELECT unit, y, round(score, 6) AS p, 1 AS one FROM promised WHERE score IS NOT NULL)"
 
 
-@query("t4_trend_auroc", f"WITH {sql.panel()}, {sql.placed()}, {_TREND} SELECT unit, round(auroc, 6) + 0 AS auroc FROM ({sql.weighted_auroc(_PROMISED, 'unit', 'one')})")
+@query("t4_trend_auroc", f"WITH {sql.panel()}, {sql.placed()}, {_TREND} SELECT unit, round(auroc, 6) + 0 AS auroc, round(auprc, 6) + 0 AS auprc FROM ({sql.weighted_auroc(_PROMISED, 'unit', 'one')}) JOIN ({sql.average_precision(_PROMISED, 'unit')}) USING (unit)")
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.auroc(comparator_rows(spark, sf_dir), ["unit"]))
+    rows = comparator_rows(spark, sf_dir)
+    return rounded(metrics.auroc(rows, ["unit"]).join(metrics.auprc(rows, ["unit"]), "unit"))
 
 
 @query("j2_oof_join_comparator", f"WITH {sql.scores()}, {_TREND.replace('FROM limb', 'FROM limb')} SELECT cluster, s.wn, p1, round(score, 6) + 0 AS score FROM scored s JOIN promised p ON s.unit = p.unit AND s.yr = p.yr AND s.wn = p.wn WHERE score IS NOT NULL AND (SELECT count(*) FROM promised WHERE score IS NOT NULL) >= 30")
@@ -509,28 +515,28 @@ def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r10_leave_one_year_out")
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trigger.fold_summary(*trigger.leave_one_year_out(threshold_rows(spark, sf_dir))))
+    return rounded(trigger.fold_summary(*trigger.leave_one_year_out(materialised(threshold_rows(spark, sf_dir), "tall"))))
 
 
 @query("r11_unit_rows")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trigger.unit_rows(rounded(ready(spark, sf_dir)))
+    return trigger.unit_rows(materialised(rounded(ready(spark, sf_dir)), "ready"))
 
 
 @query("r12_median_row")
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trigger.with_median_row(r11(spark, sf_dir))
+    return trigger.with_median_row(materialised(r11(spark, sf_dir), "units"))
 
 
 @query("r13_dynamics_contrast")
 def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamics less accumulation, on the weeks both score; the sign is that of dynamics."""
-    rows = threshold_rows(spark, sf_dir)
+    rows = materialised(threshold_rows(spark, sf_dir), "tall")
     part = lambda accum: trigger.leave_one_year_out(rows.where(F.col("feature").contains("accum") == accum))[1]
     a, d = part(True).withColumnRenamed("x", "pa").drop("hit"), part(False).select(*KEYS, F.col("x").alias("pd"))
     both = comparator.with_cluster(a.join(d, KEYS))
     reps = F.array(F.struct(F.lit("accumulation").alias("rep"), F.col("pa").alias("p")), F.struct(F.lit("dynamics").alias("rep"), F.col("pd").alias("p")))
-    oof = both.select("cluster", "y", F.inline(reps)).persist()
+    oof = materialised(both.select("cluster", "y", F.inline(reps)), "both")
     out = inference.paired_contrasts(metrics.auroc(oof, ["rep"]), inference.replicate_metrics(oof, inference.draws(oof), ["rep"], ("auroc",)), "rep", "auroc")
     return rounded(out.select((-F.col("delta")).alias("dyn_minus_accum"), (-F.col("ci_hi")).alias("ci_lo"), (-F.col("ci_lo")).alias("ci_hi"), "p_value"))
 
@@ -545,13 +551,13 @@ def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of the five representations and the five rungs; the learner stands in for the original one."""
-    frame = evaluate.cap_training(evaluate.folds(modelled(spark, sf_dir)), []).persist()
+    frame = materialised(evaluate.cap_training(evaluate.folds(modelled(spark, sf_dir)), []), "folds")
     return cut(comparator.with_cluster(evaluate.fit_predict_sets(frame, catalogue.representations(DOMAIN, OWN) | catalogue.ladder(DOMAIN, OWN), [])))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows without the plan that made them, which would be planned anew for each use."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    return materialised(df, "scores")
 
 
 def represented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -623,16 +629,16 @@ def v5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.recalibrated(long_scores(spark, sf_dir), ["rep"]))
 
 
-@query("v7_summary", f"WITH {sql.long_scores()}, a AS ({sql.weighted_auroc(_ONES, 'rep', 'one')}) SELECT rep, count(*) AS n_test, round(avg(y), 6) + 0 AS base_rate, round(any_value(auroc), 6) + 0 AS auroc, round(avg((p - y) * (p - y)), 6) + 0 AS brier FROM oof JOIN a USING (rep) GROUP BY rep")
+@query("v7_summary", f"WITH {sql.long_scores()}, a AS ({sql.weighted_auroc(_ONES, 'rep', 'one')}) SELECT rep, count(*) AS n_test, round(avg(y), 6) + 0 AS base_rate, round(any_value(auroc), 6) + 0 AS auroc, round(any_value(auprc), 6) + 0 AS auprc, round(avg((p - y) * (p - y)), 6) + 0 AS brier FROM oof JOIN a USING (rep) JOIN ({sql.average_precision('oof', 'rep')}) USING (rep) GROUP BY rep")
 def v7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.summarise(long_scores(spark, sf_dir), ["rep"]).select("rep", "n_test", "base_rate", "auroc", "brier"))
+    return rounded(evaluate.summarise(long_scores(spark, sf_dir), ["rep"]).select("rep", "n_test", "base_rate", "auroc", "auprc", "brier"))
 
 
 @query("v8_unit_evaluation")
 def v8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold loop inside each unit, with climate type."""
-    frame = evaluate.folds(modelled(spark, sf_dir), ["unit"])
-    oof = evaluate.fit_predict(frame, list(catalogue.RAW), ["unit"])
+    frame = evaluate.cap_training(evaluate.folds(modelled(spark, sf_dir), ["unit"]), ["unit"])
+    oof = materialised(evaluate.fit_predict(frame, list(catalogue.RAW), ["unit"]), "units")
     return rounded(reporting.by_climate(evaluate.summarise(oof, ["unit"]), climates(spark)))
 
 
@@ -672,7 +678,10 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reporting.by_climate(units, climates(spark)))
 
 
-@query("g5_reliability", f"""WITH {sql.long_scores()}, e AS (SELECT rep, least(10, greatest(3, count(DISTINCT p))) AS k, quantile_cont(p, [{', '.join(repr(i / 10) for i in range(1, 10))}]) AS q FROM oof GROUP BY rep),
+_CUTS = " ".join(f"WHEN {n} THEN quantile_cont(p, [{', '.join(repr(i / n) for i in range(1, n))}])" for n in range(3, 11))
+
+
+@query("g5_reliability", f"""WITH {sql.long_scores()}, e AS (SELECT rep, CASE least(10, greatest(3, count(DISTINCT p))) {_CUTS} END AS q FROM oof GROUP BY rep),
 b AS (SELECT rep, p, y, CAST(len(list_filter(q, lambda t: t < p)) AS INTEGER) AS bin FROM oof JOIN e USING (rep))
 SELECT rep, bin, count(*) AS n, round(avg(p), 6) + 0 AS mean_score, round(avg(y), 6) + 0 AS rate FROM b GROUP BY ALL""")
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:

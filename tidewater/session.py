@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -20,3 +22,19 @@ def session(name: str = "tidewater", master: str | None = None, **settings: str)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return configure(builder.getOrCreate())
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: later uses don't repeat the plan that made them.
+
+    The folder is ``spark.checkpoint.dir``; where it is unset and all runs in one process, one of the warehouse.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewater"
+    path = f"{root.rstrip('/')}/panel/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -89,13 +89,33 @@ def plausible(panel: DataFrame, flag: str = "flag_plausibility") -> DataFrame:
     return panel.where(F.col(flag) == 0) if flag in panel.columns else panel
 
 
+def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: T.StructType | str | None = None, whole: bool = False) -> DataFrame:
+    """A saved table: metrics, thresholds, scores, dictionaries. CSV and JSON need their schema, as none is inferred.
+
+    ``whole`` is for JSON files that hold one record over many lines.
+    """
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    if schema is None:
+        raise ValueError(f"{kind} is read with a schema")
+    return spark.read.csv(path, header=True, schema=schema) if kind == "csv" else spark.read.json(path, schema=schema, multiLine=whole)
+
+
 def read_panel(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """A saved panel; CSV and JSON are read with the panel's schema, never an inferred one."""
-    if kind == "csv":
-        return spark.read.csv(path, header=True, schema=PANEL_SCHEMA)
-    if kind == "json":
-        return spark.read.json(path, schema=PANEL_SCHEMA)
-    return spark.read.parquet(path)
+    """A saved panel."""
+    return read_table(spark, path, kind, PANEL_SCHEMA)
+
+
+def record(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with an array of structs for each named table of results: the nested record of a run.
+
+    For summaries, which have a row for each representation, contrast or unit.
+    """
+    rows = [df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name)) for name, df in tables.items()]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.join(F.broadcast(row), F.lit(True))  # one row each
+    return out
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None) -> None:
