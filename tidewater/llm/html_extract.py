@@ -28,6 +28,7 @@ import difflib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -45,7 +46,6 @@ BLOCK = frozenset(
 )
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-HOLDS = frozenset("article main section div ul ol dl table tbody thead tr td th body html nav aside header footer form blockquote figure".split())
 OUTSIDE_TAGS = frozenset("nav footer aside menu dialog".split())
 LAYOUT_WORDS = frozenset("with has have no without layout".split())  # with-sidebar: not the sidebar
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption summary".split())
@@ -55,12 +55,13 @@ OUTSIDE_WORDS = frozenset(
 )
 INSIDE_TAGS = frozenset(("article", "main"))
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>|([^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW.split()}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _LONGEST_SQUARE = 16
+#: Elements nested deeper than this add to the path of a text only if none of their kind has, so that paths are bounded.
+DEEP = 200
 #: So many different pages with one text in a slot make it a fixed one.
 LEAST_PAGES = 3
 
@@ -84,41 +85,99 @@ def _marks(attributes: str) -> tuple[str, str]:
     return ".".join(sorted(set(words))), "!" if apart else "~" if named else ""
 
 
+def tags(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, slash, name, attributes) of each text and tag, in one pass; raw elements and comments are left out.
+
+    A value in quotes may hold ``>``. From the first tag on that the page's end leaves open within
+    quotes, a tag ends with the next ``>``. After the last ``>`` all is text.
+    """
+    at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    while at < size:
+        start = page.find("<", at)
+        if start < 0 or (start > last and not page.startswith("<!--", start)):
+            yield page[at:], "", "", ""
+            return
+        if start > at:
+            yield page[at:start], "", "", ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page[start + 1] in "!?":
+            at = page.find(">", start) + 1
+            continue
+        found = _NAME.match(page, start + 1)
+        if not found:
+            yield "<", "", "", ""
+            at = start + 1
+            continue
+        end = _tag_end(page, found.end()) if quotes else -1
+        if end < 0:
+            quotes, end = False, page.find(">", found.end())
+        slash, name, attributes, at = found[1], found[2].lower(), page[found.end() : end], end + 1
+        if not slash and name in _RAW_END:
+            if name != "svg" or not attributes.endswith("/"):
+                close = _RAW_END[name].search(page, at)
+                at = close.end() if close else size
+            continue
+        yield "", slash, name, attributes
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where a tag's ``>`` outside of quotes stands, or -1."""
+    while found := _STOP.search(page, at):
+        if found[0] == ">":
+            return found.start()
+        close = page.find(found[0], found.end())
+        if close < 0:
+            return -1
+        at = close + 1
+    return -1
+
+
 def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     """The stream of block tags and slots, and the (path, text) of each block of text.
 
     A path is the elements around a text, ``!`` or ``~`` marking one that is set apart. A slot is ``#`` and its path.
     """
-    stack: list[tuple[str, str]] = []  # (tag, label)
+    stack: list[tuple[str, str, str, frozenset]] = []  # (tag, label, path, kinds that deep elements have added)
+    blocks_at: list[int] = []  # where in the stack blocks stand
+    opened: Counter = Counter()
     stream: list[str] = []
     found: list[tuple[str, str]] = []
     pending: list[str] = []
 
-    def path() -> str:
-        return "/".join(label for tag, label in stack if tag in BLOCK or label[-1] in "!~")
-
     def flush() -> None:
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                at = path()
+                at = stack[-1][2] if stack else ""
                 stream.append(f"#{at}")
                 found.append((at, text))
 
     def close(at: int) -> None:
-        for tag, label in reversed(stack[at:]):
+        for tag, label, _, _ in reversed(stack[at:]):
+            opened[tag] -= 1
             if tag in BLOCK:
                 stream.append(f"</{label}>")
+                blocks_at.pop()
         del stack[at:]
 
-    for raw, slash, name, attributes, text in _TOKEN.findall(page):
+    def push(tag: str, label: str, shown: bool) -> None:
+        path, kinds = stack[-1][2:] if stack else ("", frozenset())
+        if shown and len(stack) >= DEEP:
+            kind = tag + label[-1] * (label[-1] in "!~")
+            shown, kinds, label = kind not in kinds, kinds | {kind}, kind
+        if shown:
+            path = f"{path}/{label}" if path else label
+        stack.append((tag, label, path, kinds))
+        opened[tag] += 1
+
+    for text, slash, tag, attributes in tags(page):
         if text:
             pending.append(text)
             continue
-        if raw or not name:
-            continue
-        tag = name.lower()
         block = tag in BLOCK
         if tag in VOID:
             if tag == "hr":
@@ -127,10 +186,12 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
                 pending.append(" ")
             continue
         if slash:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is None:
+            if not opened[tag]:
                 continue
-            if block or any(t in BLOCK or x[-1] in "!~" for t, x in stack[at:]):
+            at = len(stack) - 1
+            while stack[at][0] != tag:
+                at -= 1
+            if block or any(x[0] in BLOCK or x[1][-1] in "!~" for x in stack[at:]):
                 flush()
             close(at)
             continue
@@ -138,17 +199,15 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
         if block or apart:
             flush()
         if block:
-            ends = CLOSED_BY_SAME.get(tag, ()) + (tuple(CLOSED_BY_BLOCK))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in HOLDS:
-                    break
-        label = tag + (f".{words}" if words and block else "") + apart
-        stack.append((tag, label))
+            ends = CLOSED_BY_SAME.get(tag, ()) + tuple(CLOSED_BY_BLOCK)
+            if blocks_at and stack[blocks_at[-1]][0] in ends:
+                close(blocks_at[-1])
+                if blocks_at and tag in CLOSED_BY_SAME and stack[blocks_at[-1]][0] in CLOSED_BY_SAME[tag]:
+                    close(blocks_at[-1])
+            blocks_at.append(len(stack))
+        push(tag, tag + (f".{words}" if words and block else "") + apart, block or bool(apart))
         if block:
-            stream.append(f"<{label}>")
+            stream.append(f"<{stack[-1][1]}>")
     flush()
     close(0)
     return stream, found
