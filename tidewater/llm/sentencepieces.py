@@ -50,6 +50,8 @@ class Pieces:
         self.space = model.piece_to_id(SPACE)
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.text = [model.id_to_piece(i) for i in range(n)]
+        if any(model.get_score(i) % 1 for i in range(n)):
+            raise ValueError("scores aren't ranks of merges: not a BPE model")
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         runs = {i for i in plain if len(self.text[i]) > 1 and set(self.text[i]) == {SPACE}}
         self.runs = {len(self.text[i]): i for i in runs} | {1: self.space}
@@ -119,7 +121,14 @@ class Pieces:
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    """The model, if it is one whose ids this way of encoding gives: probes would show another kind or normalizer."""
+    import sentencepiece
+
+    own, library = Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    probes = ["\ufb01 \u212b \u00bd\tx  y ", " A\u00a0B\u3000c", "e\u0301 \u00e9 \uff21", "a\nb\r\nc", "lower UPPER 12,345.67"]
+    if encode(probes, own, Memo()) != [library.encode(p) for p in probes]:
+        raise ValueError("the model changes text before it encodes, or encodes otherwise than by merges")
+    return own
 
 
 def suffix_index(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +170,8 @@ def encode_words(words: list[str], model: Pieces) -> list[bytes]:
     ends = np.cumsum(lengths, dtype=np.int32)
     starts = ends - lengths
     alphabet, codes = np.unique(points, return_inverse=True)
-    if len(alphabet) > 0xFF00:
-        half = len(words) // 2
-        return encode_words(words[:half], model) + encode_words(words[half:], model)
+    if len(alphabet) > 0xFF00:  # characters that no piece has may share a code
+        alphabet, codes = np.unique(np.where(np.isin(points, model.points), points, 0x110000), return_inverse=True)
     kind = np.uint8 if len(alphabet) < 250 else np.uint16
     codes = (codes + 2).astype(kind)
     codes[ends - 1] = 1
