@@ -7,9 +7,10 @@
    bucket with 0.27.
 2. Documents of equal sets are one class, found by the digest of the set with partial aggregation;
    only the class goes on. So exact copies make no pairs.
-3. In each bucket the member of the least number is the centre. A member is compared with one
-   centre, that of most of its buckets: at most one pair for each class, whatever the size of groups.
-   What is linked by then is put into components.
+3. In each bucket the member with most neighbours in all its buckets is the centre: in a group of
+   near copies, one with few edits. A member is compared with the centre of most of its buckets, and
+   what is linked by then is put into components; then with its other centres of other components.
+   That is at most one pair for each class and bucket, whatever the size of groups.
 4. Buckets that hold more than one component by then are *mixed*. All pairs of their members that can
    be linked at all are found exactly: shingles are ordered by how many of these members hold them,
    rare ones first. Two sets that are similar enough must share one of the first fifth of each, and
@@ -179,10 +180,23 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets[part])), *(pa.array(np.repeat(x[part], sizes[part])) for x in (nodes, sizes))], names=["token", "node", "size"])
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """``a, b``: each member of ``buckets`` (node, centre) with the centre of most of its buckets."""
-    met = buckets.where("node <> centre").repartition("node").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n"))
-    return met.groupBy("node").agg(F.min(F.struct(-F.col("n"), "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
+def star_pairs(buckets: DataFrame, folder: str) -> DataFrame:
+    """``a, b, nth``: each member of ``buckets`` (bucket, node, n) with the centres of its buckets, 1 being that of most of them."""
+    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    heaviest = F.min(F.struct(-F.col("weight"), "node")).alias("heaviest")
+    # written, so that the join has exchanges of its own and Spark can split a bucket that many nodes share
+    centres = stage(buckets.join(weights, "node").groupBy("bucket").agg(heaviest).select("bucket", F.col("heaviest.node").alias("centre")), "centres", folder)
+    met = buckets.join(centres, "bucket").where("node <> centre").repartition("node").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "centre"))
+    return met.select(F.col("node").alias("a"), F.col("centre").alias("b"), nth.alias("nth"))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a <> root_b").select("a", "b")
 
 
 def mixed_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -218,11 +232,13 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def linked(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, n_minima: int, folder: str) -> DataFrame:
     """``node, root`` of all nodes that are linked with another; see 3. to 6. above."""
-    first = stage(confirmed(star_pairs(buckets), nodes, sets, percent, n_minima), "links", folder)
-    live = stage(mixed_members(buckets, components(first)), "live", folder)
+    stars = stage(star_pairs(buckets, folder), "stars", folder)
+    links = stage(confirmed(stars.where("nth = 1").select("a", "b"), nodes, sets, percent, n_minima), "links", folder)
+    links = links.union(stage(confirmed(apart(stars.where("nth > 1"), components(links)), nodes, sets, percent, n_minima), "links", folder))
+    live = stage(mixed_members(buckets, components(links)), "live", folder)
     rows = stage(prefixes(live, sets, percent), "prefixes", folder)
     rest = stage(confirmed(prefix_pairs(rows, percent), nodes, sets, percent, n_minima), "links", folder)
-    return components(first.union(rest))
+    return components(links.union(rest))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -241,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stands = F.min(F.struct("uid", "doc_id", "version", "signature", "buckets")).alias("rep")
         classes = stage(whole.where("n_shingles > 0").groupBy("digest").agg(stands, F.min("doc_id").alias("least_id")).select("digest", F.col("rep.uid").alias("node"), "least_id", "rep.doc_id", "rep.version", "rep.signature", "rep.buckets"), "classes", folder)
         dealt = classes.select(F.explode("buckets").alias("bucket"), "node")
-        shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
+        shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         buckets = stage(dealt.join(shared, "bucket"), "buckets", folder)
         nodes = stage(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version", "signature"), "nodes", folder)
         wanted = nodes.select("node", F.col("doc_id").alias("_d"), F.col("version").alias("_v")).hint("shuffle_hash")
