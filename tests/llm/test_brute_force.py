@@ -128,6 +128,14 @@ def test_widespread_values_are_no_tokens(spark):
         assert len(found) == tokens
 
 
+def test_many_owners_of_one_repository_share_one_copy(spark):
+    value = "aB3dE5fG7hJ9kL1mN2pQ4rS6"
+    for repositories, tokens in ((1, 4), (2, 4), (4, 0)):
+        df = spark.createDataFrame([(i, f"see {value}", f"o{i}", f"r{i % repositories}") for i in range(4)], "doc_id long, text string, source string, repo string")
+        found = [f for r in secret_scan.scan_secrets(df, repository_cols=("repo",)).collect() for f in r["findings"] or []]
+        assert len(found) == tokens
+
+
 def test_exact(both):
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t)
     groups = defaultdict(list)

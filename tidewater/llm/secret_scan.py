@@ -6,8 +6,10 @@
 2. Each candidate's value is hashed. Hashes are counted by distinct repositories and distinct
    owners; pairs of hash and repository are made distinct before any count, with partial sums in
    each task, so that a value which a third of all rows hold is no hot group.
-3. A value of ``widespread_owners`` owners or more is a widely copied example. Loose candidates of
-   fewer owners are owner-specific and become spans of kind ``token``; base spans always stay.
+3. A value of at least ``widespread_owners`` owners in at least ``widespread_repositories``
+   repositories is a widely copied example: many owners of one shared repository have no copies of
+   their own. Other loose candidates are owner-specific and become spans of kind ``token``; base
+   spans always stay.
 
 Defined cases: a null text counts as empty. A null owner or repository counts as one of its own.
 Each row is judged for itself, also where rows share an id. Spans count code points, end exclusive.
@@ -41,8 +43,9 @@ MIN_VALUE = 6
 LOOSE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Bits of entropy a character that a loose candidate has at least.
 MIN_ENTROPY = 3.5
-#: A value that so many owners have is a widely copied example.
+#: A value that so many owners have, in so many repositories, is a widely copied example.
 WIDESPREAD_OWNERS = 3
+WIDESPREAD_REPOSITORIES = 3
 
 _FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 _ROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("owner", pa.string()), ("repository", pa.string()), ("findings", pa.list_(_FINDING))])
@@ -98,7 +101,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, _ROW)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), widespread_owners: int = WIDESPREAD_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), widespread_owners: int = WIDESPREAD_OWNERS, widespread_repositories: int = WIDESPREAD_REPOSITORIES) -> DataFrame:
     """A row for each row: ``doc_id``, ``version`` (a hash of the text) and ``findings``.
 
     Findings are structs (start, rank of kind, kind, end, value hash, n_owners, n_repositories,
@@ -113,7 +116,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owned = found.select("value", F.coalesce(F.concat(F.lit("="), "owner"), F.lit("")).alias("owner"), "repository").distinct()
     # written, so that the join has exchanges of its own and Spark can split a value that many documents have
     counts = stage(owned.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories")), "owned")
-    widespread = F.col("n_owners") >= widespread_owners
+    widespread = (F.col("n_owners") >= widespread_owners) & (F.col("n_repositories") >= widespread_repositories)
     judged = found.join(counts, "value").withColumn("widespread", widespread).where("kind <> 'token' OR NOT widespread")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank")
     spans = judged.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", rank, "kind", "end", "value", "n_owners", "n_repositories", "widespread"))).alias("findings"))
