@@ -3,6 +3,9 @@
 Each stage reads the documents its predecessor wrote to the shared folder. All but the last return
 the columns of ``documents``. Rows are told apart by id and text; a stage that changes texts brings
 ``n_chars`` up to date.
+
+Defined cases of all stages: a null text counts as empty, a null id as an id of its own; an empty
+table gives an empty table; further columns are handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,18 +26,29 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones."""
+    """Documents that the classifier takes for good ones.
+
+    Empty and null texts are scored like others. Repeated rows have one score and stay or go together.
+    """
     scores = quality.score_quality(docs, table(spark, sf_dir, "labels"))
     return rows_of(docs, scores.where("predicted = 1"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many of them share."""
+    """All documents, without the lines that many of them share.
+
+    A document that loses all its lines stays, with an empty text. Repeated rows count as one
+    document for a line and lose the same lines.
+    """
     return _recounted(line_dedup.shortened(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the least id."""
+    """One document of each group of near copies: the one of the least id, a null id last.
+
+    Documents without words are linked with nothing and all stay. Of repeated rows, or equal ids with
+    equal texts, one stays; of equal ids with near texts, the one whose text has the least hash.
+    """
     found = minhash.near_duplicates(docs, shingle=5, percent=80)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version"))
     chosen = found.groupBy("group_id").agg(first.alias("first")).select("first.doc_id", "first.version")
@@ -44,12 +58,18 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked: those of one owner, and widely copied examples, each by a mask of its own."""
+    """All documents, with secrets masked: those of one owner, and widely copied examples, each by a mask of its own.
+
+    A null text stays null. Repeated rows are masked alike.
+    """
     return _recounted(secret_scan.redact(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of 1024-token sequences."""
+    """All documents as pieces of 1024-token sequences.
+
+    An empty or null text is a piece of one token, the end. Repeated rows are packed once each.
+    """
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), end_id=2, max_tokens=1024, with_ids=True)
 
 
