@@ -214,6 +214,45 @@ def test_steps_are_the_nearest_rising_ones():
         assert levels == pytest.approx(want)
 
 
+def test_running_sums_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    # a group of one value, one of many, a null group, a null value, and a value that a third of the rows hold
+    rows = [("one", 0.5, 1.0)] + [("many", float(v), float(v % 7)) for v in rng.permutation(900)] + [(None, float(v), 1.0) for v in range(10)] + [("many", None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double, n double")
+    want = {tuple(r) for r in metrics.running(df, ["g"], "v", ["n"], ranges=1).collect()}
+    assert len(want) == len(rows)
+    for ranges in (2, 64, 2000):
+        assert {tuple(r) for r in metrics.running(df, ["g"], "v", ["n"], ranges=ranges).collect()} == want
+    plain = spark.createDataFrame([(r[1], r[2]) for r in rows], "v double, n double")
+    assert {tuple(r) for r in metrics.running(plain, [], "v", ["n"]).collect()} == {tuple(r) for r in metrics.running(plain, [], "v", ["n"], ranges=1).collect()}
+    assert metrics.running(df.limit(0), ["g"], "v", ["n"]).count() == 0
+
+
+def test_midranks_with_a_hot_value(spark):
+    values = [3.0] * 40 + [float(v) for v in range(50)] + [49.0] * 20
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    got = {r["v"]: (r["midrank"], r["_ties"]) for r in metrics.with_midrank(df, ["g"], "v").collect()}
+    assert got == {v: (sum(w < v for w in values) + (values.count(v) + 1) / 2, values.count(v)) for v in set(values)}
+    assert metrics.with_midrank(df, ["g"], "v").count() == len(values)
+
+
+def test_delong_against_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", int(rng.random() < 0.4), float(rng.integers(0, 12)), float(rng.integers(0, 5))) for _ in range(150)]
+    got = metrics.delong(spark.createDataFrame(rows, "g string, y int, p1 double, p2 double"), ["g"]).first()
+    y = np.array([r[1] for r in rows])
+    variance, areas = 0.0, []
+    places = []
+    for k in (2, 3):
+        p = np.array([r[k] for r in rows])
+        beyond = (p[y == 1][:, None] > p[y == 0]) + 0.5 * (p[y == 1][:, None] == p[y == 0])
+        places.append((beyond.mean(1), beyond.mean(0)))
+        areas.append(beyond.mean())
+    for a, b in zip(*places, strict=True):
+        variance += np.var(a - b, ddof=1) / len(a)
+    assert np.allclose([got["auc1"], got["auc2"], got["z"]], [*areas, (areas[0] - areas[1]) / variance**0.5])
+
+
 def test_folds_without_a_positive_of_their_own_stay(spark):
     rows = [("u", y, w, int(w == 1 and y != 4), 1) for y in range(1, 6) for w in range(3)]
     got = {(r["fold"], r["is_test"]): r["count"] for r in evaluate.folds(spark.createDataFrame(rows, "unit string, yr int, wn int, y int, labelable int")).groupBy("fold", "is_test").count().collect()}

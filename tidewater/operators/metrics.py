@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ratio
 
 BINS = 10
+#: Into how many ranges of its values a group is cut where its rows are put in order.
+RANGES = 64
 EPS = 1e-6
 
 
@@ -28,18 +30,50 @@ def _partition(by: list[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
-def auroc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` where null equals null; the left side's keys stay."""
+    mine = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(mine[f"_r_{k}"])
+    return left.join(mine, same, how).drop(*(f"_r_{k}" for k in keys))
+
+
+def running(df: DataFrame, by: list[str], value: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
+    """Adds ``below_<c>``, the sum of ``c`` over lesser values of the group, and ``all_<c>``; a value is one row.
+
+    A group is cut into ranges of ``value`` at rough quantiles, each range is summed and ordered for
+    itself, and the sums of the ranges before are added. So no task orders a whole group; where the
+    cuts lie doesn't change the result. ``ranges=1`` is for many groups that are small by nature.
+    """
+    if ranges < 2:
+        group = _partition(by)
+        so_far = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"below_{c}") for c in columns), *(F.sum(c).over(group).alias(f"all_{c}") for c in columns))
+    cuts = [i / ranges for i in range(1, ranges)]
+    marks = df.groupBy(*by).agg(F.percentile_approx(value, cuts).alias("_marks"))
+    placed = _joined(df, marks, by).withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col(value)))).drop("_marks")
+    sums = placed.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_s_{c}") for c in columns))
+    group = _partition(by)  # of at most ``ranges`` rows
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, "_range", *(F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in columns), *(F.sum(f"_s_{c}").over(group).alias(f"all_{c}") for c in columns))
+    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_w_{c}") for c in columns))
+    out = _joined(own, before, [*by, "_range"])
+    return out.select(*df.columns, *((F.col(f"_b_{c}") + F.col(f"_w_{c}")).alias(f"below_{c}") for c in columns), *(f"all_{c}" for c in columns))
+
+
+def auroc(df: DataFrame, by: list[str], weight: str | None = None, ranges: int = RANGES) -> DataFrame:
     """``auroc``: the share of pairs in order, ties counting half; null if a class is missing."""
-    below = _partition(by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score(df, by, weight).withColumn("below", F.coalesce(F.sum("wn").over(below), F.lit(0.0)))
-    return ranked.groupBy(*by).agg(ratio(F.sum(F.col("wp") * (F.col("below") + F.col("wn") / 2)), F.sum("wp") * F.sum("wn")).alias("auroc"))
+    ranked = running(by_score(df, by, weight), by, "p", ["wn"], ranges)
+    return ranked.groupBy(*by).agg(ratio(F.sum(F.col("wp") * (F.col("below_wn") + F.col("wn") / 2)), F.sum("wp") * F.sum("wn")).alias("auroc"))
 
 
-def auprc(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+def auprc(df: DataFrame, by: list[str], weight: str | None = None, ranges: int = RANGES) -> DataFrame:
     """``auprc``: average precision by steps of the distinct scores; null if a class is missing."""
-    so_far = _partition(by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by_score(df, by, weight).withColumn("tp", F.sum("wp").over(so_far)).withColumn("fp", F.sum("wn").over(so_far))
-    out = ranked.groupBy(*by).agg(F.sum(F.col("wp") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("s"), F.sum("wp").alias("pos"), F.sum("wn").alias("neg"))
+    ranked = running(by_score(df, by, weight), by, "p", ["wp", "wn"], ranges)
+    tp, fp = (F.col(f"all_{c}") - F.col(f"below_{c}") for c in ("wp", "wn"))
+    out = ranked.groupBy(*by).agg(F.sum(F.when(F.col("wp") > 0, F.col("wp") * ratio(tp, tp + fp))).alias("s"), F.sum("wp").alias("pos"), F.sum("wn").alias("neg"))
     return out.select(*by, F.when(F.col("neg") > 0, ratio(F.col("s"), F.col("pos"))).alias("auprc"))
 
 
@@ -104,22 +138,25 @@ def spiegelhalter(df: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "z", normal_p(F.col("z")).alias("p_value"))
 
 
-def midrank(value: str, by: list[str]) -> Column:
-    """1-based rank, equal values sharing the mean of their ranks."""
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(_partition(by).orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2
+def with_midrank(df: DataFrame, by: list[str], value: str, name: str = "midrank", ties: str = "_ties") -> DataFrame:
+    """Adds ``name``, the 1-based rank, equal values sharing the mean of their ranks, and ``ties``, how many are equal."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias(ties))
+    ranks = running(counts, by, value, [ties]).select(*by, value, ties, (F.col(f"below_{ties}") + (F.col(ties) + 1) / 2).alias(name))
+    return _joined(df, ranks, [*by, value])
 
 
 def delong(df: DataFrame, by: list[str], a: str = "p1", b: str = "p2") -> DataFrame:
-    """Paired test of two scores' AUROC: ``auc1, auc2, z, p_value``, from midranks."""
-    rows = df
-    for name, score in (("1", a), ("2", b)):
-        rows = rows.select("*", midrank(score, by).alias(f"all{name}"), midrank(score, [*by, "y"]).alias(f"own{name}"))
-    size = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rows = rows.select("*", F.sum("y").over(size).alias("m"), F.sum(1 - F.col("y")).over(size).alias("n"))
-    other = F.when(F.col("y") == 1, F.col("n")).otherwise(F.col("m"))
-    place = lambda k: ratio(F.col(f"all{k}") - F.col(f"own{k}"), other)
-    rows = rows.select(*by, "y", "m", "n", *((F.when(F.col("y") == 1, place(k)).otherwise(1 - place(k))).alias(f"v{k}") for k in "12"))
+    """Paired test of two scores' AUROC: ``auc1, auc2, z, p_value``.
+
+    A row's placement is the share of the other class that it is beyond, ties counting half: what the
+    difference of its midranks among all and among its own class comes to.
+    """
+    rows = df.select(*by, "y", F.col(a).alias("_p1"), F.col(b).alias("_p2"))
+    for k in "12":
+        sums = running(by_score(rows.select(*by, "y", F.col(f"_p{k}").alias("p")), by), by, "p", ["wp", "wn"])
+        lesser = lambda c: ratio(F.col(f"below_{c}") + F.col(c) / 2, F.col(f"all_{c}"))
+        places = sums.select(*by, F.col("p").alias(f"_p{k}"), lesser("wn").alias("_pos"), (1 - lesser("wp")).alias("_neg"), *((F.col("all_wp").alias("m"), F.col("all_wn").alias("n")) if k == "1" else ()))
+        rows = _joined(rows, places, [*by, f"_p{k}"]).withColumn(f"v{k}", F.when(F.col("y") == 1, F.col("_pos")).otherwise(F.col("_neg"))).drop("_pos", "_neg")
     d = F.col("v1") - F.col("v2")
     part = lambda k: F.var_samp(F.when(F.col("y") == k, d))
     mean = lambda k: F.avg(F.when(F.col("y") == 1, F.col(f"v{k}")))
@@ -141,7 +178,7 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p_value", tie: st
 def kruskal(df: DataFrame, by: list[str], value: str, group: str, least: int = 2) -> DataFrame:
     """Kruskal-Wallis H with tie correction over groups of at least ``least`` values: ``h, n_groups, p_value``."""
     known = df.where(F.col(value).isNotNull()).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*by, group))).where(F.col("_size") >= least)
-    ranked = known.select(*by, group, F.col(value).alias("_v"), midrank(value, by).alias("_rank"), F.count(F.lit(1)).over(Window.partitionBy(*by, value)).alias("_ties"))
+    ranked = with_midrank(known.select(*by, group, F.col(value).alias("_v")), by, "_v", "_rank")
     sums = ranked.groupBy(*by, group).agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum("_rank").alias("s"), F.sum(F.col("_ties") * F.col("_ties") - 1).alias("t"))
     out = sums.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("n_groups"))
     h = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)

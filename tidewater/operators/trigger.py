@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..functions.windows import history, in_history
+from ..session import materialised
 from .metrics import auroc
 
 # The trigger's windows and levels, and the candidates of the search.
@@ -85,7 +86,8 @@ def fit_thresholds(rows: DataFrame, by: list[str]) -> DataFrame:
     """
     sums = rows.groupBy(*by, "x").agg(F.sum("y").alias("wp"), F.sum(1 - F.col("y")).alias("wn"))
     shares = F.array(*(F.lit(0.02 + i * (0.96 / (QUANTILES - 1))) for i in range(QUANTILES)))
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.count_distinct("x").alias("values"), F.percentile("x", shares).alias("quantiles"))
+    held = F.col("wp") + F.col("wn")
+    groups = sums.groupBy(*by).agg(F.sum(held).alias("n"), F.sum("wp").alias("pos"), F.count(F.lit(1)).alias("values"), F.percentile("x", shares, held).alias("quantiles"))
     groups = groups.where((F.col("n") >= LEAST_ROWS) & (F.col("pos") > 0) & (F.col("pos") < F.col("n")))
     fit = groups.where(F.col("values") > MOST_VALUES).select(*by, F.explode("quantiles").alias("x")).distinct()
     own = sums.join(groups.where(F.col("values") <= MOST_VALUES).select(*by), by, "left_semi").select(*by, "x")
@@ -121,9 +123,10 @@ def leave_one_year_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     years = rows.select("unit", F.col("yr").alias("fold")).distinct()
     train = rows.join(years, "unit").where(F.col("yr") != F.col("fold"))
     keys = ["unit", "fold", "feature", "feature_ord", "lead"]
-    best = select_best(fit_thresholds(train, keys), ["unit", "fold"])
-    values = train.select("unit", "fold", "feature", "yr", "wn", "x").distinct()
-    below = values.join(best.select("unit", "fold", "feature", "threshold"), ["unit", "fold", "feature"]).groupBy("unit", "fold").agg((100 * F.avg((F.col("x") < F.col("threshold")).cast("double"))).alias("threshold_pctl"))
+    # written, as the folds, their percentiles and the rows out of fold each read it
+    best = materialised(select_best(fit_thresholds(train, keys), ["unit", "fold"]), "fits")
+    values = rows.select("unit", "feature", "yr", "wn", "x").distinct()
+    below = values.join(best.select("unit", "fold", "feature", "threshold"), ["unit", "feature"]).where(F.col("yr") != F.col("fold")).groupBy("unit", "fold").agg((100 * F.avg((F.col("x") < F.col("threshold")).cast("double"))).alias("threshold_pctl"))
     test = rows.withColumn("fold", F.col("yr")).join(best.select("unit", "fold", "feature", "lead", "threshold"), ["unit", "fold", "feature", "lead"])
     oof = test.select("unit", "yr", "wn", "x", "y", (F.col("x") >= F.col("threshold")).cast("int").alias("hit"))
     folds = best.join(below, ["unit", "fold"]).join(oof.select("unit", F.col("yr").alias("fold")).distinct(), ["unit", "fold"], "left_semi")
@@ -132,7 +135,7 @@ def leave_one_year_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def fold_summary(folds: DataFrame, oof: DataFrame) -> DataFrame:
     """A row for each unit: mean fold AUROC, pooled rates, modal feature, and how much the threshold varies."""
-    areas = auroc(oof.select("unit", "yr", "y", F.col("x").alias("p")), ["unit", "yr"]).groupBy("unit").agg(F.avg("auroc").alias("auroc_loyo"))
+    areas = auroc(oof.select("unit", "yr", "y", F.col("x").alias("p")), ["unit", "yr"], ranges=1).groupBy("unit").agg(F.avg("auroc").alias("auroc_loyo"))
     count = lambda h, y: F.sum(((F.col("hit") == h) & (F.col("y") == y)).cast("int"))
     rates = oof.groupBy("unit").agg(ratio(count(1, 1), count(1, 1) + count(0, 1)).alias("sens_loyo"), ratio(count(0, 0), count(0, 0) + count(1, 0)).alias("spec_loyo"))
     balanced = (F.coalesce("sens_loyo", "spec_loyo") + F.coalesce("spec_loyo", "sens_loyo")) / 2

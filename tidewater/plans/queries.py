@@ -97,7 +97,9 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.enrich(weekly(spark, sf_dir)).select(*KEYS, *(c for cs in FAMILIES.values() for c in cs)), 5)
 
 
-@query("e44_rain_pct_unit_causal")
+@query("e44_rain_pct_unit_causal", f"""WITH {sql.features()}, v AS (SELECT unit, yr, wn, rain_sum8 AS v FROM enriched) SELECT a.unit, a.yr, a.wn,
+  round(CASE WHEN a.v IS NOT NULL THEN (count(*) FILTER (WHERE b.v < a.v) + (count(*) FILTER (WHERE b.v = a.v) + 1) / 2.0) / nullif(count(b.v), 0) END, 6) + 0 AS rain_pct_unit_causal
+  FROM v a JOIN v b ON a.unit = b.unit AND (b.yr < a.yr OR (b.yr = a.yr AND b.wn <= a.wn)) GROUP BY a.unit, a.yr, a.wn, a.v""")
 def causal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A variant of e33 that only looks back; no part of the 108."""
     return rounded(features.enrich(weekly(spark, sf_dir), extra=True).select(*KEYS, "rain_pct_unit_causal"))
@@ -272,7 +274,7 @@ def metrics_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["m8_midrank"] = f"WITH {sql.scores()} SELECT unit, yr, wn, rank() OVER (PARTITION BY unit ORDER BY p1) + (count(*) OVER (PARTITION BY unit, p1) - 1) / 2.0::DOUBLE AS midrank FROM scored"
-query("m8_midrank")(lambda spark, sf_dir: scored(spark, sf_dir).select(*KEYS, metrics.midrank("p1", ["unit"]).alias("midrank")))
+query("m8_midrank")(lambda spark, sf_dir: metrics.with_midrank(scored(spark, sf_dir), ["unit"], "p1").select(*KEYS, "midrank"))
 
 _MID = "rank() OVER (PARTITION BY unit{g} ORDER BY {p}) + (count(*) OVER (PARTITION BY unit{g}, {p}) - 1) / 2.0"
 SQL["m9_delong"] = f"""WITH {sql.scores()}, ranks AS (SELECT unit, y, sum(y) OVER (PARTITION BY unit) AS m, sum(1 - y) OVER (PARTITION BY unit) AS n,
@@ -513,7 +515,23 @@ def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigger.median_lead(rows.select("unit", "yr", "wn", "feature", "x").distinct(), ready(spark, sf_dir), best)
 
 
-@query("r10_leave_one_year_out")
+_FOLDS = f"""{_LONG}, train AS (SELECT tall.*, fold FROM tall JOIN (SELECT DISTINCT unit, yr AS fold FROM tall) USING (unit) WHERE yr <> fold),
+grp AS (SELECT unit, fold, feature, feature_ord, lead, count(*) AS n, sum(y) AS pos, count(DISTINCT x) AS k,
+  quantile_cont(x, [{', '.join(repr(0.02 + i * (0.96 / 99)) for i in range(100))}]) AS q FROM train GROUP BY ALL HAVING count(*) >= 20 AND sum(y) > 0 AND sum(y) < count(*)),
+cand AS (SELECT DISTINCT unit, fold, feature, lead, unnest(q) AS t FROM grp WHERE k > 120 UNION SELECT DISTINCT unit, fold, feature, lead, x FROM train JOIN grp USING (unit, fold, feature, lead) WHERE k <= 120),
+judged AS (SELECT unit, fold, feature, g.feature_ord, lead, t AS threshold, sum(CASE WHEN x >= t THEN y ELSE 0 END) / max(pos) - sum(CASE WHEN x >= t THEN 1 - y ELSE 0 END) / max(g.n - pos) AS j
+  FROM grp g JOIN cand USING (unit, fold, feature, lead) JOIN train USING (unit, fold, feature, lead) GROUP BY ALL),
+best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY unit, fold ORDER BY round(j, 12) DESC, feature_ord, lead, threshold) = 1),
+oof AS (SELECT unit, yr, x AS p, y, 1 AS one, CASE WHEN x >= threshold THEN 1 ELSE 0 END AS hit FROM tall JOIN (SELECT unit, fold AS yr, feature, lead, threshold FROM best) USING (unit, yr, feature, lead)),
+pctl AS (SELECT unit, fold, feature, 100 * avg(CASE WHEN x < threshold THEN 1.0 ELSE 0.0 END) AS pctl FROM best JOIN (SELECT DISTINCT unit, feature, yr, wn, x FROM tall) USING (unit, feature) WHERE yr <> fold AND (unit, fold) IN (SELECT (unit, yr) FROM oof) GROUP BY ALL),
+areas AS (SELECT unit, avg(auroc) AS auroc_loyo FROM ({sql.weighted_auroc('oof', 'unit, yr', 'one')}) GROUP BY unit),
+rates AS (SELECT unit, sum(hit * y) / nullif(sum(y), 0) AS sens_loyo, sum((1 - hit) * (1 - y)) / nullif(sum(1 - y), 0) AS spec_loyo FROM oof GROUP BY unit),
+modal AS (SELECT unit, feature AS modal_feature FROM (SELECT unit, feature, count(*) AS votes, min(fold) AS seen FROM pctl GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY unit ORDER BY votes DESC, seen) = 1),
+spread AS (SELECT unit, stddev_pop(pctl) / nullif(avg(pctl), 0) AS threshold_pctl_cv FROM pctl GROUP BY unit)"""
+
+
+@query("r10_leave_one_year_out", f"""WITH {_FOLDS} SELECT unit, round(auroc_loyo, 6) + 0 AS auroc_loyo, round((coalesce(sens_loyo, spec_loyo) + coalesce(spec_loyo, sens_loyo)) / 2, 6) + 0 AS balanced_acc_loyo,
+  round(sens_loyo, 6) + 0 AS sens_loyo, round(spec_loyo, 6) + 0 AS spec_loyo, modal_feature, round(threshold_pctl_cv, 6) + 0 AS threshold_pctl_cv FROM rates JOIN modal USING (unit) JOIN spread USING (unit) LEFT JOIN areas USING (unit)""")
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trigger.fold_summary(*trigger.leave_one_year_out(materialised(threshold_rows(spark, sf_dir), "tall"))))
 
