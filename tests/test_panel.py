@@ -14,7 +14,7 @@ from tidewater.plans import queries
 from tidewater.sources import panel as source
 
 #: One query of each family; the slow ones are left to the driver.
-SOME = ["entry_slice", "e21_wet_run", "e25_ac1", "e33_rain_pct_unit", "e37_skew12", "e40_inter_epidemic", "e43_enriched", "c_signatures_rain", "f1_drop_flagged_years", "j1_features_join_labels", "l3_label_limb", "l4_label_prepeak", "m1_auroc", "m2_auprc", "m4_ece", "m9_delong", "m10_fdr", "t2_trend_score", "r3_rain_features", "r6_onset_targets", "f4_fold_rows", "g5_reliability", "m11_kruskal", "t4_trend_auroc", "v7_summary"]
+SOME = ["entry_slice", "e21_wet_run", "e25_ac1", "e33_rain_pct_unit", "e37_skew12", "e40_inter_epidemic", "e43_enriched", "c_signatures_rain", "f1_drop_flagged_years", "j1_features_join_labels", "l3_label_limb", "l4_label_prepeak", "m1_auroc", "m2_auprc", "m4_ece", "m9_delong", "m10_fdr", "t2_trend_score", "r3_rain_features", "r6_onset_targets", "f4_fold_rows", "g5_reliability", "m11_kruskal", "t4_trend_auroc", "v7_summary", "v5_recalibrated", "r1_constant_latch", "r11_unit_rows"]
 
 
 def plain(value):

@@ -107,42 +107,50 @@ def select_best(fits: DataFrame, by: list[str]) -> DataFrame:
     return fits.withColumn("_nth", first).where("_nth = 1").drop("_nth")
 
 
-def median_lead(rows: DataFrame, triggered: DataFrame, chosen: DataFrame) -> DataFrame:
+def median_lead(rows: DataFrame, triggered: DataFrame, chosen: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``median_lead``: weeks from the year's first crossing to its first trigger, where positive."""
+    by = by or ["unit"]
     onset = triggered.where("ta = 1").groupBy("unit", "yr").agg(F.min("wn").alias("onset"))
-    crossed = rows.join(chosen.select("unit", "feature", "threshold"), ["unit", "feature"]).where(F.col("x") >= F.col("threshold")).groupBy("unit", "yr").agg(F.min("wn").alias("crossing"))
-    leads = onset.join(crossed, ["unit", "yr"]).select("unit", (F.col("onset") - F.col("crossing")).alias("lead")).where("lead > 0")
-    return leads.groupBy("unit").agg(F.percentile("lead", 0.5).alias("median_lead"))
+    crossed = rows.join(chosen.select(*by, "feature", "threshold"), [*by, "feature"]).where(F.col("x") >= F.col("threshold")).groupBy(*by, "yr").agg(F.min("wn").alias("crossing"))
+    leads = crossed.join(onset, ["unit", "yr"]).select(*by, (F.col("onset") - F.col("crossing")).alias("lead")).where("lead > 0")
+    return leads.groupBy(*by).agg(F.percentile("lead", 0.5).alias("median_lead"))
 
 
-def leave_one_year_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def leave_one_year_out(rows: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(folds, out-of-fold rows): thresholds refitted without a year and judged on it.
 
-    ``folds``: unit, fold, feature, lead, threshold, threshold_pctl. ``out of fold``: unit, yr, wn, x, y, hit.
+    ``folds``: *by, fold, feature, lead, threshold, threshold_pctl. ``out of fold``: *by, yr, wn, x, y, hit.
+    ``by`` holds the unit, and what else keeps features apart of which each has its own best.
     """
+    by = by or ["unit"]
     years = rows.select("unit", F.col("yr").alias("fold")).distinct()
     train = rows.join(years, "unit").where(F.col("yr") != F.col("fold"))
-    keys = ["unit", "fold", "feature", "feature_ord", "lead"]
     # written, as the folds, their percentiles and the rows out of fold each read it
-    best = materialised(select_best(fit_thresholds(train, keys), ["unit", "fold"]), "fits")
-    values = rows.select("unit", "feature", "yr", "wn", "x").distinct()
-    below = values.join(best.select("unit", "fold", "feature", "threshold"), ["unit", "feature"]).where(F.col("yr") != F.col("fold")).groupBy("unit", "fold").agg((100 * F.avg((F.col("x") < F.col("threshold")).cast("double"))).alias("threshold_pctl"))
-    test = rows.withColumn("fold", F.col("yr")).join(best.select("unit", "fold", "feature", "lead", "threshold"), ["unit", "fold", "feature", "lead"])
-    oof = test.select("unit", "yr", "wn", "x", "y", (F.col("x") >= F.col("threshold")).cast("int").alias("hit"))
-    folds = best.join(below, ["unit", "fold"]).join(oof.select("unit", F.col("yr").alias("fold")).distinct(), ["unit", "fold"], "left_semi")
-    return folds.select("unit", "fold", "feature", "feature_ord", "lead", "threshold", "threshold_pctl"), oof
+    best = materialised(select_best(fit_thresholds(train, [*by, "fold", "feature", "feature_ord", "lead"]), [*by, "fold"]), "fits")
+    values = rows.select(*by, "feature", "yr", "wn", "x").distinct()
+    below = values.join(best.select(*by, "fold", "feature", "threshold"), [*by, "feature"]).where(F.col("yr") != F.col("fold")).groupBy(*by, "fold").agg((100 * F.avg((F.col("x") < F.col("threshold")).cast("double"))).alias("threshold_pctl"))
+    test = rows.withColumn("fold", F.col("yr")).join(best.select(*by, "fold", "feature", "lead", "threshold"), [*by, "fold", "feature", "lead"])
+    oof = test.select(*by, "yr", "wn", "x", "y", (F.col("x") >= F.col("threshold")).cast("int").alias("hit"))
+    folds = best.join(below, [*by, "fold"]).join(oof.select(*by, F.col("yr").alias("fold")).distinct(), [*by, "fold"], "left_semi")
+    return folds.select(*by, "fold", "feature", "feature_ord", "lead", "threshold", "threshold_pctl"), oof
 
 
-def fold_summary(folds: DataFrame, oof: DataFrame) -> DataFrame:
+def fold_summary(folds: DataFrame, oof: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A row for each unit: mean fold AUROC, pooled rates, modal feature, and how much the threshold varies."""
-    areas = auroc(oof.select("unit", "yr", "y", F.col("x").alias("p")), ["unit", "yr"], ranges=1).groupBy("unit").agg(F.avg("auroc").alias("auroc_loyo"))
+    by = by or ["unit"]
+    areas = auroc(oof.select(*by, "yr", "y", F.col("x").alias("p")), [*by, "yr"], ranges=1).groupBy(*by).agg(F.avg("auroc").alias("auroc_loyo"))
     count = lambda h, y: F.sum(((F.col("hit") == h) & (F.col("y") == y)).cast("int"))
-    rates = oof.groupBy("unit").agg(ratio(count(1, 1), count(1, 1) + count(0, 1)).alias("sens_loyo"), ratio(count(0, 0), count(0, 0) + count(1, 0)).alias("spec_loyo"))
+    rates = oof.groupBy(*by).agg(ratio(count(1, 1), count(1, 1) + count(0, 1)).alias("sens_loyo"), ratio(count(0, 0), count(0, 0) + count(1, 0)).alias("spec_loyo"))
     balanced = (F.coalesce("sens_loyo", "spec_loyo") + F.coalesce("spec_loyo", "sens_loyo")) / 2
-    votes = folds.groupBy("unit", "feature").agg(F.count(F.lit(1)).alias("n"), F.min("fold").alias("seen"))
-    modal = votes.withColumn("_nth", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("n"), "seen"))).where("_nth = 1").select("unit", F.col("feature").alias("modal_feature"))
-    spread = folds.groupBy("unit").agg(ratio(F.stddev_pop("threshold_pctl"), F.avg("threshold_pctl")).alias("threshold_pctl_cv"))
-    return rates.withColumn("balanced_acc_loyo", balanced).join(modal, "unit").join(spread, "unit").join(areas, "unit", "left").select("unit", "auroc_loyo", "balanced_acc_loyo", "sens_loyo", "spec_loyo", "modal_feature", "threshold_pctl_cv")
+    votes = folds.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n"), F.min("fold").alias("seen"))
+    modal = votes.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "seen"))).where("_nth = 1").select(*by, F.col("feature").alias("modal_feature"))
+    spread = folds.groupBy(*by).agg(ratio(F.stddev_pop("threshold_pctl"), F.avg("threshold_pctl")).alias("threshold_pctl_cv"))
+    return rates.withColumn("balanced_acc_loyo", balanced).join(modal, by).join(spread, by).join(areas, by, "left").select(*by, "auroc_loyo", "balanced_acc_loyo", "sens_loyo", "spec_loyo", "modal_feature", "threshold_pctl_cv")
+
+
+def by_kind(rows: DataFrame) -> DataFrame:
+    """Adds ``kind`` to long rows: accumulations of rain are 0, what tells of its dynamics 1."""
+    return rows.withColumn("kind", (~F.col("feature").contains("accum")).cast("int"))
 
 
 def prepared(labelled: DataFrame, mode: str = "constant") -> DataFrame:
@@ -152,26 +160,28 @@ def prepared(labelled: DataFrame, mode: str = "constant") -> DataFrame:
 
 
 def unit_rows(ready: DataFrame) -> DataFrame:
-    """The headline: each unit's best accumulation threshold, its checks, and the best dynamics beside it."""
-    out = None
-    for name, features in (("", tuple(f for f in FEATURES if "accum" in f)), ("dyn_", tuple(f for f in FEATURES if "accum" not in f))):
-        rows = long_form(ready, features)
-        keys = ["unit", "feature", "feature_ord", "lead"]
-        best = select_best(fit_thresholds(rows, keys), ["unit"])
-        own = rows.join(best.select("unit", "feature", "lead"), ["unit", "feature", "lead"])
-        area = auroc(own.select("unit", "y", F.col("x").alias("p")), ["unit"])
-        folds, oof = leave_one_year_out(rows)
-        values = rows.select("unit", "feature", "yr", "wn", "x").distinct()
-        below = values.join(best.select("unit", "feature", "threshold"), ["unit", "feature"]).groupBy("unit").agg((100 * F.avg((F.col("x") < F.col("threshold")).cast("double"))).alias("pctl"))
-        one = best.join(area, "unit").join(below, "unit").join(median_lead(values, ready, best), "unit", "left").join(fold_summary(folds, oof), "unit", "left")
-        one = one.select(
-            "unit", F.col("feature").alias(f"{name}feature"), F.col("lead").alias(f"{name}lead"), F.round("threshold", 1 if not name else 3).alias(f"{name}threshold"), F.round("pctl", 1).alias(f"{name}threshold_pctl"),
+    """The headline: each unit's best accumulation threshold, its checks, and the best dynamics beside it.
+
+    Both kinds of features are groups of the same jobs.
+    """
+    rows, by = materialised(by_kind(long_form(ready)), "long"), ["unit", "kind"]
+    best = materialised(select_best(fit_thresholds(rows, [*by, "feature", "feature_ord", "lead"]), by), "best")
+    own = rows.join(best.select(*by, "feature", "lead"), [*by, "feature", "lead"])
+    area = auroc(own.select(*by, "y", F.col("x").alias("p")), by)
+    values = rows.select(*by, "feature", "yr", "wn", "x").distinct()
+    below = values.join(best.select(*by, "feature", "threshold"), [*by, "feature"]).groupBy(*by).agg((100 * F.avg((F.col("x") < F.col("threshold")).cast("double"))).alias("pctl"))
+    whole = best.join(area, by).join(below, by).join(median_lead(values, ready, best, by), by, "left").join(fold_summary(*leave_one_year_out(rows, by), by), by, "left")
+    whole = materialised(whole, "kinds")
+
+    def part(kind: int, name: str, places: int) -> DataFrame:
+        return whole.where(F.col("kind") == kind).select(
+            "unit", F.col("feature").alias(f"{name}feature"), F.col("lead").alias(f"{name}lead"), F.round("threshold", places).alias(f"{name}threshold"), F.round("pctl", 1).alias(f"{name}threshold_pctl"),
             F.round("auroc", 3).alias(f"{name}auroc_insample"), F.round("youden_j", 3).alias(f"{name}youden_j"), F.round("sensitivity", 3).alias(f"{name}sensitivity"), F.round("specificity", 3).alias(f"{name}specificity"),
             F.round("auroc_loyo", 3).alias(f"{name}auroc_loyo"), F.round("balanced_acc_loyo", 3).alias(f"{name}balanced_acc_loyo"), F.round("sens_loyo", 3).alias(f"{name}sens_loyo"), F.round("spec_loyo", 3).alias(f"{name}spec_loyo"),
             F.round("median_lead", 1).alias(f"{name}median_lead_weeks"), F.col("modal_feature").alias(f"{name}modal_feature"), F.round("threshold_pctl_cv", 3).alias(f"{name}threshold_pctl_cv"), F.col("n").alias(f"{name}n"),
         )
-        out = one if out is None else out.join(one, "unit", "left")
-    return out
+
+    return part(0, "", 1).join(part(1, "dyn_", 3), "unit", "left")
 
 
 def with_median_row(rows: DataFrame, name: str = "(scale median)") -> DataFrame:

@@ -459,9 +459,19 @@ rf AS (SELECT *, {', '.join(f'rain_accum{w}w - lag(rain_accum{w}w, {w}) OVER ({s
 _READY = f"{_ROWS}, {_CONT}, {_TARGETS}, {_RAIN}"
 
 
-@query("r1_constant_latch")
+# The latch as a recursion over the weeks of a year, all years at once.
+_LATCH = f"""RECURSIVE {_ROWS}, means AS (SELECT unit, yr, wn, row_number() OVER ({sql.SEASON}) AS n, row_number() OVER ({sql.HISTORY}) > 31 AS ready, avg(c) {_H(3)} AS sta,
+  avg(c) {sql.over(sql.HISTORY, -31, -6)} AS lta FROM trows),
+latch AS (SELECT DISTINCT unit, yr, CAST(0 AS BIGINT) AS wn, CAST(0 AS BIGINT) AS n, false AS lit, CAST(NULL AS DOUBLE) AS base FROM means
+  UNION ALL SELECT unit, yr, wn, n, lit, CASE WHEN lit THEN level END AS base FROM (
+    SELECT unit, yr, wn, n, level, ready AND CASE WHEN was THEN NOT coalesce(sta < 0.73 * level AND level > 0, false) ELSE coalesce(sta >= 1.33 * level AND level > 0, false) END AS lit FROM (
+      SELECT m.unit, m.yr, m.wn, m.n, m.ready, m.sta, s.lit AS was, CASE WHEN s.lit AND s.base IS NOT NULL THEN s.base ELSE CASE WHEN m.ready THEN m.lta END END AS level
+      FROM latch s JOIN means m ON m.unit = s.unit AND m.yr = s.yr AND m.n = s.n + 1)))"""
+
+
+@query("r1_constant_latch", f"WITH {_LATCH} SELECT unit, yr, wn, CAST(lit AS INTEGER) AS ta FROM latch WHERE n > 0")
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state machine; tests hold it against a loop."""
+    """A state machine; tests hold it against a loop, too."""
     return trigger.constant_latch(labels.label(weekly(spark, sf_dir)).where("labelable = 1").select(*KEYS, "c", "r")).select(*KEYS, "ta")
 
 
@@ -536,11 +546,36 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trigger.fold_summary(*trigger.leave_one_year_out(materialised(threshold_rows(spark, sf_dir), "tall"))))
 
 
-@query("r11_unit_rows")
+# The rounded columns of a unit's row; a threshold has one place for accumulations, three for dynamics.
+_SHOWN = {"threshold": 3, "threshold_pctl": 1, "auroc_insample": 3, "youden_j": 3, "sensitivity": 3, "specificity": 3, "auroc_loyo": 3, "balanced_acc_loyo": 3, "sens_loyo": 3, "spec_loyo": 3, "median_lead_weeks": 1, "threshold_pctl_cv": 3}
+
+
+def _unit_sql(accum: bool, name: str, places: int) -> str:
+    """The headline columns of one kind of features."""
+    kind = lambda text: text.replace("x IS NOT NULL AND y IS NOT NULL)", f"x IS NOT NULL AND y IS NOT NULL AND contains(feature, 'accum') = {accum})")
+    shown = _SHOWN | {"threshold": places}
+    return f"""SELECT unit, {", ".join(f"{c} AS {name}{c}" for c in ("feature", "lead", "modal_feature", "n"))}, {", ".join(f"round({c} + 1e-10, {k}) AS {name}{c}" for c, k in shown.items())} FROM (
+  WITH {kind(_FIT)}, pick AS (SELECT unit, feature, lead, threshold, n, sens AS sensitivity, spec AS specificity, j AS youden_j FROM best QUALIFY row_number() OVER (PARTITION BY unit ORDER BY j DESC, feature_ord, lead) = 1),
+  own AS (SELECT unit, x AS p, y, 1 AS one FROM tall JOIN pick USING (unit, feature, lead)),
+  below AS (SELECT unit, 100 * avg(CASE WHEN x < threshold THEN 1.0 ELSE 0.0 END) AS threshold_pctl FROM pick JOIN (SELECT DISTINCT unit, feature, yr, wn, x FROM tall) USING (unit, feature) GROUP BY unit),
+  onset AS (SELECT unit, yr, min(wn) AS onset FROM rf WHERE ta = 1 GROUP BY ALL), crossed AS (SELECT unit, yr, min(wn) AS crossing FROM tall JOIN pick USING (unit, feature) WHERE x >= threshold GROUP BY ALL),
+  ahead AS (SELECT unit, median(onset - crossing) AS median_lead_weeks FROM onset JOIN crossed USING (unit, yr) WHERE onset > crossing GROUP BY unit)
+  SELECT pick.*, auroc AS auroc_insample, threshold_pctl, median_lead_weeks FROM pick JOIN ({sql.weighted_auroc('own', 'unit', 'one')}) USING (unit) JOIN below USING (unit) LEFT JOIN ahead USING (unit))
+LEFT JOIN (WITH {kind(_FOLDS)} SELECT unit, auroc_loyo, (coalesce(sens_loyo, spec_loyo) + coalesce(spec_loyo, sens_loyo)) / 2 AS balanced_acc_loyo, sens_loyo, spec_loyo, modal_feature, threshold_pctl_cv
+  FROM rates JOIN modal USING (unit) JOIN spread USING (unit) LEFT JOIN areas USING (unit)) USING (unit)"""
+
+
+@query("r11_unit_rows", f"SELECT * FROM ({_unit_sql(True, '', 1)}) LEFT JOIN ({_unit_sql(False, 'dyn_', 3)}) USING (unit)")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigger.unit_rows(materialised(rounded(ready(spark, sf_dir)), "ready"))
 
 
+_TEXTS = ("feature", "modal_feature", "dyn_feature", "dyn_modal_feature")
+_NUMBERS = [f"{name}{c}" for name in ("", "dyn_") for c in (*_SHOWN, "lead", "n")]
+SQL["r12_median_row"] = f"""WITH u AS ({SQL['r11_unit_rows']}) SELECT unit, {", ".join(_TEXTS)}, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _NUMBERS)} FROM u
+UNION ALL BY NAME SELECT '(scale median)' AS unit, {", ".join(f"(SELECT {c} FROM u WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, min(unit) LIMIT 1) AS {c}" for c in _TEXTS)}, {", ".join(f"round(median({c}) + 1e-10, 3) AS {c}" for c in _NUMBERS)} FROM u"""
+
+
 @query("r12_median_row")
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigger.with_median_row(materialised(r11(spark, sf_dir), "units"))
@@ -549,9 +584,9 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r13_dynamics_contrast")
 def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamics less accumulation, on the weeks both score; the sign is that of dynamics."""
-    rows = materialised(threshold_rows(spark, sf_dir), "tall")
-    part = lambda accum: trigger.leave_one_year_out(rows.where(F.col("feature").contains("accum") == accum))[1]
-    a, d = part(True).withColumnRenamed("x", "pa").drop("hit"), part(False).select(*KEYS, F.col("x").alias("pd"))
+    rows = materialised(trigger.by_kind(threshold_rows(spark, sf_dir)), "tall")
+    found = materialised(trigger.leave_one_year_out(rows, ["unit", "kind"])[1], "kinds")
+    a, d = found.where("kind = 0").select(*KEYS, "y", F.col("x").alias("pa")), found.where("kind = 1").select(*KEYS, F.col("x").alias("pd"))
     both = comparator.with_cluster(a.join(d, KEYS))
     reps = F.array(F.struct(F.lit("accumulation").alias("rep"), F.col("pa").alias("p")), F.struct(F.lit("dynamics").alias("rep"), F.col("pd").alias("p")))
     oof = materialised(both.select("cluster", "y", F.inline(reps)), "both")
@@ -642,6 +677,15 @@ def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.fold_years(labels.label(weekly(spark, sf_dir)))
 
 
+# The nearest rising levels as the greatest of the least means of neighbouring scores.
+SQL["v5_recalibrated"] = f"""WITH {sql.long_scores()}, places AS (SELECT rep, round(p, 6) AS s, sum(y) AS y, count(*) AS n FROM oof GROUP BY ALL), sums AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY s) AS i FROM places),
+upto AS (SELECT rep, s, i, y, n, sum(y) OVER w AS ty, sum(n) OVER w AS tn FROM sums WINDOW w AS (PARTITION BY rep ORDER BY i)),
+spans AS (SELECT a.rep, a.i AS lo, b.i AS hi, (b.ty - a.ty + a.y) * 1.0 / (b.tn - a.tn + a.n) AS mean FROM upto a JOIN upto b ON a.rep = b.rep AND a.i <= b.i),
+least_means AS (SELECT rep, lo, hi, min(mean) OVER (PARTITION BY rep, lo ORDER BY hi DESC) AS low FROM spans),
+levels AS (SELECT rep, hi AS i, max(low) AS level FROM least_means GROUP BY ALL)
+SELECT unit, yr, wn, cluster, oof.y, oof.rep, round(level, 6) + 0 AS p FROM oof JOIN sums k ON oof.rep = k.rep AND round(p, 6) = s JOIN levels ON levels.rep = k.rep AND levels.i = k.i"""
+
+
 @query("v5_recalibrated")
 def v5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.recalibrated(long_scores(spark, sf_dir), ["rep"]))
