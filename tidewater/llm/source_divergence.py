@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty
 
-#: Letters A-Z and a-z, and all beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms: all of ASCII but letters.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A language's totals are copied under so many keys, that its terms spread over as many tasks.
 SALTS = 32
@@ -32,8 +32,8 @@ SALTS = 32
 
 def counted(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs``."""
-    terms = docs.select("lang", "source", F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))).alias("terms"))
-    each = terms.select("lang", "source", "terms", F.posexplode("terms").alias("pos", "term"))
+    terms = docs.select("lang", "source", F.sort_array(F.split(F.translate("text", UPPER, LOWER), BETWEEN)).alias("terms"))
+    each = terms.select("lang", "source", "terms", F.posexplode("terms").alias("pos", "term")).where("term <> ''")
     first = ~F.col("term").eqNullSafe(F.get("terms", F.col("pos") - 1))
     return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(first, 1)).alias("docs"))
 
