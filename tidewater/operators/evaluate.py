@@ -1,24 +1,21 @@
-"""Forward-chaining evaluation: folds, training caps, preparation, a stand-in learner, summaries.
+"""Forward-chaining evaluation: folds, training caps, preparation, the offline learner, summaries.
 
-A fold trains on the years before its own. Values go through medians and normal quantiles of the
-train rows, the learner, and, if asked for, steps fitted to its scores of the train rows. All folds and representations are rows of one table, so
-that one Spark job fits them all, each group in a task of its own.
+A fold trains on the years before its own. A capped sample of each year and class, merged over years,
+is all that training reads; the rows to be scored are those of the fold's own year, once each.
 """
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from . import metrics
+from ..session import materialised
+from . import boosting, metrics
 
 LEAST_YEARS, MOST_TRAIN, MOST_QUANTILES = 2, 1000, 1000
-_NORMAL = NormalDist()
 
 
 def fold_years(df: DataFrame, by: list[str] | None = None, skip: int = LEAST_YEARS) -> DataFrame:
@@ -117,52 +114,55 @@ def rank_gaussian(folded: DataFrame, column: str, by: list[str], quantiles: int
     return joined.select(*folded.columns, probit(at).alias(f"{column}_g"))
 
 
-def fit_predict(folded: DataFrame, columns: list[str], by: list[str], ridge: float = 1.0, calibrate: bool = True) -> DataFrame:
-    """Out-of-fold scores ``p`` by the stand-in learner: a ridge logistic regression with balanced classes.
-
-    Medians fill gaps and values become normal quantiles of the train rows, which the training cap
-    bounds. With ``calibrate`` scores go through steps that are fitted to the train rows' own scores.
-    A fold that can't be fitted has no scores; the others do. Each fold is a group of its own.
-    """
-    table = folded.select(*dict.fromkeys([*by, "fold", "unit", "yr", "wn"]), "y", "is_test", _vector(columns).alias("x"))
-    return _fitted(table, [*by, "fold"], ridge, calibrate)
-
-
-def fit_predict_sets(folded: DataFrame, sets: dict[str, list[str]], by: list[str], ridge: float = 1.0, calibrate: bool = True) -> DataFrame:
-    """``fit_predict`` of each set of columns, named in ``rep``: all sets and folds are groups of one job."""
-    cells = F.array(*(F.struct(F.lit(name).alias("rep"), _vector(columns).alias("x")) for name, columns in sets.items()))
-    table = folded.select(*dict.fromkeys([*by, "fold", "unit", "yr", "wn"]), "y", "is_test", F.inline(cells))
-    return _fitted(table, [*by, "rep", "fold"], ridge, calibrate)
-
-
-def _vector(columns: list[str]) -> Column:
-    return F.array(*(F.col(c).cast("double") for c in columns))
+def quotas(df: DataFrame, by: list[str], most: int = MOST_TRAIN) -> DataFrame:
+    """``*by, fold, positives, negatives``: how many train rows of each class a fold keeps; folds that lack a class are left out."""
+    per_year = df.where("labelable = 1").groupBy(*by, "yr").agg(F.sum("y").alias("_pos"), F.sum(1 - F.col("y")).alias("_neg"))
+    years = fold_years(df, by)
+    match = [F.col(f"_b_{b}").eqNullSafe(F.col(b)) for b in by]
+    earlier = years.withColumnsRenamed({b: f"_b_{b}" for b in by}).join(per_year, [*match, F.col("yr") < F.col("fold")]) if by else F.broadcast(years).join(per_year, F.col("yr") < F.col("fold"))
+    sums = earlier.groupBy(*by, "fold").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")).where("_pos > 0 AND _neg > 0")
+    first = F.least("_pos", F.lit(most // 2))
+    negatives = F.least(F.col("_neg"), most - first)
+    return sums.select(*by, "fold", F.least(F.col("_pos"), most - negatives).alias("positives"), negatives.alias("negatives"))
 
 
-def normal_scores(train: np.ndarray, values: np.ndarray, quantiles: int = MOST_QUANTILES) -> np.ndarray:
-    """Each column's values as normal quantiles of its train values, cut at up to ``quantiles`` quantiles.
+def train_samples(df: DataFrame, by: list[str], seeds: tuple[int, ...] = (0,), most: int = MOST_TRAIN) -> DataFrame:
+    """The capped train rows of each seed and fold, those that ``cap_training`` keeps.
 
-    Ties of train values share the middle of their places; the least, the greatest and all beyond are at the ends.
+    The ``most`` rows of the least hash in each year and class are a sample that merges over years: a
+    fold takes the least of its earlier years' samples. So the panel is read once and only samples,
+    of a bounded size a year, are copied to the later folds.
     """
-    places = np.linspace(0, 1, min(quantiles, len(train)))
-    out = np.empty_like(values)
-    for k in range(values.shape[1]):
-        marks = np.quantile(train[:, k], places)
-        up = np.interp(values[:, k], marks, places)
-        down = 1 - np.interp(-values[:, k], -marks[::-1], places)
-        out[:, k] = np.where(values[:, k] >= marks[-1], 1, np.where(values[:, k] <= marks[0], 0, (up + down) / 2))
-    return np.vectorize(_NORMAL.inv_cdf, otypes=[float])(out.clip(1e-7, 1 - 1e-7))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Coefficients, the constant first, of a ridge logistic regression with balanced classes, by Newton's method."""
-    w = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    beta, penalty = np.zeros(x.shape[1]), np.r_[0, np.full(x.shape[1] - 1, ridge)]
-    for _ in range(12):
-        p = 1 / (1 + np.exp(-x @ beta))
-        hessian = (x.T * (w * p * (1 - p))) @ x + np.diag(penalty + 1e-9)
-        beta = beta + np.linalg.solve(hessian, x.T @ (w * (y - p)) - penalty * beta)
-    return beta
+    columns = df.columns
+    seeded = df.where("labelable = 1").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    order = [F.xxhash64("seed", "unit", "yr", "wn"), F.col("unit"), F.col("yr"), F.col("wn")]
+    sample = seeded.withColumn("_nth", F.row_number().over(Window.partitionBy("seed", *by, "yr", "y").orderBy(*order))).where(F.col("_nth") <= most).drop("_nth")
+    wanted = quotas(df, by, most)
+    later = sample.join(wanted, by).where("yr < fold") if by else sample.join(F.broadcast(wanted), F.col("yr") < F.col("fold"))
+    nth = F.row_number().over(Window.partitionBy("seed", *by, "fold", "y").orderBy(*order))
+    return later.withColumn("_nth", nth).where(F.col("_nth") <= F.when(F.col("y") == 1, F.col("positives")).otherwise(F.col("negatives"))).select("seed", "fold", *columns)
+
+
+def fit_predict_sets(df: DataFrame, sets: dict[str, list[str]], by: list[str], seeds: tuple[int, ...] = (0,), calibrate: bool = True, settings: boosting.Settings = boosting.Settings(), most: int = MOST_TRAIN) -> DataFrame:
+    """``rep, seed, *by, unit, yr, wn, fold, y, p``: out-of-fold scores of each set of columns, each seed and, with ``by``, each unit.
+
+    Values are filled with the train median and go to boosted trees, which any rising transform of
+    them leaves as they are, normal quantiles too. With ``calibrate`` scores go through rising steps
+    fitted to the train rows' own scores. All sets, folds and seeds are groups of one job; sets of the
+    same columns are fitted once. A fold whose train rows lack a class has no scores.
+    """
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for name, columns in sets.items():
+        alike.setdefault(tuple(dict.fromkeys(columns)), []).append(name)
+    cells = F.array(*(F.struct(F.lit(i).alias("_set"), boosting.vector(list(columns)).alias("x")) for i, columns in enumerate(alike)))
+    ids, keys = list(dict.fromkeys([*by, "unit", "yr", "wn"])), ["_set", "seed", *by, "fold"]
+    train = train_samples(df, by, seeds, most).select("seed", "fold", *ids, "y", F.inline(cells))
+    models = materialised(boosting.fit_groups(train, keys, ["unit", "yr", "wn"], settings, steps), "models")
+    rows = df.where("labelable = 1").select(F.explode(F.array(*map(F.lit, seeds))).alias("seed"), F.col("yr").alias("fold"), *ids, "y", *dict.fromkeys(c for columns in alike for c in columns))
+    rows = rows.select("seed", "fold", *ids, "y", F.inline(cells))
+    named = F.array(*(F.array(*map(F.lit, names)) for names in alike.values()))
+    scored = boosting.score_rows(rows, models, keys, calibrate)
+    return scored.select(F.explode(F.get(named, F.col("_set"))).alias("rep"), "seed", *ids, "fold", F.col("y").cast("int").alias("y"), "p")
 
 
 def steps(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,30 +182,6 @@ def pooled(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat([t / n for t, n, _ in blocks], [k for _, _, k in blocks])
 
 
-def _fitted(table: DataFrame, keys: list[str], ridge: float, calibrate: bool) -> DataFrame:
-    names = list(dict.fromkeys([*keys, "unit", "yr", "wn"]))
-    schema = ", ".join(f"`{c}` {t}" for c, t in table.select(*names).dtypes) + ", y int, p double"
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(dict.fromkeys(["is_test", "unit", "yr", "wn"])))
-        x = np.array([[np.nan if v is None else v for v in r] for r in frame["x"]], float)
-        test, y = frame["is_test"].to_numpy() == 1, frame["y"].to_numpy(float)
-        train = ~test
-        known = ~np.isnan(x[train]).all(0)
-        x = np.where(np.isnan(x[:, known]), np.nanmedian(x[train][:, known], 0), x[:, known])
-        x = np.c_[np.ones(len(x)), normal_scores(x[train], x)]
-        out = frame.loc[test, names].assign(y=frame.loc[test, "y"].astype("int32"), p=np.nan)
-        try:
-            beta = logistic(x[train], y[train], ridge)
-        except np.linalg.LinAlgError:  # this fold has no scores
-            return out.iloc[:0]
-        p = 1 / (1 + np.exp(-x @ beta))
-        out["p"] = np.interp(p[test], *steps(p[train], y[train])) if calibrate else p[test]
-        return out
-
-    return table.groupBy(*keys).applyInPandas(one, schema)
-
-
 def recalibrated(scores: DataFrame, by: list[str]) -> DataFrame:
     """Scores through a monotone step function fitted to (y, p): pools of adjacent violators.
 

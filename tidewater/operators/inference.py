@@ -1,45 +1,18 @@
-"""Cluster bootstraps, calibration blocks and adjusted comparisons.
+"""Intervals, calibration blocks and adjusted comparisons over bootstrap replicates.
 
-A replicate is a multiplicity for each cluster, used as a weight: rows are not copied. All
-representations share one table of multiplicities, which keeps comparisons paired.
+``resampling`` makes the replicates. A table of multiplicities of one's own serves as well: a weight
+for each cluster, shared by all representations, which keeps comparisons paired.
 """
 
 from __future__ import annotations
 
-
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
-
-REPLICATES, LOW, HIGH = 2000, 0.025, 0.975
+from ..session import materialised
+from . import metrics, resampling
 
-
-def draws(clusters: DataFrame, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    """``b, cluster, mult``: whole clusters drawn with replacement, as numpy's generator gives them.
-
-    The draws follow one stream, so they are made on the driver: clusters times replicates numbers
-    at most, for clusters that are unit-years. ``hashed_draws`` has no such bound.
-    """
-    names = np.array(sorted(r[0] for r in clusters.select("cluster").distinct().collect()), dtype=object)
-    rng = np.random.default_rng(seed)
-    frames = []
-    for b in range(replicates):
-        picked, n = np.unique(rng.integers(0, len(names), size=len(names)), return_counts=True)
-        frames.append(pd.DataFrame({"b": b, "cluster": names[picked], "mult": n}))
-    return clusters.sparkSession.createDataFrame(pd.concat(frames), "b int, cluster string, mult long")
-
-
-def hashed_draws(clusters: DataFrame, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    """``b, cluster, mult`` made where the clusters are: Poisson(1) multiplicities from a hash."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", "cluster"), F.lit(1 << 40)) / float(1 << 40)
-    cuts = np.exp(-1) * np.cumsum(1 / np.cumprod([1, *range(1, 10)]))
-    mult = sum((u >= float(c)).cast("long") for c in cuts)
-    grid = clusters.select("cluster").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return grid.select("b", "cluster", mult.alias("mult")).where("mult > 0")
+REPLICATES, LOW, HIGH = resampling.REPLICATES, 0.025, 0.975
 
 
 def replicate_metrics(oof: DataFrame, mult: DataFrame, by: list[str], names: tuple[str, ...] = ("auroc", "auprc", "brier")) -> DataFrame:
@@ -63,67 +36,74 @@ def bootstrap_ci(replicates: DataFrame, by: list[str], name: str) -> DataFrame:
     return replicates.where(F.col(name).isNotNull()).groupBy(*by).agg(*interval(name))
 
 
-def paired_contrasts(points: DataFrame, replicates: DataFrame, rep: str, name: str) -> DataFrame:
-    """``a, b_rep, delta, ci_lo, ci_hi, p_value`` of each pair of representations (a before b)."""
-    pair = lambda df, keys: df.select(*keys, F.col(rep).alias("a"), F.col(name).alias("va")).join(df.select(*keys, F.col(rep).alias("b_rep"), F.col(name).alias("vb")), keys) if keys else df.select(F.col(rep).alias("a"), F.col(name).alias("va"), F.lit(1).alias("_k")).join(df.select(F.col(rep).alias("b_rep"), F.col(name).alias("vb"), F.lit(1).alias("_k")), "_k")
-    point = pair(points, []).where("a < b_rep").select("a", "b_rep", (F.col("va") - F.col("vb")).alias("delta"))
-    deltas = pair(replicates, ["b"]).where("a < b_rep").withColumn("d", F.col("va") - F.col("vb")).where("d IS NOT NULL")
+def paired_contrasts(points: DataFrame, replicates: DataFrame, rep: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """``*by, a, b_rep, delta, ci_lo, ci_hi, p_value`` of each pair of representations (a before b)."""
+    by = by or []
+
+    def pairs(df: DataFrame, keys: list[str]) -> DataFrame:
+        one = df.select(*keys, F.col(rep).alias("a"), F.col(name).alias("va"), F.lit(1).alias("_k"))
+        other = df.select(*keys, F.col(rep).alias("b_rep"), F.col(name).alias("vb"), F.lit(1).alias("_k"))
+        return one.join(other, [*keys, "_k"]).where("a < b_rep").select(*keys, "a", "b_rep", (F.col("va") - F.col("vb")).alias("d"))
+
+    point = pairs(points, by).withColumnRenamed("d", "delta")
     share = lambda c: F.avg(c.cast("double"))
     p = F.least(F.lit(1.0), 2 * F.least(share(F.col("d") > 0), share(F.col("d") < 0)) + 1 / (F.count(F.lit(1)) + 1))
-    return point.join(deltas.groupBy("a", "b_rep").agg(*interval("d"), p.alias("p_value")), ["a", "b_rep"], "left")
+    spread = pairs(replicates, [*by, "b"]).where("d IS NOT NULL").groupBy(*by, "a", "b_rep").agg(*interval("d"), p.alias("p_value"))
+    return point.join(spread, [*by, "a", "b_rep"], "left")
+
 
+def contrasts(oof: DataFrame, rep: str = "rep", names: tuple[str, ...] = resampling.METRICS, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """``metric, a, b_rep, delta, ci_lo, ci_hi, p_value``: all pairs of representations by each metric, over draws that all share."""
+    drawn = resampling.replicate_metrics(resampling.chunks(oof, [rep]), [rep], replicates, seed)
+    tall = lambda df, keys: df.select(*keys, rep, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names))))
+    points = oof.select(rep).distinct()
+    for m in names:
+        points = points.join(getattr(metrics, m)(oof, [rep]), rep)
+    return paired_contrasts(tall(points, []), tall(drawn, ["b"]), rep, "value", ["metric"])
 
-def beats_chance(oof: DataFrame, mult: DataFrame, by: list[str]) -> DataFrame:
-    """AUROC of each group, its interval over clusters, and whether that lies above one half."""
-    ci = bootstrap_ci(replicate_metrics(oof, mult, by, ("auroc",)), by, "auroc")
-    out = metrics.auroc(oof, by).join(ci, by, "left")
+
+def beats_chance(oof: DataFrame, by: list[str], mult: DataFrame | None = None, within: list[str] | None = None, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """AUROC of each group, its interval over clusters, and whether that lies above one half.
+
+    Replicates are those of ``mult``, or drawn: over all clusters, or those of each group of ``within``.
+    """
+    drawn = replicate_metrics(oof, mult, by, ("auroc",)) if mult is not None else resampling.replicate_metrics(resampling.chunks(oof, by, within), by, replicates, seed)
+    out = metrics.auroc(oof, by).join(bootstrap_ci(drawn, by, "auroc"), by, "left")
     return out.withColumn("beats_chance", F.coalesce(F.col("ci_lo") > 0.5, F.lit(False)))
 
 
-def cox(df: DataFrame, by: list[str], weight: str | None = None, steps: int = 30) -> DataFrame:
-    """``cox_intercept, cox_slope``: the unpenalised logistic regression of y on logit p.
+def cox(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """``*by, cox_intercept, cox_slope``: the unpenalised logistic regression of y on logit p, null for a single class.
 
-    Newton's steps on five weighted sums; a group's sums of distinct (p, y) are all that is gathered.
+    A Newton step of all groups is one aggregation over the distinct scores.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    sums = df.groupBy(*by, "p", "y").agg(F.sum(w).alias("w")).select(*by, metrics.logit(F.col("p")).alias("x"), F.col("y").cast("double").alias("y"), "w")
-    schema = ", ".join(f"`{c}` {t}" for c, t in sums.select(*by).dtypes) + ", cox_intercept double, cox_slope double"
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y, weight = (frame[c].to_numpy(float) for c in ("x", "y", "w"))
-        beta = np.zeros(2)
-        design = np.stack([np.ones_like(x), x])
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(beta @ design, -30, 30)))
-            hessian = (design * (weight * p * (1 - p))) @ design.T
-            if abs(np.linalg.det(hessian)) < 1e-12:
-                beta = np.full(2, np.nan)
-                break
-            step = np.linalg.solve(hessian, design @ (weight * (y - p)))
-            beta = beta + step
-            if np.abs(step).max() < 1e-10:
-                break
-        known = [None if np.isnan(v) or y.min() == y.max() else float(v) for v in beta]
-        return pd.DataFrame([[*frame[by].iloc[0], *known]], columns=[*by, "cox_intercept", "cox_slope"])
-
-    return sums.groupBy(*by).applyInPandas(solve, schema)
-
-
-def calibration(oof: DataFrame, mult: DataFrame, by: list[str]) -> DataFrame:
+    rows = materialised(df.groupBy(*by, "p", "y").agg(F.sum(w).alias("w")).select(*by, metrics.logit(F.col("p")).alias("x"), F.col("y").cast("double").alias("y"), "w"), "logits")
+    both = rows.groupBy(*by).agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select(*by)
+
+    def sums_of(moving: DataFrame) -> DataFrame:
+        joined = rows.join(moving, by) if by else rows.crossJoin(F.broadcast(moving))
+        fit = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("a") + F.col("s") * F.col("x")))))
+        curve, slack = F.col("w") * fit * (1 - fit), F.col("w") * (F.col("y") - fit)
+        x = F.col("x")
+        return joined.select(*by, curve.alias("h"), (curve * x).alias("hx"), (curve * x * x).alias("hxx"), slack.alias("g"), (slack * x).alias("gx"))
+
+    found = resampling.newton(both, by, sums_of).withColumnsRenamed({"a": "cox_intercept", "s": "cox_slope"})
+    return rows.select(*by).distinct().join(found, by, "left")
+
+
+def calibration(oof: DataFrame, by: list[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """Cox slope and intercept, Brier score and ECE with intervals, and Spiegelhalter's test."""
-    rows = oof.join(mult, "cluster").where("mult > 0")
-    both = rows.groupBy("b", *by).agg(F.count_distinct("y").alias("_n")).where("_n = 2").drop("_n")
-    rows = rows.join(both, ["b", *by], "left_semi")
     point = cox(oof, by).join(metrics.brier(oof, by), by).join(metrics.ece(oof, by), by).join(metrics.spiegelhalter(oof, by), by)
-    for name, one in (("cox_intercept", c := cox(rows, ["b", *by], "mult")), ("cox_slope", c), ("brier", metrics.brier(rows, ["b", *by], "mult")), ("ece", metrics.ece(rows, ["b", *by], "mult"))):
-        ci = bootstrap_ci(one, by, name).withColumnsRenamed({"ci_lo": f"{name}_lo", "ci_hi": f"{name}_hi"})
-        point = point.join(ci, by, "left")
-    return point
+    drawn = resampling.replicate_calibration(resampling.chunks(oof, by), by, replicates, seed)
+    names = ("cox_intercept", "cox_slope", "brier", "ece")
+    ends = drawn.groupBy(*by).agg(*(F.percentile(n, q).alias(f"{n}_{side}") for n in names for side, q in (("lo", LOW), ("hi", HIGH))))
+    return point.join(ends, by, "left")
 
 
-def confirmatory(contrasts: DataFrame, a: str, b: str) -> DataFrame:
+def confirmatory(contrasts: DataFrame, a: str, b: str, planned_if: Column | None = None) -> DataFrame:
     """Adds ``family`` and ``p_adjusted``: the one planned contrast as it is, the others adjusted."""
-    planned = (F.col("a") == min(a, b)) & (F.col("b_rep") == max(a, b))
+    planned = (F.col("a") == min(a, b)) & (F.col("b_rep") == max(a, b)) & (planned_if if planned_if is not None else F.lit(True))
     marked = contrasts.withColumn("family", F.when(planned, "confirmatory").otherwise("exploratory"))
     return metrics.benjamini_hochberg(marked.withColumn("_tie", F.concat_ws("|", "a", "b_rep")), ["family"], tie="_tie").drop("_tie")
 
@@ -133,3 +113,16 @@ def stability(lifts: DataFrame, by: list[str], value: str) -> DataFrame:
     return lifts.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n_seeds"))
 
 
+def lifts(oof: DataFrame, base: str, rep: str) -> DataFrame:
+    """``seed, measure, value``: AUROC of ``base`` and ``rep``, and what the one is above the other, for each seed."""
+    areas = metrics.auroc(oof, ["seed", "rep"])
+    wide = areas.groupBy("seed").agg(*(F.max(F.when(F.col("rep") == r, F.col("auroc"))).alias(n) for r, n in ((base, "lo"), (rep, "hi"))))
+    return wide.select("seed", F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), v.alias("value")) for m, v in ((base, F.col("lo")), (rep, F.col("hi")), ("lift", F.col("hi") - F.col("lo")))))))
+
+
+def unit_intervals(oof: DataFrame, by: list[str], least_rows: int = 5, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """``*by, ci_lo, ci_hi, beats_chance, n_clusters`` of units of at least ``least_rows`` rows and both classes, over draws of the unit's own clusters."""
+    sizes = oof.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("y").alias("_lo"), F.max("y").alias("_hi"), F.count_distinct("cluster").alias("n_clusters"))
+    fit = sizes.where((F.col("_n") >= least_rows) & (F.col("_lo") < F.col("_hi")))
+    judged = beats_chance(oof.join(fit.select(*by), by, "left_semi"), by, within=by, replicates=replicates, seed=seed).drop("auroc")
+    return sizes.select(*by).join(judged.join(fit.select(*by, "n_clusters"), by), by, "left").withColumn("beats_chance", F.coalesce("beats_chance", F.lit(False)))

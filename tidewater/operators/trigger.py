@@ -1,11 +1,14 @@
 """Onset triggers on the count series, and rain thresholds that announce them.
 
-Works on labelable rows, unit by unit. Thresholds are fitted for all units, folds, features and
-leads in one pass: a running sum over scores and candidate thresholds, no loop over candidates.
+Works on labelable rows, unit by unit. Thresholds are fitted for all units, features and leads in one
+pass: a running sum over scores and candidate thresholds, no loop over candidates. A fold that leaves
+a year out is the whole less that year: its counts are differences, no row is copied for it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,22 +119,84 @@ def median_lead(rows: DataFrame, triggered: DataFrame, chosen: DataFrame, by: li
     return leads.groupBy(*by).agg(F.percentile("lead", 0.5).alias("median_lead"))
 
 
-def leave_one_year_out(rows: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(folds, out-of-fold rows): thresholds refitted without a year and judged on it.
+def by_feature(df: DataFrame, features: tuple[str, ...] = FEATURES, leads: tuple[int, ...] = LEADS) -> DataFrame:
+    """A row for each row and feature: unit, yr, wn, feature, feature_ord, kind, x and all targets. Unknown x or targets go.
 
-    ``folds``: *by, fold, feature, lead, threshold, threshold_pctl. ``out of fold``: *by, yr, wn, x, y, hit.
-    ``by`` holds the unit, and what else keeps features apart of which each has its own best.
+    ``kind`` is 0 for accumulations of rain and 1 for what tells of its dynamics.
+    """
+    xs = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(i).alias("feature_ord"), F.lit(int("accum" not in f)).alias("kind"), F.col(f).alias("x")) for i, f in enumerate(features)))
+    return df.where(f"y{leads[0]} IS NOT NULL").select("unit", "yr", "wn", *(f"y{k}" for k in leads), F.inline(xs)).where("x IS NOT NULL")
+
+
+def _at(values: np.ndarray, upto: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The value at each 0-based place of a sorted list in which ``upto`` values are this or less."""
+    return values[np.searchsorted(upto, place, side="right")]
+
+
+def thresholds_less_years(x: np.ndarray, y: np.ndarray, year: np.ndarray) -> list[tuple]:
+    """(year left out or none, n, threshold, sensitivity, specificity, J, percentile of the threshold) for each fold that has a fit.
+
+    Counts by value and year are made once; those of a fold are all less its year's.
+    """
+    values, at = np.unique(x, return_inverse=True)
+    years, which = np.unique(year, return_inverse=True)
+    own = np.zeros((2, len(values), len(years) + 1))  # the last one leaves no year out
+    np.add.at(own, (y, at, which), 1)
+    neg, pos = own.sum(axis=2, keepdims=True) - own
+    shares = np.array([0.02 + i * (0.96 / (QUANTILES - 1)) for i in range(QUANTILES)])
+    out = []
+    for f, (p, m) in enumerate(zip(pos.T, neg.T, strict=True)):
+        held, n, n_pos = p + m, int((p + m).sum()), p.sum()
+        if n < LEAST_ROWS or not 0 < n_pos < n:
+            continue
+        marks, upto = values[held > 0], np.cumsum(held)
+        if len(marks) > MOST_VALUES:
+            place = (n - 1) * shares
+            low, high = _at(values, upto, np.floor(place)), _at(values, upto, np.ceil(place))
+            marks = np.unique(low + (high - low) * (place - np.floor(place)))
+        first = np.searchsorted(values, marks, side="left")
+        from_here = lambda c: np.r_[np.cumsum(c[::-1])[::-1], 0.0][first]  # noqa: E731, B023
+        sens, spec = from_here(p) / n_pos, 1 - from_here(m) / (n - n_pos)
+        j = np.round(sens + spec - 1, 12)
+        k = int(np.argmax(j))
+        out.append((None if f == len(years) else int(years[f]), n, float(marks[k]), float(sens[k]), float(spec[k]), float(j[k]), 100 * float(held[: first[k]].sum() / n)))
+    return out
+
+
+def fold_fits(rows: DataFrame, by: list[str], leads: tuple[int, ...] = LEADS) -> DataFrame:
+    """The best threshold of each feature and lead on all years (``fold`` null) and on all but one.
+
+    A group is a unit's weeks of one feature. Returns *by, feature, feature_ord, lead, fold, n, threshold,
+    sensitivity, specificity, youden_j, threshold_pctl.
+    """
+    keys = [*by, "feature", "feature_ord"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes) + ", lead int, fold long, n long, threshold double, sensitivity double, specificity double, youden_j double, threshold_pctl double"
+
+    def fitted(frame: pd.DataFrame) -> pd.DataFrame:
+        x, year = frame["x"].to_numpy(float), frame["yr"].to_numpy()
+        found = [[*(frame[k].iloc[0] for k in keys), lead, *fit] for lead in leads for fit in thresholds_less_years(x, frame[f"y{lead}"].to_numpy(int), year)]
+        out = pd.DataFrame(found, columns=[*keys, "lead", "fold", "n", "threshold", "sensitivity", "specificity", "youden_j", "threshold_pctl"])
+        return out.astype({"fold": "Int64"})
+
+    return rows.groupBy(*keys).applyInPandas(fitted, schema)
+
+
+def target_of(lead: str, leads: tuple[int, ...] = LEADS) -> Column:
+    return F.coalesce(*(F.when(F.col(lead) == k, F.col(f"y{k}")) for k in leads))
+
+
+def leave_one_year_out(rows: DataFrame, fits: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(folds, out-of-fold rows): thresholds fitted without a year and judged on it.
+
+    ``rows`` are those of ``by_feature``, ``fits`` their ``fold_fits``. ``folds``: *by, fold, feature,
+    feature_ord, lead, threshold, threshold_pctl. ``out of fold``: *by, yr, wn, x, y, hit. ``by`` holds the
+    unit, and what else keeps features apart of which each has its own best.
     """
     by = by or ["unit"]
-    years = rows.select("unit", F.col("yr").alias("fold")).distinct()
-    train = rows.join(years, "unit").where(F.col("yr") != F.col("fold"))
-    # written, as the folds, their percentiles and the rows out of fold each read it
-    best = materialised(select_best(fit_thresholds(train, [*by, "fold", "feature", "feature_ord", "lead"]), [*by, "fold"]), "fits")
-    values = rows.select(*by, "feature", "yr", "wn", "x").distinct()
-    below = values.join(best.select(*by, "fold", "feature", "threshold"), [*by, "feature"]).where(F.col("yr") != F.col("fold")).groupBy(*by, "fold").agg((100 * F.avg((F.col("x") < F.col("threshold")).cast("double"))).alias("threshold_pctl"))
-    test = rows.withColumn("fold", F.col("yr")).join(best.select(*by, "fold", "feature", "lead", "threshold"), [*by, "fold", "feature", "lead"])
-    oof = test.select(*by, "yr", "wn", "x", "y", (F.col("x") >= F.col("threshold")).cast("int").alias("hit"))
-    folds = best.join(below, [*by, "fold"]).join(oof.select(*by, F.col("yr").alias("fold")).distinct(), [*by, "fold"], "left_semi")
+    best = select_best(fits.where("fold IS NOT NULL"), [*by, "fold"])
+    chosen = best.select(*by, F.col("fold").alias("yr"), "feature", "lead", "threshold")
+    oof = rows.join(chosen, [*by, "yr", "feature"]).select(*by, "yr", "wn", "x", target_of("lead").alias("y"), (F.col("x") >= F.col("threshold")).cast("int").alias("hit"))
+    folds = best.join(oof.select(*by, F.col("yr").alias("fold")).distinct(), [*by, "fold"], "left_semi")
     return folds.select(*by, "fold", "feature", "feature_ord", "lead", "threshold", "threshold_pctl"), oof
 
 
@@ -148,11 +213,6 @@ def fold_summary(folds: DataFrame, oof: DataFrame, by: list[str] | None = None)
     return rates.withColumn("balanced_acc_loyo", balanced).join(modal, by).join(spread, by).join(areas, by, "left").select(*by, "auroc_loyo", "balanced_acc_loyo", "sens_loyo", "spec_loyo", "modal_feature", "threshold_pctl_cv")
 
 
-def by_kind(rows: DataFrame) -> DataFrame:
-    """Adds ``kind`` to long rows: accumulations of rain are 0, what tells of its dynamics 1."""
-    return rows.withColumn("kind", (~F.col("feature").contains("accum")).cast("int"))
-
-
 def prepared(labelled: DataFrame, mode: str = "constant") -> DataFrame:
     """Labelable rows with trigger, rain features and targets."""
     rows = labelled.where("labelable = 1").select("unit", "yr", "wn", "c", "r")
@@ -164,13 +224,12 @@ def unit_rows(ready: DataFrame) -> DataFrame:
 
     Both kinds of features are groups of the same jobs.
     """
-    rows, by = materialised(by_kind(long_form(ready)), "long"), ["unit", "kind"]
-    best = materialised(select_best(fit_thresholds(rows, [*by, "feature", "feature_ord", "lead"]), by), "best")
-    own = rows.join(best.select(*by, "feature", "lead"), [*by, "feature", "lead"])
-    area = auroc(own.select(*by, "y", F.col("x").alias("p")), by)
-    values = rows.select(*by, "feature", "yr", "wn", "x").distinct()
-    below = values.join(best.select(*by, "feature", "threshold"), [*by, "feature"]).groupBy(*by).agg((100 * F.avg((F.col("x") < F.col("threshold")).cast("double"))).alias("pctl"))
-    whole = best.join(area, by).join(below, by).join(median_lead(values, ready, best, by), by, "left").join(fold_summary(*leave_one_year_out(rows, by), by), by, "left")
+    rows, by = materialised(by_feature(ready), "long"), ["unit", "kind"]
+    fits = materialised(fold_fits(rows, by), "fits")
+    best = materialised(select_best(fits.where("fold IS NULL"), by).withColumnRenamed("threshold_pctl", "pctl"), "best")
+    own = rows.join(best.select(*by, "feature", "lead"), [*by, "feature"]).select(*by, target_of("lead").alias("y"), F.col("x").alias("p"))
+    area = auroc(own, by, ranges=1)  # a unit's weeks
+    whole = best.join(area, by).join(median_lead(rows, ready, best, by), by, "left").join(fold_summary(*leave_one_year_out(rows, fits, by), by), by, "left")
     whole = materialised(whole, "kinds")
 
     def part(kind: int, name: str, places: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..functions.windows import season
-from ..operators import catalogue, comparator, evaluate, features, inference, labels, metrics, reporting, signatures, trigger
+from ..operators import catalogue, comparator, evaluate, features, inference, labels, metrics, reporting, resampling, signatures, trigger
 from ..session import configure, materialised
 from ..sources import panel as source
 from . import oracle as sql
@@ -310,6 +310,8 @@ def shared_draws(oof: DataFrame, replicates: int) -> DataFrame:
     return b.select("b", "cluster", ((F.col("b") * 31 + F.col("k") * 17 + F.col("b") * F.col("k")) % 3).alias("mult"))
 
 
+#: Seeds of the stability query.
+SEEDS = 5
 #: Replicates of the queries that SQL is held against: they check the arithmetic. The b8 to b11 draw as many as the protocol says.
 REPS = 40
 
@@ -338,8 +340,7 @@ def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b3_calibration")
 def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newton's method has no SQL, so the draws are those of production."""
-    oof = materialised(long_scores(spark, sf_dir), "scores")
-    return rounded(inference.calibration(oof, inference.draws(oof), ["rep"]))
+    return rounded(inference.calibration(materialised(long_scores(spark, sf_dir), "scores"), ["rep"]))
 
 
 SQL["b4_beats_chance"] = f"""WITH {_DRAWN}, reps AS ({sql.weighted_auroc('drawn', 'b, rep, unit')}), point AS ({sql.weighted_auroc(_ONES, 'rep, unit', 'one')}),
@@ -350,7 +351,7 @@ SELECT rep, unit, round(auroc, 6) + 0 AS auroc, round(ci_lo, 6) + 0 AS ci_lo, ro
 @query("b4_beats_chance")
 def b4(spark: SparkSession, sf_dir: str) -> DataFrame:
     oof = long_scores(spark, sf_dir)
-    return rounded(inference.beats_chance(oof, shared_draws(oof, REPS), ["rep", "unit"]))
+    return rounded(inference.beats_chance(oof, ["rep", "unit"], shared_draws(oof, REPS)))
 
 
 @query("b5_confirmatory")
@@ -370,15 +371,14 @@ def b6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b7_numpy_draws")
 def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Production draws: one seeded stream, as many as ``REPLICATES``; tests hold them against numpy."""
-    oof = long_scores(spark, sf_dir).where("rep = 'level'")
-    return rounded(inference.beats_chance(oof, inference.draws(oof), ["rep"]))
+    """Production draws, as many as ``REPLICATES``; tests hold them against numpy."""
+    return rounded(inference.beats_chance(materialised(long_scores(spark, sf_dir), "scores"), ["rep"]))
 
 
 def drawn(spark: SparkSession, sf_dir: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Scores, and their AUROC under each of the ``REPLICATES`` seeded draws of clusters."""
+    """Scores, and their metrics under each of the ``REPLICATES`` seeded draws of clusters."""
     oof = materialised(long_scores(spark, sf_dir), "scores")
-    return oof, inference.replicate_metrics(oof, inference.draws(oof), by, ("auroc",))
+    return oof, resampling.replicate_metrics(resampling.chunks(oof, by), by)
 
 
 @query("b8_drawn_multiplicities")
@@ -388,25 +388,27 @@ def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b9_drawn_contrasts")
 def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """b2, b5 and g1 on production draws: intervals, p, adjusted p and stars; tests hold it against numpy."""
-    oof, reps = drawn(spark, sf_dir, ["rep"])
-    return judged(metrics.auroc(oof, ["rep"]), reps, "level", "mean")
+    """b2, b5 and g1 on production draws and by three metrics: intervals, p, adjusted p and stars; tests hold it against numpy."""
+    return judged(materialised(long_scores(spark, sf_dir), "scores"), "level", "mean")
 
 
-def judged(points: DataFrame, reps: DataFrame, a: str, b: str) -> DataFrame:
-    """Each pair's contrast, the planned one of ``a`` and ``b`` apart from the others."""
-    pairs = rounded(inference.paired_contrasts(points, reps, "rep", "auroc").select("a", "b_rep", "delta", "ci_lo", "ci_hi", "p_value"))
-    return rounded(inference.confirmatory(pairs, a, b)).withColumn("stars", reporting.stars(F.col("p_value")))
+def judged(oof: DataFrame, a: str, b: str, names: tuple[str, ...] = resampling.METRICS) -> DataFrame:
+    """Each pair's contrasts. The AUROC of ``a`` and ``b`` is planned; the other pairs' are adjusted for each other, and so are those by other metrics, each metric apart."""
+    pairs = rounded(inference.contrasts(oof, names=names))
+    marked = pairs.withColumn("planned", ((F.col("a") == min(a, b)) & (F.col("b_rep") == max(a, b)) & (F.col("metric") == "auroc")))
+    adjusted = metrics.benjamini_hochberg(marked.withColumn("_tie", F.concat_ws("|", "a", "b_rep")), ["metric", "planned"], tie="_tie")
+    return rounded(adjusted.withColumn("family", F.when(F.col("planned"), "confirmatory").otherwise("exploratory")).drop("planned", "_tie")).withColumn("stars", reporting.stars(F.col("p_value")))
 
 
 @query("b10_drawn_beats_chance")
 def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = materialised(long_scores(spark, sf_dir), "scores")
-    return rounded(inference.beats_chance(oof, inference.draws(oof), ["rep", "unit"]))
+    """Each unit's AUROC, with draws of its own years."""
+    return rounded(inference.beats_chance(materialised(long_scores(spark, sf_dir), "scores"), ["rep", "unit"], within=["unit"]))
 
 
 @query("b11_drawn_stability")
 def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a score's AUROC is spread over draws; ``v13_seed_stability`` has the spread over seeds."""
     return rounded(inference.stability(drawn(spark, sf_dir, ["rep"])[1], ["rep"], "auroc"))
 
 
@@ -543,7 +545,8 @@ spread AS (SELECT unit, stddev_pop(pctl) / nullif(avg(pctl), 0) AS threshold_pct
 @query("r10_leave_one_year_out", f"""WITH {_FOLDS} SELECT unit, round(auroc_loyo, 6) + 0 AS auroc_loyo, round((coalesce(sens_loyo, spec_loyo) + coalesce(spec_loyo, sens_loyo)) / 2, 6) + 0 AS balanced_acc_loyo,
   round(sens_loyo, 6) + 0 AS sens_loyo, round(spec_loyo, 6) + 0 AS spec_loyo, modal_feature, round(threshold_pctl_cv, 6) + 0 AS threshold_pctl_cv FROM rates JOIN modal USING (unit) JOIN spread USING (unit) LEFT JOIN areas USING (unit)""")
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trigger.fold_summary(*trigger.leave_one_year_out(materialised(threshold_rows(spark, sf_dir), "tall"))))
+    rows = materialised(trigger.by_feature(rounded(ready(spark, sf_dir))), "tall")
+    return rounded(trigger.fold_summary(*trigger.leave_one_year_out(rows, materialised(trigger.fold_fits(rows, ["unit"]), "fits"))))
 
 
 # The rounded columns of a unit's row; a threshold has one place for accumulations, three for dynamics.
@@ -581,17 +584,25 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigger.with_median_row(materialised(r11(spark, sf_dir), "units"))
 
 
+#: Below so many unit-weeks that both kinds score there is no contrast.
+LEAST_PAIRS = 30
+
+
 @query("r13_dynamics_contrast")
 def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamics less accumulation, on the weeks both score; the sign is that of dynamics."""
-    rows = materialised(trigger.by_kind(threshold_rows(spark, sf_dir)), "tall")
-    found = materialised(trigger.leave_one_year_out(rows, ["unit", "kind"])[1], "kinds")
+    return rounded(dynamics_contrast(materialised(trigger.by_feature(rounded(ready(spark, sf_dir))), "tall")))
+
+
+def dynamics_contrast(rows: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
+    by = ["unit", "kind"]
+    found = materialised(trigger.leave_one_year_out(rows, materialised(trigger.fold_fits(rows, by), "fits"), by)[1], "kinds")
     a, d = found.where("kind = 0").select(*KEYS, "y", F.col("x").alias("pa")), found.where("kind = 1").select(*KEYS, F.col("x").alias("pd"))
-    both = comparator.with_cluster(a.join(d, KEYS))
-    reps = F.array(F.struct(F.lit("accumulation").alias("rep"), F.col("pa").alias("p")), F.struct(F.lit("dynamics").alias("rep"), F.col("pd").alias("p")))
-    oof = materialised(both.select("cluster", "y", F.inline(reps)), "both")
-    out = inference.paired_contrasts(metrics.auroc(oof, ["rep"]), inference.replicate_metrics(oof, inference.draws(oof), ["rep"], ("auroc",)), "rep", "auroc")
-    return rounded(out.select((-F.col("delta")).alias("dyn_minus_accum"), (-F.col("ci_hi")).alias("ci_lo"), (-F.col("ci_lo")).alias("ci_hi"), "p_value"))
+    both = materialised(comparator.with_cluster(a.join(d, KEYS)), "both")
+    sizes = both.agg(F.count(F.lit(1)).alias("n_common"), F.count_distinct("cluster").alias("n_clusters")).where(F.col("n_common") >= least)
+    cells = F.array(F.struct(F.lit("accumulation").alias("rep"), F.col("pa").alias("p")), F.struct(F.lit("dynamics").alias("rep"), F.col("pd").alias("p")))
+    out = inference.contrasts(both.select("cluster", "y", F.inline(cells)), names=("auroc",))
+    return out.select((-F.col("delta")).alias("dyn_minus_accum"), (-F.col("ci_hi")).alias("ci_lo"), (-F.col("ci_lo")).alias("ci_hi"), "p_value").crossJoin(F.broadcast(sizes))
 
 
 # Evaluation
@@ -602,10 +613,20 @@ def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label(panel).select(*KEYS, "y", "labelable").join(features.enrich(panel).drop("c", "r"), KEYS).join(own, KEYS)
 
 
+_SCORES: dict[tuple[str, str], DataFrame] = {}
+
+
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores of the five representations and the five rungs; the learner stands in for the original one."""
-    frame = materialised(evaluate.cap_training(evaluate.folds(modelled(spark, sf_dir)), []), "folds")
-    return cut(comparator.with_cluster(evaluate.fit_predict_sets(frame, catalogue.representations(DOMAIN, OWN) | catalogue.ladder(DOMAIN, OWN), [])))
+    """Out-of-fold scores of the five representations and the five rungs, by the offline learner.
+
+    One table for all that is asked of it in an application: the fits are read again, not made again.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SCORES:
+        frame = materialised(modelled(spark, sf_dir), "modelled")
+        sets = catalogue.representations(DOMAIN, OWN) | catalogue.ladder(DOMAIN, OWN)
+        _SCORES[key] = cut(comparator.with_cluster(evaluate.fit_predict_sets(frame, sets, [])).drop("seed", "fold"))
+    return _SCORES[key]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -624,9 +645,8 @@ def v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v9_representation_contrasts")
 def v9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main result: raw_2col against enriched, planned, and the other pairs, over seeded draws of unit-years."""
-    oof = represented(spark, sf_dir)
-    return judged(metrics.auroc(oof, ["rep"]), inference.replicate_metrics(oof, inference.draws(oof), ["rep"], ("auroc",)), "raw_2col", "enriched")
+    """The main result: raw_2col against enriched, planned, and the other pairs and metrics, over seeded draws of unit-years."""
+    return judged(represented(spark, sf_dir), "raw_2col", "enriched")
 
 
 @query("v10_ladder_dips")
@@ -639,19 +659,49 @@ def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.dips(order.join(scores, "rep", "left"), [], "place", "auroc")
 
 
+def delong_pairs(oof: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, a, b_rep, auc1, auc2, z, p_value``: DeLong's test of each pair of representations on the rows both score."""
+    one = oof.select(*KEYS, F.col("rep").alias("a"), "y", F.col("p").alias("p1"))
+    other = oof.select(*KEYS, F.col("rep").alias("b_rep"), F.col("p").alias("p2"))
+    return metrics.delong(one.join(other, KEYS).where("a < b_rep"), [*by, "a", "b_rep"])
+
+
 @query("v11_delong_raw_enriched")
 def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_2col against enriched by DeLong's test, in each unit, adjusted over units."""
-    oof = represented(spark, sf_dir)
-    one = lambda rep, name: oof.where(F.col("rep") == rep).select(*KEYS, "y", F.col("p").alias(name))
-    found = metrics.delong(one("raw_2col", "p1").join(one("enriched", "p2").drop("y"), KEYS), ["unit"])
-    return rounded(metrics.benjamini_hochberg(found.where("p_value IS NOT NULL").withColumn("test", F.lit("delong")), ["test"], tie="unit").drop("test"))
+    found = delong_pairs(represented(spark, sf_dir).where("rep IN ('raw_2col', 'enriched')"), ["unit"]).where("p_value IS NOT NULL")
+    return rounded(metrics.benjamini_hochberg(found, ["a", "b_rep"], tie="unit"))
+
+
+@query("v14_delong_pairs")
+def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten pairs of representations by DeLong's test on the pooled scores."""
+    return rounded(delong_pairs(represented(spark, sf_dir), []))
 
 
 @query("v12_enriched_calibration")
 def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oof = represented(spark, sf_dir).where("rep = 'enriched'")
-    return rounded(inference.calibration(oof, inference.draws(oof), ["rep"]))
+    return rounded(inference.calibration(represented(spark, sf_dir).where("rep = 'enriched'"), ["rep"]))
+
+
+@query("v15_comparator_contrasts")
+def v15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """enriched against the trend forecast by AUROC and AUPRC, on the unit-weeks both score; none below 30 of them."""
+    own = represented(spark, sf_dir).where("rep = 'enriched'").select("cluster", "wn", "y", F.col("p").alias("pe"))
+    trend = comparator.with_cluster(comparator.trend_scores(labels.label(weekly(spark, sf_dir)))).where("score IS NOT NULL").select("cluster", "wn", F.col("score").alias("pt"))
+    both = materialised(own.join(trend, ["cluster", "wn"]), "common")
+    enough = both.agg(F.count(F.lit(1)).alias("n_common")).where("n_common >= 30")
+    cells = F.array(F.struct(F.lit("enriched").alias("rep"), F.col("pe").alias("p")), F.struct(F.lit("trend").alias("rep"), F.col("pt").alias("p")))
+    found = rounded(inference.contrasts(both.select("cluster", "y", F.inline(cells)), names=("auroc", "auprc")))
+    return found.crossJoin(F.broadcast(enough))
+
+
+@query("v13_seed_stability")
+def v13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lift of enriched over raw_2col under five seeds of the training sample: mean and deviation."""
+    sets = catalogue.representations(DOMAIN, OWN)
+    oof = evaluate.fit_predict_sets(materialised(modelled(spark, sf_dir), "modelled"), {k: sets[k] for k in ("raw_2col", "enriched")}, [], seeds=tuple(range(SEEDS)))
+    return rounded(inference.stability(inference.lifts(oof, "raw_2col", "enriched"), ["measure"], "value"))
 
 
 SQL_MEDIAN = f"""WITH {sql.features()}, {sql.placed()}, lab AS (SELECT unit, yr, wn, y, case_lag4, labelable FROM enriched JOIN limb USING (unit, yr, wn)),
@@ -696,12 +746,32 @@ def v7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.summarise(long_scores(spark, sf_dir), ["rep"]).select("rep", "n_test", "base_rate", "auroc", "auprc", "brier"))
 
 
+def unit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of models of each unit alone, over all features."""
+    frame = materialised(modelled(spark, sf_dir), "modelled")
+    oof = evaluate.fit_predict_sets(frame, {"enriched": [*DOMAIN, *OWN]}, ["unit"])
+    return cut(comparator.with_cluster(oof.drop("seed", "fold", "rep")))
+
+
+def unit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oof = unit_scores(spark, sf_dir)
+    judged_units = inference.unit_intervals(oof, ["unit"])
+    rows = evaluate.summarise(oof, ["unit"]).withColumn("n_features", F.lit(len(DOMAIN) + len(OWN))).join(judged_units, "unit", "left")
+    return cut(reporting.by_climate(rows.select("*", F.coalesce("n_clusters", F.lit(0)).alias("n_year_clusters")).drop("n_clusters"), climates(spark)))
+
+
 @query("v8_unit_evaluation")
 def v8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold loop inside each unit, with climate type."""
-    frame = evaluate.cap_training(evaluate.folds(modelled(spark, sf_dir), ["unit"]), ["unit"])
-    oof = materialised(evaluate.fit_predict(frame, list(catalogue.RAW), ["unit"]), "units")
-    return rounded(reporting.by_climate(evaluate.summarise(oof, ["unit"]), climates(spark)))
+    """The fold loop inside each unit over all features: metrics, interval over the unit's years, and climate type."""
+    return rounded(unit_metrics(spark, sf_dir))
+
+
+@query("v16_climate_gradient")
+def v16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kruskal-Wallis of the units' AUROC over climate types, with the types' means and sizes."""
+    units = unit_metrics(spark, sf_dir).select("auroc", "climate_type", F.lit("auroc").alias("measure"))
+    test = metrics.kruskal(units, ["measure"], "auroc", "climate_type")
+    return rounded(metrics.group_means(units, ["measure"], "auroc", "climate_type").join(test, "measure", "left"))
 
 
 # Reporting
