@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,47 +33,70 @@ from .source_divergence import LOWER, UPPER
 
 #: Digits, letters A-Z and a-z, and all beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of text that one statement reads.
+PIECE = 2 << 20
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
 
 def _crc(grams: pa.ChunkedArray) -> pa.Array:
-    return pa.array([zlib.crc32(g) for g in grams.cast(pa.large_binary()).to_pylist()], pa.int64())
+    """CRC-32 of each text, read in place."""
+    out, crc = [], zlib.crc32
+    for chunk in grams.cast(pa.large_binary()).chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        held, start = chunk.buffers()[2].to_pybytes() if chunk.buffers()[2] else b"", at[0]
+        for end in at[1:]:
+            out.append(crc(held[start:end]))
+            start = end
+    return pa.array(np.array(out, np.int64))
 
 
 def _statement(buckets: int, longest: int) -> str:
-    runs = ["word"] + [" || ' ' || ".join(["word", *(f"lead(word, {i}) OVER doc" for i in range(1, n))]) for n in range(2, longest + 1)]
+    """Words stay in the order of their texts, so that the windows need no sort; a run ends with its text."""
+    runs, grams = [], ["word"]
+    for n in range(1, longest):
+        runs.append(f"CASE WHEN lead(nr, {n}) OVER () = nr THEN lead(word, {n}) OVER () END AS word{n}")
+        grams.append(" || ' ' || ".join(["word", *(f"word{i}" for i in range(1, n + 1))]))
     return f"""
 WITH texts AS (
   SELECT nr, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM batch
 ), words AS (
-  SELECT nr, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts
+  SELECT nr, unnest(words) AS word FROM texts
+), windows AS (
+  SELECT {", ".join(["nr", "word", *runs])} FROM words
 ), grams AS (
-  SELECT nr, unnest([{", ".join(runs)}]) AS gram FROM words WINDOW doc AS (PARTITION BY nr ORDER BY pos)
-), hashed AS (
-  SELECT nr, CAST(crc(gram) % {buckets} AS INTEGER) AS bucket FROM grams WHERE gram IS NOT NULL
+  SELECT nr, unnest([{", ".join(grams)}]) AS gram FROM windows
 ), counted AS (
-  SELECT nr, bucket, count(*) AS n FROM hashed GROUP BY nr, bucket
+  SELECT nr, CAST(crc(gram) % {buckets} AS INTEGER) AS bucket, count(*) AS n FROM grams WHERE gram IS NOT NULL GROUP BY ALL
 ), listed AS (
-  SELECT nr, list(bucket ORDER BY bucket) AS buckets, list(n ORDER BY bucket) AS counts, CAST(sum(n) AS BIGINT) AS n_features FROM counted GROUP BY nr
+  SELECT nr, list(n * {buckets} + bucket) AS held, CAST(sum(n) AS BIGINT) AS n_features FROM counted GROUP BY nr
 )
-SELECT nr, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(buckets, []) AS buckets, coalesce(counts, []) AS counts
-FROM texts LEFT JOIN listed USING (nr) ORDER BY nr
+SELECT nr, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(held, []) AS held FROM texts LEFT JOIN listed USING (nr) ORDER BY nr
 """
 
 
+def _pieces(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``PIECE`` bytes of text; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+    start = 0
+    while start < rows.num_rows:
+        end = max(int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + PIECE)), start + 1)
+        yield rows.slice(start, end - start)
+        start = end
+
+
 def _counted(batches: Iterator[pa.RecordBatch], buckets: int, longest: int) -> Iterator[pa.RecordBatch]:
     statement = _statement(buckets, longest)
-    with duckdb.connect(config={"threads": 1, "temp_directory": ""}) as engine:  # a batch is small enough for memory
+    with duckdb.connect(config={"threads": 1, "temp_directory": ""}) as engine:  # a piece is small enough for memory
         engine.create_function("crc", _crc, ["VARCHAR"], "BIGINT", type="arrow")
-        for rows in batches:
-            if not rows.num_rows:
-                continue
+        for rows in (piece for batch in batches for piece in _pieces(batch)):
             batch = pa.table({"nr": np.arange(rows.num_rows), "text": rows.column(1)})
             engine.register("batch", batch)
             found = engine.sql(statement).to_arrow_table()
             engine.unregister("batch")
-            columns = [rows.column(0), *(found.column(c).combine_chunks().cast(_COUNTS.field(c).type) for c in _COUNTS.names[1:])]
-            yield pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
+            held = found.column("held").combine_chunks().cast(pa.list_(pa.int64()))
+            both, at = held.flatten().to_numpy(), held.offsets
+            lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in ((both % buckets).astype(np.int32), both // buckets)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(found.column(c).combine_chunks().cast(pa.int64()) for c in ("n_words", "n_features")), *lists], schema=_COUNTS)
 
 
 def bucket_counts(rows: DataFrame, id_col: str, text_col: str, buckets: int, longest: int, name: str) -> DataFrame:
@@ -110,9 +134,11 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: in
     raw = bucket_counts(docs, id_col, text_col, buckets, longest, "raw")
     wanted = bucket_counts(target, target_id, target_text, buckets, longest, "target")
     row = stage(gains(raw, wanted, buckets), "gains")  # one row of as many numbers as there are buckets
-    weight = F.aggregate(F.arrays_zip("buckets", "counts"), F.lit(0).cast("long"), lambda sum_, of: sum_ + F.get("gains", of["buckets"]) * of["counts"])
+    parts = F.zip_with("buckets", "counts", lambda bucket, n: F.get("gains", bucket) * n)
+    weight = F.aggregate(parts, F.lit(0).cast("long"), lambda total, part: total + part)
     weighed = raw.crossJoin(F.broadcast(row)).select("doc_id", "n_features", weight.alias("weight"), (F.col("n_words") >= min_words).alias("long_enough"))
-    scored = weighed.select("doc_id", "n_features", "weight", (F.col("weight") + noise("doc_id", seed)).alias("score"), "long_enough")
+    # written, as ranges are first sampled and then filled
+    scored = stage(weighed.select("doc_id", "n_features", "weight", (F.col("weight") + noise("doc_id", seed)).alias("score"), "long_enough"), "scored")
     order = [F.col("long_enough").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     # the number of a row holds its partition and, in the low 33 bits, its place there
     ranged = stage(scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranged")
