@@ -119,3 +119,15 @@ def ladder(domain: list[str], signatures: list[str]) -> dict[str, list[str]]:
     case_view = [*RAW, *(c for c in rest if source_name(c) == "case")]
     climate = [*case_view, *(c for c in rest if source_name(c) in ("rain", "calendar"))]
     return {"raw 2 cols": list(RAW), "+ case views": case_view, "+ climate": climate, "+ transmission biology": domain, "+ catch22": [*domain, *signatures]}
+
+
+def unpivoted(enriched: DataFrame, columns: list[str]) -> DataFrame:
+    """``feature, value``: a row for each known value of each column."""
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns))
+    return enriched.select(F.inline(cells)).where("value IS NOT NULL")
+
+
+def described(enriched: DataFrame, columns: list[str]) -> DataFrame:
+    """The dictionary of the columns with ``n_known``, how many values each has."""
+    counts = unpivoted(enriched, columns).groupBy("feature").agg(F.count(F.lit(1)).alias("n_known"))
+    return dictionary(enriched.sparkSession, columns).join(counts, "feature", "left").withColumn("n_known", F.coalesce("n_known", F.lit(0).cast("long")))

@@ -105,7 +105,12 @@ def rank_gaussian(folded: DataFrame, column: str, by: list[str], quantiles: int
     ranks = known.select(*keys, "_v", ratio(upto - F.col("_k"), total - 1).alias("_lo"), ratio(upto - 1, total - 1).alias("_hi"), F.min("_v").over(whole).alias("_least"), F.max("_v").over(whole).alias("_most"))
     marks = ranks.select("*", F.lead("_v").over(order).alias("_v2"), F.lead("_lo").over(order).alias("_lo2"))
     asked = folded.select(*keys, F.col(column).cast("double").alias("_x")).distinct()
-    hit = asked.join(marks, keys).where((F.col("_v") <= F.col("_x")) & (F.col("_v2").isNull() | (F.col("_x") < F.col("_v2"))))
+    # marks and values in one order: the last mark before a value is the one below it
+    mark = F.struct("_v", "_lo", "_hi", "_v2", "_lo2", "_least", "_most")
+    merged = marks.select(*keys, F.col("_v").alias("_x"), mark.alias("_mark"), F.lit(0).alias("_kind"))
+    merged = merged.unionByName(asked.where("_x IS NOT NULL").select(*keys, "_x", F.lit(None).cast(merged.schema["_mark"].dataType).alias("_mark"), F.lit(1).alias("_kind")))
+    below = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    hit = merged.withColumn("_mark", below).where("_kind = 1 AND _mark IS NOT NULL").select(*keys, "_x", "_mark.*")
     between = F.col("_hi") + (F.col("_lo2") - F.col("_hi")) * (F.col("_x") - F.col("_v")) / (F.col("_v2") - F.col("_v"))
     at = F.when(F.col("_x") >= F.col("_most"), 1.0).when(F.col("_x") <= F.col("_least"), 0.0).when(F.col("_x") == F.col("_v"), (F.col("_lo") + F.col("_hi")) / 2).otherwise(between)
     place = hit.select(*keys, "_x", at.alias("_at"))

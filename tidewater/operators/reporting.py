@@ -36,7 +36,7 @@ def by_climate(units: DataFrame, climates: DataFrame) -> DataFrame:
 
 def reliability(df: DataFrame, by: list[str]) -> DataFrame:
     """``bin, n, mean_score, rate`` in bins between score quantiles: 3 to 10 of them, by the distinct scores."""
-    groups = df.groupBy(*by).agg(F.count_distinct("p").alias("k"), F.array_sort(F.collect_set("p")).alias("_")).drop("_")
+    groups = df.groupBy(*by).agg(F.count_distinct("p").alias("k"))
     count = F.least(F.lit(10), F.greatest(F.lit(3), F.col("k"))).cast("int")
     marks = [i / n for n in range(3, 11) for i in range(1, n)]
     points = df.groupBy(*by).agg(F.percentile("p", F.array(*map(F.lit, marks))).alias("points")).join(groups, by).withColumn("bins", count)

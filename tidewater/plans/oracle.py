@@ -214,3 +214,25 @@ def chi_squared_p(x: str, df: str) -> str:
     even = f"exp(-({x}) / 2) * list_sum(list_transform(range(0, ({df}) // 2), lambda k: pow(({x}) / 2, k) / gamma(k + 1)))"
     odd = f"{normal_p(f'sqrt({x})')} + exp(-({x}) / 2) * coalesce(list_sum(list_transform(range(0, (({df}) - 1) // 2), lambda k: pow(({x}) / 2, k + 0.5) / gamma(k + 1.5))), 0)"
     return f"CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+def known_values(domain: list[str], own: list[str]) -> str:
+    """CTE ``known_values``: feature and n_known, over the panel's features and signatures."""
+    counts = lambda columns: ", ".join(f"count({c}) AS {c}" for c in columns)
+    one = f"SELECT {counts(domain)} FROM (WITH {features()} SELECT * FROM enriched)"
+    parts = [f"SELECT {counts([c for c in own if c.endswith(s)])} FROM ({signatures(x, s)})" for x, s in (("c", "case"), ("r", "rain"))]
+    tall = " UNION ALL ".join(f"SELECT feature, n_known FROM (UNPIVOT ({q}) ON COLUMNS(*) INTO NAME feature VALUE n_known)" for q in (one, *parts))
+    return f"known_values AS ({tall})"
+
+
+def dictionary(catalogue) -> str:
+    """Source, rationale, family and rung of ``feature``, as the lists of name fragments say."""
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    holds = lambda words, x="feature": "(" + " OR ".join(f"contains({x}, {text(w)})" for w in words) + ")"
+    starts = "(" + " OR ".join(f"starts_with(lower(feature), {text(w)})" for w in catalogue.CALENDAR_STARTS) + ")"
+    source = f"CASE WHEN starts_with(lower(feature), 'c22') THEN 'catch22' WHEN {holds(catalogue.RAIN_WORDS, 'lower(feature)')} THEN 'rain' WHEN {starts} THEN 'calendar' ELSE 'case' END"
+    rationale = "CASE " + " ".join(f"WHEN contains(feature, {text(k)}) THEN {text(v)}" for k, v in catalogue.RATIONALES.items()) + f" ELSE {text(catalogue.DEFAULT_RATIONALE)} END"
+    biology, early = holds(catalogue.BIOLOGY_WORDS), f"CASE WHEN {holds(catalogue.TRANSMISSION_WORDS, 'lower(feature)')} THEN 'transmission' ELSE 'early-warning' END"
+    family = f"CASE WHEN starts_with(lower(feature), 'c22') THEN 'catch22' WHEN {biology} THEN {early} WHEN {source} = 'rain' THEN 'climate' WHEN {source} = 'calendar' THEN 'season' ELSE 'case' END"
+    rung = f"CASE WHEN {biology} THEN 'biology' WHEN {source} = 'case' THEN 'case_view' WHEN {source} IN ('rain', 'calendar') THEN 'climate' END"
+    return f"SELECT feature, {source} AS source, {rationale} AS rationale, {family} AS family, {rung} AS ladder, n_known FROM known_values"

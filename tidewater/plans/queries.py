@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rounded
 from ..functions.windows import season
 from ..operators import catalogue, comparator, evaluate, features, forest, inference, labels, metrics, reporting, resampling, signatures, trigger
-from ..session import configure, materialised
+from ..session import configure, materialised, new_folder
 from ..sources import panel as source
 from . import oracle as sql
 
@@ -181,21 +181,35 @@ SELECT fold, is_test, 1 AS y, CAST(p AS BIGINT) AS n FROM kept UNION ALL SELECT
 
 # Catalogue
 
-@query("p3_feature_dictionary")
+def whole_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 132 features, with their keys."""
+    panel = weekly(spark, sf_dir)
+    return features.enrich(panel).select(*KEYS, *DOMAIN).join(signatures.add_signatures(panel).select(*KEYS, *OWN), KEYS)
+
+
+_KNOWN = sql.known_values(DOMAIN, OWN)
+
+
+@query("p3_feature_dictionary", f"WITH {_KNOWN} {sql.dictionary(catalogue)}")
 def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source, rationale, family and rung of each of the 132 features."""
-    names = [c for cs in FAMILIES.values() for c in cs] + [f"c22fb_{n}_{s}" for s in ("case", "rain") for n in signatures.NAMES]
-    return catalogue.dictionary(spark, names)
+    """Source, rationale, family and rung of each of the 132 features, and how many values it has."""
+    return catalogue.described(whole_frame(spark, sf_dir), [*DOMAIN, *OWN])
 
 
-@query("p7_representations")
+def _sets() -> list[tuple[str, str, str]]:
+    """(kind, name, feature) of each representation and rung; a feature that a rung holds twice is there twice."""
+    both = (("representation", catalogue.representations(DOMAIN, OWN)), ("rung", catalogue.ladder(DOMAIN, OWN)))
+    return [(kind, name, c) for kind, sets in both for name, columns in sets.items() for c in columns]
+
+
+@query("p7_representations", f"""WITH {_KNOWN}, sets(kind, name, feature) AS (VALUES {", ".join(str(row) for row in _sets())})
+SELECT kind, name, count(*) AS n, count(DISTINCT feature) AS n_distinct, CAST(sum(n_known) AS BIGINT) AS n_known FROM sets JOIN known_values USING (feature) GROUP BY kind, name""")
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of each representation and rung; rungs count raw columns twice where groups hold them too."""
-    domain = [c for cs in FAMILIES.values() for c in cs]
-    own = [f"c22fb_{n}_{s}" for s in ("case", "rain") for n in signatures.NAMES]
-    rows = [("representation", k, len(v), len(set(v))) for k, v in catalogue.representations(domain, own).items()]
-    rows += [("rung", k, len(v), len(set(v))) for k, v in catalogue.ladder(domain, own).items()]
-    return spark.createDataFrame(rows, "kind string, name string, n int, n_distinct int")
+    """Columns of each representation and rung, and the values they hold; rungs count raw columns twice where groups hold them too."""
+    sets = spark.createDataFrame(_sets(), "kind string, name string, feature string")
+    counts = catalogue.unpivoted(whole_frame(spark, sf_dir), [*DOMAIN, *OWN]).groupBy("feature").agg(F.count(F.lit(1)).alias("n_known"))
+    joined = sets.join(counts, "feature", "left")
+    return joined.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("feature").alias("n_distinct"), F.sum("n_known").alias("n_known"))
 
 
 # Signatures
@@ -810,9 +824,10 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.predictive_attribution(materialised(modelled(spark, sf_dir), "modelled"), [*DOMAIN, *OWN])
 
 
-@query("g4_by_climate", f"WITH {sql.scores()}, {_CLIMATES}, u AS (SELECT unit, round(avg(p2), 6) AS auroc FROM scored GROUP BY unit) SELECT unit, auroc, coalesce(climate_type, 'NA') AS climate_type, round(avg(auroc) OVER (PARTITION BY coalesce(climate_type, 'NA')), 6) + 0 AS type_mean FROM u LEFT JOIN climates USING (unit)")
+@query("g4_by_climate", f"""WITH {sql.long_scores()}, {_CLIMATES}, u AS (SELECT unit, round(auroc, 6) + 0 AS auroc FROM ({sql.weighted_auroc("(SELECT *, 1 AS one FROM oof WHERE rep = 'mean')", 'unit', 'one')}))
+SELECT unit, auroc, coalesce(climate_type, 'NA') AS climate_type, round(avg(auroc) OVER (PARTITION BY coalesce(climate_type, 'NA')), 6) + 0 AS type_mean FROM u LEFT JOIN climates USING (unit)""")
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = rounded(scored(spark, sf_dir).groupBy("unit").agg(F.avg("p2").alias("auroc")))
+    units = rounded(metrics.auroc(long_scores(spark, sf_dir).where("rep = 'mean'"), ["unit"]))
     return rounded(reporting.by_climate(units, climates(spark)))
 
 
@@ -831,5 +846,47 @@ def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reporting.separation(long_scores(spark, sf_dir), ["rep"]))
 
 
+# A run's tables, written and read again
+
+
+@query("io7_enriched_saved", SQL["e43_enriched"])
+def io7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched panel as CSV, read with its schema."""
+    frame, path = enriched(spark, sf_dir), new_folder(spark, "enriched")
+    source.write_table(frame, path, "csv")
+    return source.read_table(spark, path, "csv", frame.schema)
+
+
+@query("io8_dictionary_saved", SQL["p3_feature_dictionary"])
+def io8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, path = p3(spark, sf_dir), new_folder(spark, "dictionary")
+    source.write_table(frame, path, "csv")
+    return source.read_table(spark, path, "csv", frame.schema)
+
+
+@query("io9_predictions_saved", f"WITH {sql.long_scores()} SELECT unit, yr, wn, cluster, y, rep, round(p, 6) + 0 AS p FROM oof")
+def io9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores in a folder for each representation, all read again."""
+    frame, path = rounded(long_scores(spark, sf_dir)), new_folder(spark, "predictions")
+    source.write_table(frame, path, by=["rep"])
+    return source.read_table(spark, path).select(*frame.columns)
+
+
+@query("io10_summary_saved", SQL["v7_summary"])
+def io10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested record of a run as JSON; its summary is read again."""
+    summary, sizes = v7(spark, sf_dir), rounded(metrics.brier(long_scores(spark, sf_dir), ["rep", "unit"]))
+    whole, path = source.record({"summary": summary, "units": sizes}), new_folder(spark, "record")
+    source.write_table(whole, path, "json")
+    return source.read_table(spark, path, "json", whole.schema).select(F.inline("summary"))
+
+
+@query("io11_unit_metrics_saved", SQL["m1_auroc"])
+def io11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, path = rounded(metrics.auroc(long_scores(spark, sf_dir), ["rep", "unit"])), new_folder(spark, "units")
+    source.write_table(frame, path, "csv")
+    return source.read_table(spark, path, "csv", frame.schema)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql.settled(text) for name, text in SQL.items()}

@@ -24,17 +24,23 @@ def session(name: str = "tidewater", master: str | None = None, **settings: str)
     return configure(builder.getOrCreate())
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: later uses don't repeat the plan that made them.
-
-    The folder is ``spark.checkpoint.dir``; where it is unset and all runs in one process, one of the warehouse.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; where it is unset and all runs in one process, a folder of the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewater"
-    path = f"{root.rstrip('/')}/panel/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/panel/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: later uses don't repeat the plan that made them."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
