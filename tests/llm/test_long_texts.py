@@ -119,3 +119,23 @@ def test_html(spark, kind):
 def test_html_deep_paths_are_bounded():
     stream, found = html_extract.blocks("<div class='a'>" * 20_000 + "<p>x</p>")
     assert len(found) == 1 and len(found[0][0]) < 10_000
+
+
+def test_many_small_texts_in_bounded_tables(monkeypatch):
+    """A million texts of five characters: what a map task's table holds stays below 300 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Task:
+        @staticmethod
+        def get():
+            return type("Context", (), {"partitionId": staticmethod(lambda: 0)})
+
+    monkeypatch.setattr(exact_dedup, "TaskContext", Task)
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(a, a + 10_000)), pa.array([f"{i:05x}" for i in range(a, a + 10_000)])], names=["doc_id", "text"]) for a in range(0, 1_000_000, 10_000))
+    tracemalloc.start()
+    records = sum(len(b) - b.column("uid").null_count == 0 and len(b) for b in exact_dedup._combine(batches, exact_dedup.COMBINE_BYTES))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert records == 1_000_000 and peak < 300e6

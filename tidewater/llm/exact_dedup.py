@@ -1,7 +1,7 @@
 """Exact deduplication by Grace hashing.
 
 1. Each map task folds the rows it reads into an open-addressing table (a ``dict``, whose probes
-   compare complete contents) of bounded size: equal texts of one task become one *record*. So a
+   compare complete contents) of bounded size, each entry counted with a fixed cost: equal texts of one task become one *record*. So a
    text that a third of all rows share reaches the shuffle once a task, not once a row.
 2. Records are dealt into buckets by the hash of their digest. A bucket whose contents are larger
    than ``bucket_bytes`` is dealt again by another hash, and so on until each fits or holds one
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, stage, utf8
 
-#: Bytes of distinct contents that a map task's table holds before its records go out.
+#: What an entry of a table, with its record, takes beside its content.
+ENTRY_BYTES = 1024
+#: Bytes of entries that a map task's table holds before its records go out.
 COMBINE_BYTES = 16 << 20
-#: Bytes of contents in a bucket's table.
+#: Bytes of entries in a bucket's table.
 BUCKET_BYTES = 8 << 20
 #: Buckets that one too large is dealt into at each further level.
 FANOUT = 16
@@ -59,9 +62,9 @@ def _combine(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
     size = 0
 
     def records() -> Iterator[pa.RecordBatch]:
-        rows = [{"rec": r, "digest": d, "size": len(c), "content": c, "n": n, "keep_id": k[0], "keep_uid": k[1]} for c, (r, d, n, k) in found.items()]
-        for at in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_pylist(rows[at : at + 1000], _ROWS)
+        entries = iter(found.items())
+        while rows := [{"rec": r, "digest": d, "size": len(c) + ENTRY_BYTES, "content": c, "n": n, "keep_id": k[0], "keep_uid": k[1]} for c, (r, d, n, k) in islice(entries, 1000)]:
+            yield pa.RecordBatch.from_pylist(rows, _ROWS)
 
     for batch in batches:
         members = []
@@ -70,7 +73,7 @@ def _combine(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
             entry = found.get(content)
             if entry is None:
                 entry = found[content] = [rec, hashlib.sha256(content).hexdigest(), 0, (doc_id, uid)]
-                rec, size = rec + 1, size + len(content)
+                rec, size = rec + 1, size + len(content) + ENTRY_BYTES
             entry[2] += 1
             entry[3] = _first(entry[3], (doc_id, uid))
             members.append({"uid": uid, "rec": entry[0], "doc_id": doc_id, "digest": entry[1]})
