@@ -392,3 +392,48 @@ def test_html_class_words_do_not_override_an_article(spark):
     layout = "<div class='page with-sidebar'><h1>T{0}</h1><p>text {0}</p></div>"
     assert extracted(spark, [("https://h/x", layout.format(i)) for i in range(4)]) == [f"T{i}\ntext {i}" for i in range(4)]
     assert extracted(spark, [("https://h/x", (layout + "<p>(c) Site {0}</p>").format(i)) for i in range(4)]) == [f"T{i}\ntext {i}\n(c) Site {i}" for i in range(4)]
+
+
+LAYOUTS = {
+    "within": lambda i: f"<article><h1>T{i}</h1><p>body {i}</p><div class='comments'><p>nice post {i}</p></div><form><label>Email {i}</label></form><div class='ad'>Buy {i}</div></article>",
+    "beside": lambda i: f"<main><article><h1>T{i}</h1><p>body {i}</p></article><div id='comments'><h3>Comments</h3><ol><li class='comment'><article class='comment-body'><p>hi {i}</p></article></li></ol></div><div class='related'><a href='x'>Related {i}</a></div><form>Form {i}</form></main>",
+    "links": lambda i: f"<article><div class='article-header'><h1>T{i}</h1></div><p>body {i}</p><ul><li><a href='1'>See {i}</a></li><li><a href='2'>And {i}</a></li></ul><div class='cookie-notice'>We use cookies</div></article>",
+}
+
+
+@pytest.mark.parametrize("n", [1, 5])
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_parts_of_an_article_that_are_none(spark, layout, n):
+    """Comments, forms, adverts, related links and notices within an article or main, though their texts differ by page."""
+    assert extracted(spark, [(f"https://h{layout}/{i}", LAYOUTS[layout](i)) for i in range(n)]) == [f"T{i}\nbody {i}" for i in range(n)]
+
+
+def test_html_slots_decide_within_articles(spark, monkeypatch):
+    """What all pages of a host share is the template's, within an article too; without the slots' evidence it would come out."""
+    pages = [(f"https://h/{i}", f"<article><h1>T{i}</h1><p>body {i}</p><p>more {i}</p><h2>Part {i}</h2><div><b>Thanks for reading</b></div></article>") for i in range(5)]
+    want = [f"T{i}\nbody {i}\nmore {i}\nPart {i}" for i in range(5)]
+    assert extracted(spark, pages) == want
+    assert extracted(spark, pages[:2]) == [f"{w}\nThanks for reading" for w in want[:2]]
+    # all but copies of one page are no evidence against its text
+    near = [(f"https://n/{i}", f"<article><h1>Same title</h1><div>same text</div><section>own {i}</section></article>") for i in range(5)]
+    assert extracted(spark, near) == [f"Same title\nsame text\nown {i}" for i in range(5)]
+
+
+def test_wrappers_grow_with_the_kinds_of_blocks():
+    """Pages of the same blocks in any order: the wrapper doesn't grow with the pages and still covers them."""
+    rng = np.random.default_rng(1)
+    kinds = ["<p>x {}</p>", "<div class='a'><p>y {}</p></div>", "<ul><li>z {}</li></ul>", "<blockquote>q {}</blockquote>", "<h2>h {}</h2>", "<pre>c {}</pre>"]
+    pages = ["<body>" + "".join(kinds[k].format(rng.random()) for k in rng.integers(0, 6, 40)) + "</body>" for _ in range(160)]
+    sizes, host, other = [], html_extract.Host(), html_extract.Host()
+    for i, p in enumerate(pages):
+        (host if i % 3 else other).add(p)
+        if i + 1 in (10, 40, 160):
+            whole = html_extract.Host.load(host.dump())
+            whole.join(html_extract.Host.load(other.dump()))
+            sizes.append(len(html_extract.Matcher(whole.wrapper).steps))
+    matcher = html_extract.Matcher(whole.wrapper)
+    for p in pages:
+        stream, found = html_extract.blocks(p)
+        paths = [s[1:] for s in html_extract.slots(whole.wrapper)]
+        assert [paths[i] for i in matcher.slots_of(stream)] == [path for path, _ in found]
+    assert max(sizes) < 2000 and sizes[2] <= sizes[1]

@@ -9,9 +9,12 @@
 3. Tasks first fold the pages they read into one wrapper a host; only these partial wrappers are
    shuffled and aligned again, first in a few parts a host, so that a host with a third of all pages
    is no hot group.
+   A wrapper that grows beyond its pages (blocks in any order) becomes one repeated group of optional
+   tokens, a token each; from there on it grows with the kinds of blocks, not with the pages.
 4. Each slot of the wrapper carries what the pages had there: one text (or, in a repeated group, one
    run of texts) or differing ones. By that and by the tags and classes around it the slot is content
-   or boilerplate.
+   or boilerplate: inside an article too, a text that all pages share is the template's, a repeated
+   group of nothing but links is a list of links, and forms and what a class word sets apart are out.
 5. Pages are read again and matched against their wrapper, which gives the slot of each text; the
    texts in content slots come out.
 
@@ -54,6 +57,8 @@ OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup login register comment comments reply replies respond disqus share sharing social related recommended recommendations widget pagination pager copyright skip".split()
 )
 INSIDE_TAGS = frozenset(("article", "main"))
+# Class words that name parts of an article, not of the page, where they stand within one.
+ARTICLE_WORDS = frozenset("header masthead banner side notice notices".split())
 
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile("[>\"']")
@@ -64,25 +69,29 @@ _LONGEST_SQUARE = 16
 DEEP = 200
 #: So many different pages with one text in a slot make it a fixed one.
 LEAST_PAGES = 3
+#: Tokens that a wrapper may have, or twice those of its longest page, before it becomes a group of optional tokens; and tokens of such a group.
+MOST_TOKENS, MOST_KINDS = 400, 4000
 
 
 def _marks(attributes: str) -> tuple[str, str]:
-    """An element's class and id words, and a mark if its role or style (!) or else such a word (~) sets it apart."""
-    words, apart, named = [], False, False
+    """An element's class and id words, and a mark if its role or style (!) or else such a word (~, or ^ for a word that an article's parts may have) sets it apart."""
+    words, apart, named, harsh = [], False, False, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             own = re.findall(r"[a-z]+", re.sub(r"\d+", "", value))
             words += own
             if not OUTSIDE_WORDS.isdisjoint(own):
-                named |= any(not OUTSIDE_WORDS.isdisjoint(w) and LAYOUT_WORDS.isdisjoint(w) for w in (re.findall(r"[a-z]+", t) for t in value.split()))
+                for w in (re.findall(r"[a-z]+", t) for t in value.split()):
+                    if not OUTSIDE_WORDS.isdisjoint(w) and LAYOUT_WORDS.isdisjoint(w):
+                        named, harsh = True, harsh or not (OUTSIDE_WORDS - ARTICLE_WORDS).isdisjoint(w)
         elif name == "role":
             apart |= value in OUTSIDE_ROLES
         elif name == "style":
             apart |= "display:none" in value.replace(" ", "")
         else:
             apart |= value != "false"
-    return ".".join(sorted(set(words))), "!" if apart else "~" if named else ""
+    return ".".join(sorted(set(words))), "!" if apart else "~" if harsh else "^" if named else ""
 
 
 def tags(page: str) -> Iterator[tuple[str, str, str, str]]:
@@ -138,7 +147,8 @@ def _tag_end(page: str, at: int) -> int:
 def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     """The stream of block tags and slots, and the (path, text) of each block of text.
 
-    A path is the elements around a text, ``!`` or ``~`` marking one that is set apart. A slot is ``#`` and its path.
+    A path is the elements around a text, ``!``, ``~`` or ``^`` marking one that is set apart; ``/@`` ends
+    the path of a text that is all links. A slot is ``#`` and its path.
     """
     stack: list[tuple[str, str, str, frozenset]] = []  # (tag, label, path, kinds that deep elements have added)
     blocks_at: list[int] = []  # where in the stack blocks stand
@@ -146,13 +156,15 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     stream: list[str] = []
     found: list[tuple[str, str]] = []
     pending: list[str] = []
+    links = [True]  # whether all of the pending text is within links
 
     def flush() -> None:
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
+            linked, links[0] = links[0], True
             if text:
-                at = stack[-1][2] if stack else ""
+                at = (stack[-1][2] if stack else "") + "/@" * linked
                 stream.append(f"#{at}")
                 found.append((at, text))
 
@@ -167,7 +179,7 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     def push(tag: str, label: str, shown: bool) -> None:
         path, kinds = stack[-1][2:] if stack else ("", frozenset())
         if shown and len(stack) >= DEEP:
-            kind = tag + label[-1] * (label[-1] in "!~")
+            kind = tag + label[-1] * (label[-1] in "!~^")
             shown, kinds, label = kind not in kinds, kinds | {kind}, kind
         if shown:
             path = f"{path}/{label}" if path else label
@@ -177,6 +189,7 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     for text, slash, tag, attributes in tags(page):
         if text:
             pending.append(text)
+            links[0] &= opened["a"] > 0 or text.isspace()
             continue
         block = tag in BLOCK
         if tag in VOID:
@@ -191,7 +204,7 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
             at = len(stack) - 1
             while stack[at][0] != tag:
                 at -= 1
-            if block or any(x[0] in BLOCK or x[1][-1] in "!~" for x in stack[at:]):
+            if block or any(x[0] in BLOCK or x[1][-1] in "!~^" for x in stack[at:]):
                 flush()
             close(at)
             continue
@@ -307,6 +320,42 @@ def aligned(a: tuple, b: tuple) -> tuple:
     return folded(out)
 
 
+def tokens(nodes: tuple) -> int:
+    return sum(tokens(n[1]) if isinstance(n, tuple) else 1 for n in nodes)
+
+
+def loose(nodes: tuple) -> bool:
+    """Whether a wrapper is one repeated group of optional tokens."""
+    return len(nodes) == 1 and isinstance(nodes[0], tuple) and nodes[0][0] == "*" and all(isinstance(n, tuple) and n[0] == "?" and len(n[1]) == 1 and isinstance(n[1][0], str) for n in nodes[0][1])
+
+
+def loosened(*wrappers: tuple) -> tuple:
+    """One repeated group of all tokens, each optional: any page of these tokens is of it. A slot has one text if all of its path have."""
+    kinds: dict[str, str] = {}
+
+    def collect(nodes: tuple) -> None:
+        for n in nodes:
+            if isinstance(n, tuple):
+                collect(n[1])
+            elif n not in kinds:
+                if len(kinds) < MOST_KINDS:  # pages of other tokens are judged alone
+                    kinds[n] = n
+            elif isinstance(n, Slot):
+                kinds[n] = _both(kinds[n], n, False)
+
+    for w in wrappers:
+        collect(w)
+    return (("*", tuple(("?", (kinds[k],)) for k in sorted(kinds))),)
+
+
+def covering(a: tuple, b: tuple, longest: int) -> tuple:
+    """``aligned``, bounded by the longest page of both."""
+    if a != b and (loose(a) or loose(b)):
+        return loosened(a, b)
+    both = aligned(a, b)
+    return loosened(both) if tokens(both) > max(MOST_TOKENS, 2 * longest) else both
+
+
 def resolved(left: tuple, right: tuple) -> list:
     """A mismatch: repeated and optional groups take in what they match; all else becomes optional."""
     if len(left) == len(right) == 1 and isinstance(left[0], tuple) and isinstance(right[0], tuple):
@@ -406,8 +455,8 @@ def shape(stream: list[str], texts: list[str]) -> tuple:
 class Host:
     """The wrapper of a host's pages; pages of one shape are held together until they are aligned."""
 
-    def __init__(self, wrapper: tuple = (), pages: int = 0) -> None:
-        self._wrapper, self.pages, self._fresh = wrapper, pages, pages == 0
+    def __init__(self, wrapper: tuple = (), pages: int = 0, longest: int = 0) -> None:
+        self._wrapper, self.pages, self.longest, self._fresh = wrapper, pages, longest, pages == 0
         self.shapes: dict[tuple, tuple] = {}
 
     def add(self, page: str) -> int:
@@ -419,29 +468,30 @@ class Host:
         held = self.shapes.get(one)
         self.shapes[one] = one if held is None else merged(held, one)
         self.pages += 1
+        self.longest = max(self.longest, tokens(one))
         return len(one) if held is None else 0
 
     @property
     def wrapper(self) -> tuple:
         for one in self.shapes.values():
-            self._wrapper = one if self._fresh else aligned(self._wrapper, one)
+            self._wrapper = one if self._fresh else covering(self._wrapper, one, self.longest)
             self._fresh = False
         self.shapes = {}
         return self._wrapper
 
     def join(self, other: Host) -> None:
-        mine = self.wrapper
-        self._wrapper = other.wrapper if self._fresh else aligned(mine, other.wrapper)
+        mine, self.longest = self.wrapper, max(self.longest, other.longest)
+        self._wrapper = other.wrapper if self._fresh else covering(mine, other.wrapper, self.longest)
         self._fresh = False
         self.pages += other.pages
 
     def dump(self) -> str:
-        return json.dumps([_plain(self.wrapper), self.pages])
+        return json.dumps([_plain(self.wrapper), self.pages, self.longest])
 
     @staticmethod
     def load(text: str) -> Host:
-        wrapper, pages = json.loads(text)
-        return Host(_again(wrapper), pages)
+        wrapper, pages, longest = json.loads(text)
+        return Host(_again(wrapper), pages, longest)
 
     def content(self) -> list[str]:
         """The paths of content slots."""
@@ -461,7 +511,7 @@ OUT, NAMED, PLAIN, ODD_ARTICLE, ARTICLE = range(5)
 
 
 def standing(path: str) -> tuple[int, bool]:
-    """How a text stands by the elements around it, and whether a class word sets apart a part of its article.
+    """How a text stands by the elements around it, and whether a part of its article sets it apart: a form, or a class word.
 
     Tags and roles that set a text apart outweigh all. Class words only count where no article or
     main element is around them or within: such words also name layouts. An article's own header
@@ -469,21 +519,21 @@ def standing(path: str) -> tuple[int, bool]:
     """
     level, within = PLAIN, False
     for label in path.split("/"):
-        tag, named = label.rstrip("!~").split(".")[0], "~" in label
-        if "!" in label and tag not in ("html", "body"):
+        tag, mark = label.rstrip("!~^").split(".")[0], label[-1:] if label[-1:] in "!~^" else ""
+        if mark == "!" and tag not in ("html", "body"):
             return OUT, False
         if tag in INSIDE_TAGS:
             if level < ODD_ARTICLE or (level == ODD_ARTICLE and tag == "main"):
-                level = ODD_ARTICLE if named and tag != "main" else ARTICLE
+                level = ODD_ARTICLE if mark and tag != "main" else ARTICLE
                 within = False
-            elif named:
+            elif mark == "~":
                 within = True
         elif tag in OUTSIDE_TAGS or (tag == "header" and level < ODD_ARTICLE):
             return OUT, False
-        elif named or tag in ("form", "fieldset"):
+        elif mark or tag in ("form", "fieldset"):
             if level == PLAIN and tag not in ("html", "body"):
                 level = NAMED
-            elif level >= ODD_ARTICLE and named:
+            elif level >= ODD_ARTICLE and mark != "^":
                 within = True
     return level, within
 
@@ -493,23 +543,37 @@ def kind_of(paths: Iterable[str]) -> int:
     return max((standing(p)[0] for p in paths), default=OUT)
 
 
+def grouped(nodes: tuple, repeated: bool = False) -> Iterator[bool]:
+    """For each slot, whether it is in a repeated group that has nothing but links."""
+    for n in nodes:
+        if isinstance(n, tuple):
+            yield from grouped(n[1], repeated or (n[0] in "+*" and all(x.endswith("/@") for x in slots(n[1]))))
+        elif isinstance(n, Slot):
+            yield repeated
+
+
 def roles(wrapper: tuple) -> list[bool]:
     """For each slot of the wrapper, whether it is content.
 
-    A slot is where its text stands as the page's best. Of these, one whose text is the same on
-    different pages is boilerplate if it stands outside of articles or a class word sets it apart;
-    a heading of texts that differ is none. Copies of a page are no evidence.
+    A slot is where its text stands as the page's best, and no part of its article that is set apart.
+    Of these, a repeated group of links is none, and one whose text is the same on different pages is
+    the template's, but for a heading of texts that differ. In articles the latter only holds if more
+    of their slots differ: pages that are all but copies tell nothing. Copies of a page are no evidence.
     """
     found = list(slots(wrapper))
-    stands = [standing(s[1:]) for s in found]
+    stands = [standing(s[1:].removesuffix("/@")) for s in found]
     kind = max((level for level, _ in stands), default=OUT)
+    best = [level == kind and level > OUT and not (within and level >= ODD_ARTICLE) for level, within in stands]
+    listed = [False] * len(found) if loose(wrapper) else list(grouped(wrapper))
+    best = [fit and not link for fit, link in zip(best, listed, strict=True)]
+    n_fixed = sum(fit and slot.fixed() for fit, slot in zip(best, found, strict=True))
+    telling = kind < ODD_ARTICLE or 2 * n_fixed < sum(best)
     out = []
-    for i, (slot, (level, within)) in enumerate(zip(found, stands, strict=True)):
-        fit = level == kind and level > OUT
-        if fit and slot.fixed() and (within or level < ODD_ARTICLE):
-            heads, _, tag = slot[1:].rpartition("/")
+    for i, (slot, fit) in enumerate(zip(found, best, strict=True)):
+        if fit and slot.fixed() and telling:
+            heads, _, tag = slot[1:].removesuffix("/@").rpartition("/")
             after = found[i + 1] if i + 1 < len(found) else None
-            fit = tag.split(".")[0].rstrip("!~") in HEADINGS and not within and after is not None and stands[i + 1][0] == kind and not after.fixed() and f"{after[1:]}/".startswith(f"{heads}/")
+            fit = tag.split(".")[0].rstrip("!~^") in HEADINGS and after is not None and best[i + 1] and not after.fixed() and f"{after[1:]}/".startswith(f"{heads}/")
         out.append(fit)
     return out
 
