@@ -407,11 +407,15 @@ def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(oof: DataFrame, a: str, b: str, names: tuple[str, ...] = resampling.METRICS) -> DataFrame:
-    """Each pair's contrasts. The AUROC of ``a`` and ``b`` is planned; the other pairs' are adjusted for each other, and so are those by other metrics, each metric apart."""
-    pairs = rounded(inference.contrasts(oof, names=names))
+    """Each pair's contrasts, adjusted and starred."""
+    return adjusted(rounded(inference.contrasts(oof, names=names)), a, b)
+
+
+def adjusted(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The AUROC of ``a`` and ``b`` is planned and stays as it is; the other contrasts are adjusted for each other, each metric apart."""
     marked = pairs.withColumn("planned", ((F.col("a") == min(a, b)) & (F.col("b_rep") == max(a, b)) & (F.col("metric") == "auroc")))
-    adjusted = metrics.benjamini_hochberg(marked.withColumn("_tie", F.concat_ws("|", "a", "b_rep")), ["metric", "planned"], tie="_tie")
-    return rounded(adjusted.withColumn("family", F.when(F.col("planned"), "confirmatory").otherwise("exploratory")).drop("planned", "_tie")).withColumn("stars", reporting.stars(F.col("p_value")))
+    found = metrics.benjamini_hochberg(marked.withColumn("_tie", F.concat_ws("|", "a", "b_rep")), ["metric", "planned"], tie="_tie")
+    return rounded(found.withColumn("family", F.when(F.col("planned"), "confirmatory").otherwise("exploratory")).drop("planned", "_tie")).withColumn("stars", reporting.stars(F.col("p_value")))
 
 
 @query("b10_drawn_beats_chance")
@@ -622,7 +626,11 @@ def dynamics_contrast(rows: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
 # Evaluation
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = weekly(spark, sf_dir)
+    return modelled_of(weekly(spark, sf_dir))
+
+
+def modelled_of(panel: DataFrame) -> DataFrame:
+    """All features and the labels of a panel."""
     own = signatures.add_signatures(panel).select(*KEYS, *OWN)
     return labels.label(panel).select(*KEYS, "y", "labelable").join(features.enrich(panel).drop("c", "r"), KEYS).join(own, KEYS)
 
