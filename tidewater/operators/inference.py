@@ -78,17 +78,16 @@ def cox(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     A Newton step of all groups is one aggregation over the distinct scores.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = materialised(df.groupBy(*by, "p", "y").agg(F.sum(w).alias("w")).select(*by, metrics.logit(F.col("p")).alias("x"), F.col("y").cast("double").alias("y"), "w"), "logits")
-    both = rows.groupBy(*by).agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select(*by)
+    rows = materialised(df.groupBy(*by, "p", "y").agg(F.sum(w).alias("_w")).select(*by, metrics.logit(F.col("p")).alias("_x"), F.col("y").cast("double").alias("_y"), "_w"), "logits")
+    both = rows.groupBy(*by).agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi")).where("_lo < _hi").select(*by)
 
     def sums_of(moving: DataFrame) -> DataFrame:
         joined = rows.join(moving, by) if by else rows.crossJoin(F.broadcast(moving))
-        fit = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("a") + F.col("s") * F.col("x")))))
-        curve, slack = F.col("w") * fit * (1 - fit), F.col("w") * (F.col("y") - fit)
-        x = F.col("x")
-        return joined.select(*by, curve.alias("h"), (curve * x).alias("hx"), (curve * x * x).alias("hxx"), slack.alias("g"), (slack * x).alias("gx"))
+        fit = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_a") + F.col("_s") * F.col("_x")))))
+        curve, slack, x = F.col("_w") * fit * (1 - fit), F.col("_w") * (F.col("_y") - fit), F.col("_x")
+        return joined.select(*by, curve.alias("_h"), (curve * x).alias("_hx"), (curve * x * x).alias("_hxx"), slack.alias("_g"), (slack * x).alias("_gx"))
 
-    found = resampling.newton(both, by, sums_of).withColumnsRenamed({"a": "cox_intercept", "s": "cox_slope"})
+    found = resampling.newton(both, by, sums_of).withColumnsRenamed({"_a": "cox_intercept", "_s": "cox_slope"})
     return rows.select(*by).distinct().join(found, by, "left")
 
 

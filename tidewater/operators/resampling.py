@@ -158,10 +158,10 @@ def replicate_calibration(ordered: DataFrame, by: list[str], replicates: int = R
         weights = dict(_weights(frame, replicates, seed))
         for block, part in state.groupby(state["b"] // BLOCK):
             w = weights[block][part["b"].to_numpy() % BLOCK]
-            fit = 1 / (1 + np.exp(-np.clip(part["a"].to_numpy()[:, None] + part["s"].to_numpy()[:, None] * x, -30, 30)))
+            fit = 1 / (1 + np.exp(-np.clip(part["_a"].to_numpy()[:, None] + part["_s"].to_numpy()[:, None] * x, -30, 30)))
             curve, slack = w * fit * (1 - fit), w * (y - fit)
             out.append(np.stack([part["b"].to_numpy(), curve.sum(axis=1), curve @ x, curve @ (x * x), slack.sum(axis=1), slack @ x], axis=1))
-        table = pd.DataFrame(np.concatenate(out), columns=["b", "h", "hx", "hxx", "g", "gx"])
+        table = pd.DataFrame(np.concatenate(out), columns=["b", "_h", "_hx", "_hxx", "_g", "_gx"])
         for i, k in enumerate(by):
             table.insert(i, k, frame[k].iloc[0])
         return table
@@ -170,27 +170,27 @@ def replicate_calibration(ordered: DataFrame, by: list[str], replicates: int = R
 
     def sums_of(moving: DataFrame) -> DataFrame:
         sent = pairs.join(moving, by) if by else pairs.crossJoin(moving)
-        return ordered.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(step, _keyed(ordered, by, "b int, h double, hx double, hxx double, g double, gx double"))
+        return ordered.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(step, _keyed(ordered, by, "b int, _h double, _hx double, _hxx double, _g double, _gx double"))
 
     found = newton(point.select(*by, "b"), [*by, "b"], sums_of)
-    return point.join(found.withColumnsRenamed({"a": "cox_intercept", "s": "cox_slope"}), [*by, "b"])
+    return point.join(found.withColumnsRenamed({"_a": "cox_intercept", "_s": "cox_slope"}), [*by, "b"])
 
 
 def newton(groups: DataFrame, keys: list[str], sums_of: Callable[[DataFrame], DataFrame], steps: int = 25, close: float = 1e-9) -> DataFrame:
-    """``*keys, a, s``: the constant and slope of a logistic regression in each group, null where there is no solution.
+    """``*keys, _a, _s``: the constant and slope of a logistic regression in each group, null where there is no solution.
 
-    ``sums_of`` gives the parts ``h, hx, hxx, g, gx`` of five sums for the groups, each with its ``a`` and
-    ``s``. All groups step together; those that have arrived stay behind.
+    ``sums_of`` gives the parts ``_h, _hx, _hxx, _g, _gx`` of five sums for the groups, each with its ``_a``
+    and ``_s``. All groups step together; those that have arrived stay behind.
     """
-    states = groups.select(*keys, F.lit(0.0).alias("a"), F.lit(0.0).alias("s"), F.lit(False).alias("done"))
+    states = groups.select(*keys, F.lit(0.0).alias("_a"), F.lit(0.0).alias("_s"), F.lit(False).alias("_done"))
     for _ in range(steps):
-        moving = states.where("NOT done")
-        sums = sums_of(moving.select(*keys, "a", "s")).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("h", "hx", "hxx", "g", "gx")))
-        det = F.col("h") * F.col("hxx") - F.col("hx") * F.col("hx")
+        moving = states.where("NOT _done")
+        sums = sums_of(moving.select(*keys, "_a", "_s")).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("_h", "_hx", "_hxx", "_g", "_gx")))
+        det = F.col("_h") * F.col("_hxx") - F.col("_hx") * F.col("_hx")
         det = F.when(F.abs(det) > 1e-12, det)
-        moved = sums.select(*keys, ratio(F.col("g") * F.col("hxx") - F.col("gx") * F.col("hx"), det).alias("_a"), ratio(F.col("h") * F.col("gx") - F.col("hx") * F.col("g"), det).alias("_s"))
-        after = moving.join(moved, keys).select(*keys, (F.col("a") + F.col("_a")).alias("a"), (F.col("s") + F.col("_s")).alias("s"), F.coalesce(F.greatest(F.abs("_a"), F.abs("_s")) < close, F.lit(True)).alias("done"))
-        states = materialised(states.where("done").unionByName(after), "newton")
-        if states.where("NOT done").isEmpty():
+        moved = sums.select(*keys, ratio(F.col("_g") * F.col("_hxx") - F.col("_gx") * F.col("_hx"), det).alias("_da"), ratio(F.col("_h") * F.col("_gx") - F.col("_hx") * F.col("_g"), det).alias("_ds"))
+        after = moving.join(moved, keys).select(*keys, (F.col("_a") + F.col("_da")).alias("_a"), (F.col("_s") + F.col("_ds")).alias("_s"), F.coalesce(F.greatest(F.abs("_da"), F.abs("_ds")) < close, F.lit(True)).alias("_done"))
+        states = materialised(states.where("_done").unionByName(after), "newton")
+        if states.where("NOT _done").isEmpty():
             break
-    return states.select(*keys, *(F.when(F.col("done"), F.col(c)).alias(c) for c in ("a", "s")))
+    return states.select(*keys, *(F.when(F.col("_done"), F.col(c)).alias(c) for c in ("_a", "_s")))
