@@ -278,3 +278,31 @@ def test_registered_contrasts(spark, sf):
     assert lift["lift"]["mean"] == pytest.approx(lift["enriched"]["mean"] - lift["raw_2col"]["mean"], abs=3e-6)
     point = metrics.auroc(queries.represented(spark, sf), ["rep"]).toPandas().set_index("rep")["auroc"]
     assert 0 <= point.min() <= point.max() <= 1
+
+
+def test_running_order_statistics(spark):
+    """Levels and ranks of a growing history against sorting it anew, and in time on a long one."""
+    import time
+
+    from tidewater.operators import features
+
+    rng = np.random.default_rng(1)
+    values = np.where(rng.random(300) < 0.1, np.nan, rng.integers(0, 30, 300)).astype(float)
+    levels, ranks = features.earlier_levels(values, 0.9), features.ranks_so_far(values)
+    for i, v in enumerate(values):
+        before = values[:i][~np.isnan(values[:i])]
+        assert levels[i] == (None if not len(before) else pytest.approx(np.quantile(before, 0.9), abs=1e-12))
+        upto = values[: i + 1][~np.isnan(values[: i + 1])]
+        assert ranks[i] == (None if np.isnan(v) else pytest.approx(((upto < v).sum() + ((upto == v).sum() + 1) / 2) / len(upto)))
+    assert features.earlier_levels(np.array([]), 0.9) == []
+    long, start = rng.random(100_000), time.perf_counter()
+    assert len(features.earlier_levels(long, 0.9)) == len(features.ranks_so_far(long)) == 100_000
+    assert time.perf_counter() - start < 60
+    rows = [("u", 2000 + i // 50, i % 50, None if np.isnan(v) else float(v), 1.0) for i, v in enumerate(values)]
+    panel = spark.createDataFrame(rows, "unit string, yr int, wn int, c double, r double").repartition(3)
+    got = {(r["yr"], r["wn"]): r["inter_epidemic_interval"] for r in features.enrich(panel, ["inter_epidemic_interval"]).collect()}
+    last = 0
+    for i, r in enumerate(rows):
+        assert got[r[1], r[2]] == i - last
+        if r[3] is not None and levels[i] is not None and r[3] >= levels[i]:
+            last = i

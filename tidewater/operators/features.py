@@ -1,13 +1,19 @@
 """108 features of a weekly panel, as window expressions in four stages.
 
 Each stage only looks at columns of the stages before it. All windows partition by unit, and
-Catalyst computes them after one exchange. Features that are not selected are pruned.
+Catalyst computes them after one exchange. Features that are not selected are pruned. The one
+order statistic of all earlier weeks is kept in a sorted list a unit, where it is asked for.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +77,6 @@ def _first_stage() -> dict[str, Column]:
     out |= {f"sin{k}": F.sin(angle(k)) for k in HARMONICS} | {f"cos{k}": F.cos(angle(k)) for k in HARMONICS}
     out["weeks_into_year"] = (F.row_number().over(in_season()) - 1).cast("double")
     out["_place"] = F.row_number().over(in_history()) - 1
-    out["_high"] = F.percentile("c", HIGH_SHARE).over(history(end=-1))
     out["case_sum52"] = F.when(F.count("c").over(history(-(YEAR_WEEKS - 1))) >= LEAST_YEAR_WEEKS, F.sum("c").over(history(-(YEAR_WEEKS - 1))))
     return out
 
@@ -101,7 +106,6 @@ def _second_stage() -> dict[str, Column]:
     by_size = Window.partitionBy("unit").orderBy(r8.asc_nulls_last())
     ties, known = F.count(F.lit(1)).over(Window.partitionBy("unit", r8)), F.count(r8).over(Window.partitionBy("unit"))
     out["rain_pct_unit"] = F.when(r8.isNotNull(), (F.rank().over(by_size) + (ties - 1) / 2) / known)
-    out["rain_pct_unit_causal"] = F.when(r8.isNotNull(), ratio(F.size(F.filter(F.collect_list(r8).over(history()), lambda x: x < r8)) + (F.size(F.filter(F.collect_list(r8).over(history()), lambda x: x == r8)) + 1) / 2, F.count(r8).over(history())))
     out["stalta_delta"] = c("case_stalta") - F.lag("case_stalta").over(in_season())
     out["rain_sum8_woy_anom"] = r8 - F.avg(r8).over(same_week())
     out["_hit"] = F.when(c("c") >= c("_high"), c("_place"))
@@ -129,16 +133,64 @@ def _fifth_stage() -> dict[str, Column]:
     return {"wet_run_len": F.row_number().over(run) * F.col("wet_season_flag")}
 
 
-#: Extra columns that are no part of the 108.
-EXTRA = ("rain_pct_unit_causal",)
+#: What needs the running level of high counts.
+CLOCK = ("inter_epidemic_interval", "susceptibility_proxy")
 
 
-def enrich(panel: DataFrame, extra: bool = False) -> DataFrame:
-    """The panel and its features; ``extra`` adds a variant of the unit rank that only looks back."""
-    out = panel
+def earlier_levels(values: np.ndarray, share: float) -> list[float | None]:
+    """For each value the ``share`` quantile of the known ones strictly before it, between neighbours in proportion."""
+    seen: list[float] = []
+    out: list[float | None] = []
+    for v in values.tolist():
+        at = (len(seen) - 1) * share
+        low = int(at)
+        out.append(None if not seen else seen[low] if at == low else seen[low] + (seen[low + 1] - seen[low]) * (at - low))
+        if v == v:
+            insort(seen, v)
+    return out
+
+
+def ranks_so_far(values: np.ndarray) -> list[float | None]:
+    """For each known value its share of the rank among those up to it, equal ones sharing the mean of theirs."""
+    seen: list[float] = []
+    out: list[float | None] = []
+    for v in values.tolist():
+        if v != v:
+            out.append(None)
+            continue
+        insort(seen, v)
+        out.append((bisect_left(seen, v) + bisect_right(seen, v) + 1) / 2 / len(seen))
+    return out
+
+
+def in_order(df: DataFrame, column: str, name: str, running: Callable[[np.ndarray], list[float | None]]) -> DataFrame:
+    """Adds ``name``: ``running`` of a unit's values in the order of its weeks.
+
+    An order statistic of all that went before has no window that takes it from row to row: a frame
+    that only grows is sorted anew for each. Here each unit keeps one sorted list.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` double"
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("yr", "ascending"), ("wn", "ascending")])
+        values = table.column(column).cast(pa.float64()).to_numpy()
+        return table.append_column(name, pa.array(running(values), pa.float64()))
+
+    return df.groupBy("unit").applyInArrow(one, schema)
+
+
+def with_causal_rank(df: DataFrame) -> DataFrame:
+    """Adds ``rain_pct_unit_causal``, a variant of the unit rank that only looks back; no part of the 108."""
+    return in_order(df, "rain_sum8", "rain_pct_unit_causal", ranks_so_far)
+
+
+def enrich(panel: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The panel and its features, or ``only`` those named."""
+    clock = only is None or not set(CLOCK).isdisjoint(only)
+    out = in_order(panel, "c", "_high", partial(earlier_levels, share=HIGH_SHARE)) if clock else panel.withColumn("_high", F.lit(None).cast("double"))
     for columns in (_first_stage(), _second_stage(), _third_stage(), _fourth_stage(), _fifth_stage()):
         out = out.select("*", *(v.alias(k) for k, v in columns.items()))
-    return out.select(*panel.columns, *(c for c in out.columns if c not in panel.columns and not c.startswith("_") and (extra or c not in EXTRA)))
+    return out.select(*panel.columns, *(only if only is not None else (c for c in out.columns if c not in panel.columns and not c.startswith("_"))))
 
 
 def feature_columns(df: DataFrame) -> list[str]:

@@ -85,7 +85,7 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def family_query(columns: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.enrich(weekly(spark, sf_dir)).select(*KEYS, *columns))
+    return rounded(features.enrich(weekly(spark, sf_dir), columns).select(*KEYS, *columns))
 
 
 for _name, _columns in FAMILIES.items():
@@ -102,7 +102,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM v a JOIN v b ON a.unit = b.unit AND (b.yr < a.yr OR (b.yr = a.yr AND b.wn <= a.wn)) GROUP BY a.unit, a.yr, a.wn, a.v""")
 def causal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A variant of e33 that only looks back; no part of the 108."""
-    return rounded(features.enrich(weekly(spark, sf_dir), extra=True).select(*KEYS, "rain_pct_unit_causal"))
+    return rounded(features.with_causal_rank(features.enrich(weekly(spark, sf_dir), ["rain_sum8"]).select(*KEYS, "rain_sum8")).drop("rain_sum8"))
 
 
 @query("entry_slice")
@@ -144,7 +144,7 @@ def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j1_features_join_labels", f"WITH {sql.features()}, {sql.placed()} SELECT e.unit, e.yr, e.wn, round(case_mean4, 6) + 0 AS case_mean4, y, labelable FROM enriched e JOIN limb l ON e.unit = l.unit AND e.yr = l.yr AND e.wn = l.wn")
 def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = weekly(spark, sf_dir)
-    return rounded(features.enrich(panel).select(*KEYS, "case_mean4").join(labels.label(panel).select(*KEYS, "y", "labelable"), KEYS))
+    return rounded(features.enrich(panel, ["case_mean4"]).select(*KEYS, "case_mean4").join(labels.label(panel).select(*KEYS, "y", "labelable"), KEYS))
 
 
 def climates(spark: SparkSession) -> DataFrame:
