@@ -341,3 +341,12 @@ def test_nested_record(spark, tmp_path):
     assert [[tuple(x) for x in back[0]["summary"]], back[0]["sizes"][0]["n"]] == [[("a", 1.0), ("b", 2.0)], 3]
     with pytest.raises(ValueError):
         source.read_table(spark, f"{tmp_path}/r", "json")
+
+
+def test_what_was_materialised_can_be_cleared(spark, tmp_path, monkeypatch):
+    from tidewater import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert session.materialised(spark.range(5), "five").count() == 5 and list(tmp_path.glob("panel/*/five-*"))
+    session.clear(spark)
+    assert not list(tmp_path.glob("panel/*"))

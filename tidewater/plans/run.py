@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boosting, catalogue, comparator, evaluate, features, forest, inference, labels, metrics, reporting, resampling, trigger
-from ..session import configure, materialised, session
+from ..session import clear, configure, materialised, session
 from ..sources import panel as source
 from . import queries
 
@@ -72,4 +72,8 @@ def write_run(spark: SparkSession, sf_dir: str, out: str, levels: tuple[str, ...
 
 
 if __name__ == "__main__":
-    write_run(session("run"), sys.argv[1], sys.argv[2], tuple(sys.argv[3:]) or LEVELS)
+    spark = session("run")
+    try:
+        write_run(spark, sys.argv[1], sys.argv[2], tuple(sys.argv[3:]) or LEVELS)
+    finally:
+        clear(spark)
